@@ -20,8 +20,14 @@ def _p1_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return collapsed(table(tune(spark), folder, "pages"))
 
 
+def _p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.lookalike import lookalike_found
+
+    return lookalike_found(table(tune(spark), folder, "pages"))
+
+
 def queries() -> dict:
-    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed}
+    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p3_found": _p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
