@@ -26,8 +26,14 @@ def _p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike_found(table(tune(spark), folder, "pages"))
 
 
+def _p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.main_content import main_found
+
+    return main_found(table(tune(spark), folder, "pages"))
+
+
 def queries() -> dict:
-    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p3_found": _p3_found}
+    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p3_found": _p3_found, "p4_found": _p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
