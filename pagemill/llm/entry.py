@@ -32,8 +32,20 @@ def _p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_found(table(tune(spark), folder, "pages"))
 
 
+def _p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.near_copies import near_pairs
+
+    return near_pairs(table(tune(spark), folder, "pages"))
+
+
+def _p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.near_copies import near_groups
+
+    return near_groups(table(tune(spark), folder, "pages"))
+
+
 def queries() -> dict:
-    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p3_found": _p3_found, "p4_found": _p4_found}
+    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p3_found": _p3_found, "p4_found": _p4_found, "p6_found": _p6_found, "p6_groups": _p6_groups}
 
 
 def oracle_sql() -> dict[str, str]:
