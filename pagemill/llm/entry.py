@@ -20,6 +20,12 @@ def _p1_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return collapsed(table(tune(spark), folder, "pages"))
 
 
+def _p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.residue import residue_found
+
+    return residue_found(table(tune(spark), folder, "pages"))
+
+
 def _p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from pagemill.llm.lookalike import lookalike_found
 
@@ -45,7 +51,7 @@ def _p6_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p3_found": _p3_found, "p4_found": _p4_found, "p6_found": _p6_found, "p6_groups": _p6_groups}
+    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p2_found": _p2_found, "p3_found": _p3_found, "p4_found": _p4_found, "p6_found": _p6_found, "p6_groups": _p6_groups}
 
 
 def oracle_sql() -> dict[str, str]:
