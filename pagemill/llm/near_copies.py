@@ -7,8 +7,8 @@ never exceeds the symmetric difference of the sets.  The join runs over a grid:
 1. Exact copies collapse into classes by a 128-bit signature; only class representatives go on.
 2. Runs are counted (combined before the shuffle).  Runs of one class cannot be shared, so only the others go on.
 3. A cell of the grid is (anchor run, size step).  A page's anchors are its rarest runs, as many as two pages of the
-   wanted similarity cannot both miss; sizes are steps of the ratio of the threshold, so partners lie in the same or a
-   neighbouring step.
+   wanted similarity cannot both miss; sizes are steps of the ratio of the threshold, so the larger of two partners
+   lies in the same or the next step.
 4. Inside a cell a pair lives on only if the Manhattan bound allows it, which is tested in the join itself.
 5. Pairs are verified exactly on the shared runs.
 
@@ -33,6 +33,8 @@ RUN = 5
 SEGMENTS = 16
 #: Classes of copies up to this size show all pairs; of larger ones each member is paired with the lowest page_id.
 EXPANDED = 64
+#: So many page_ids (24 bytes each) of copies are broadcast at most; beyond that the join shuffles.
+BROADCAST_COPIES = 200_000
 _WORDS = re.compile(r"[^\W_]+")
 _word_hashes: dict[str, int] = {}
 
@@ -87,38 +89,70 @@ def page_sets(pages: DataFrame, run: int = RUN) -> DataFrame:
     return source.mapInArrow(work, "page_id bigint, signature binary, runs array<bigint>")
 
 
-def _popcounts(runs: Column) -> Column:
-    """How many runs fall into each segment of the fingerprint, by the leading bits."""
+def _popcounts(runs: Column) -> list[Column]:
+    """How many runs fall into each segment of the fingerprint, by the leading bits, eight counts to a bigint.
+
+    A count above 255 is stored as 255, which can only lower a distance.
+    """
     shift = 64 - (SEGMENTS - 1).bit_length()
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(SEGMENTS - 1)),
-        lambda i: F.size(F.filter(runs, lambda x: F.shiftrightunsigned(x, shift) == i)),
-    )
 
+    def byte(k: int) -> Column:
+        count = F.least(F.size(F.filter(runs, lambda x: F.shiftrightunsigned(x, shift) == k)), F.lit(255))
+        return F.shiftleft(count.cast("bigint"), 8 * (k % 8))
+
+    packed = []
+    for first in range(0, SEGMENTS, 8):
+        word = byte(first)
+        for k in range(first + 1, first + 8):
+            word = word.bitwiseOR(byte(k))
+        packed.append(word.alias(f"seg{first // 8}"))
+    return packed
+
+
+def _manhattan(a: str, b: str) -> Column:
+    total = F.lit(0)
+    for word in range(SEGMENTS // 8):
+        for k in range(8):
+            x, y = (F.shiftrightunsigned(F.col(f"{side}.seg{word}"), 8 * k).bitwiseAND(F.lit(255)) for side in (a, b))
+            total = total + F.abs(x - y)
+    return total
 
-def _manhattan(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
 
+def classes(sets: DataFrame) -> DataFrame:
+    """(page_id, row, n, rep, rep_row): every page once, with the lowest page_id of its class of equal sets."""
+    page = sets.groupBy("page_id").agg(F.max(F.struct("signature", "row", "n")).alias("m")).select("page_id", "m.*")
+    first = page.groupBy("signature").agg(F.min(F.struct("page_id", "row")).alias("r"))
+    rep = first.select("signature", F.col("r.page_id").alias("rep"), F.col("r.row").alias("rep_row"))
+    return page.join(rep, "signature").drop("signature")
 
-def representatives(sets: DataFrame) -> DataFrame:
-    """(page_id, runs): the lowest page_id of each class of equal sets."""
-    return sets.groupBy("signature").agg(F.min_by("runs", "page_id").alias("runs"), F.min("page_id").alias("page_id")).select("page_id", "runs")
+
+def representatives(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(page_id, runs) of the class representatives.
+
+    The rows to leave out are broadcast only if they were counted to be at most BROADCAST_COPIES.
+    """
+    held = members.where("page_id = rep").select(F.col("rep_row").alias("row"))
+    others = cut(sets.select("row").join(held, "row", "left_anti"))
+    small = others.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    return sets.select("row", "page_id", "runs").join(F.broadcast(others) if small else others, "row", "left_anti").drop("row")
 
 
 def shared_runs(reps: DataFrame) -> DataFrame:
-    """(page_id, n, shared): per page its size and the runs it shares with others, the rarest first."""
-    runs = reps.select("page_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    """(page_id, shared): per page the runs it shares with others, the rarest first; pages without any are left out."""
+    runs = reps.select("page_id", F.explode("runs").alias("run"))
     counts = runs.groupBy("run").agg(F.count("*").alias("pages")).where("pages > 1")
+    rarity = F.least("pages", F.lit(32767)).cast("smallint")
     return (
-        runs.join(counts, "run")
+        runs.join(counts.select("run", rarity.alias("pages")), "run")
         .groupBy("page_id")
-        .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("pages", "run"))).alias("s"))
-        .select("page_id", "n", F.col("s.run").alias("shared"))
+        .agg(F.collect_list("pages").alias("pages"), F.collect_list("run").alias("run"))
+        .withColumn("s", F.array_sort(F.arrays_zip("pages", "run")))
+        .select("page_id", F.col("s.run").alias("shared"))
     )
 
 
 def similar_classes(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: representatives whose sets share at least ``percent`` of their union."""
+    """(a, b): pairs of representatives whose sets share at least ``percent`` of their union; a has the smaller set."""
     alone = F.col("n") - F.size("shared")
     wanted = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int") + 1
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
@@ -126,18 +160,18 @@ def similar_classes(shared: DataFrame, percent: int) -> DataFrame:
         shared.withColumn("alone", alone)
         .withColumn("take", F.least(wanted - F.col("alone"), F.size("shared")))
         .where("take > 0")
-        .select("page_id", "n", "alone", step.alias("step"), _popcounts(F.col("shared")).alias("seg"), F.slice("shared", 1, F.col("take")).alias("anchors"))
+        .select("page_id", "n", "alone", step.alias("step"), *_popcounts(F.col("shared")), F.slice("shared", 1, F.col("take")).alias("anchors"))
         .withColumn("anchor", F.explode("anchors"))
         .drop("anchors")
     )
-    left = posts.select("anchor", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.struct("page_id", "n", "alone", "seg").alias("l"))
-    right = posts.select("anchor", "step", F.struct("page_id", "n", "alone", "seg").alias("r"))
+    left = posts.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     # |A^B| <= (1-t)/(1+t) (|A|+|B|), and what only one page has is in it whole.
     most = (F.col("l.n") + F.col("r.n")) * (100 - percent)
-    least = (F.col("l.alone") + F.col("r.alone") + _manhattan(F.col("l.seg"), F.col("r.seg"))) * (100 + percent)
-    cell = (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.step") == F.col("y.step"))
+    least = (F.col("l.alone") + F.col("r.alone") + _manhattan("l", "r")) * (100 + percent)
+    cell = (F.col("l.anchor") == F.col("r.anchor")) & (F.col("l.step") == F.col("r.step"))
+    ordered = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.page_id") < F.col("r.page_id")))
     pairs = (
-        left.alias("x").join(right.alias("y"), cell & (F.col("l.page_id") < F.col("r.page_id")) & (least <= most))
+        left.alias("l").join(posts.alias("r"), cell & ordered & (least <= most))
         .select(F.col("l.page_id").alias("a"), F.col("r.page_id").alias("b"))
         .distinct()
     )
@@ -153,29 +187,34 @@ def near_copies(pages: DataFrame, percent: int = 60, run: int = RUN) -> tuple[Da
     Pages without a run of ``run`` words in the main body, null page_ids and null html take no part; repeated rows of
     a page_id count once if their html is the same.  An empty table gives two empty tables.
     """
-    sets = cut(page_sets(pages, run))
-    first = sets.groupBy("signature").agg(F.min("page_id").alias("rep"))
-    members = sets.select("page_id", "signature").join(first, "signature").select("page_id", "rep").distinct()
-    shared = cut(shared_runs(representatives(sets)))
+    sets = cut(page_sets(pages, run).withColumns({"row": F.monotonically_increasing_id(), "n": F.size("runs")}))
+    members = cut(classes(sets))
+    sizes = members.where("page_id = rep").select("page_id", "n")
+    shared = cut(shared_runs(representatives(sets, members)).join(sizes, "page_id"))
     return members, similar_classes(shared, percent)
 
 
 def near_pairs(pages: DataFrame, percent: int = 60, run: int = RUN) -> DataFrame:
     """(page_id_a, page_id_b), a < b: the pairs of pages, copies expanded up to EXPANDED members of a class."""
     members, pairs = near_copies(pages, percent, run)
-    members, pairs = cut(members), cut(pairs)
-    sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
-    shown = members.join(sizes, "rep").select("rep", "page_id", ((F.col("size") <= EXPANDED) | (F.col("page_id") == F.col("rep"))).alias("open"))
-    several = shown.join(sizes.where("size > 1").select("rep"), "rep", "left_semi")
-    within = several.where("open").select("rep", F.col("page_id").alias("p")).join(several.select("rep", F.col("page_id").alias("q")), "rep").where("p < q").select("p", "q")
-    ends = shown.where("open").select("rep", "page_id")
+    pairs = cut(pairs)
+    several = members.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1")
+    shown = members.join(several, "rep", "left").select(
+        "rep", "page_id", F.coalesce("size", F.lit(1)).alias("size"), (F.coalesce("size", F.lit(1)) <= EXPANDED).alias("whole")
+    )
+    group = shown.where("size > 1")
+    within = (
+        group.where("whole or page_id = rep").select("rep", F.col("page_id").alias("p"))
+        .join(group.select("rep", F.col("page_id").alias("q")), "rep").where("p < q").select("p", "q")
+    )
+    ends = shown.where("whole or page_id = rep").select("rep", "page_id")
     across = (
         pairs.join(ends.select(F.col("rep").alias("a"), F.col("page_id").alias("p")), "a")
         .join(ends.select(F.col("rep").alias("b"), F.col("page_id").alias("q")), "b")
         .select("p", "q")
     )
     low, high = F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b")
-    return within.unionByName(across).select(low, high).where("page_id_a < page_id_b")
+    return within.unionByName(across).select(low, high)
 
 
 def near_groups(pages: DataFrame, percent: int = 60, run: int = RUN) -> DataFrame:
@@ -183,7 +222,7 @@ def near_groups(pages: DataFrame, percent: int = 60, run: int = RUN) -> DataFram
     members, pairs = near_copies(pages, percent, run)
     both = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     return (
-        members.withColumnRenamed("rep", "class_id")
+        members.select("page_id", F.col("rep").alias("class_id"))
         .join(both, "class_id", "left")
         .select("page_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
     )
