@@ -50,8 +50,20 @@ def _p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(tune(spark), folder, "pages"))
 
 
+def _p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.personal import personal_found
+
+    return personal_found(table(tune(spark), folder, "documents"))
+
+
+def _p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.personal import redacted
+
+    return redacted(table(tune(spark), folder, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p2_found": _p2_found, "p3_found": _p3_found, "p4_found": _p4_found, "p6_found": _p6_found, "p6_groups": _p6_groups}
+    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p2_found": _p2_found, "p3_found": _p3_found, "p4_found": _p4_found, "p6_found": _p6_found, "p6_groups": _p6_groups, "p9_found": _p9_found, "p9_redacted": _p9_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
