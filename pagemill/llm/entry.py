@@ -50,6 +50,34 @@ def _p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(tune(spark), folder, "pages"))
 
 
+def _p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.packing import packed
+
+    tune(spark)
+    return packed(table(spark, folder, "documents"), table(spark, folder, "container_spec"))
+
+
+def _p7_filling(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.packing import filling
+
+    tune(spark)
+    return filling(table(spark, folder, "documents"), table(spark, folder, "container_spec"))
+
+
+def _p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.mixing import mix
+
+    tune(spark)
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def _p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.mixing import shares
+
+    tune(spark)
+    return shares(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
 def _p9_found(spark: SparkSession, folder: str) -> DataFrame:
     from pagemill.llm.personal import personal_found
 
@@ -63,7 +91,21 @@ def _p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": _p1_found, "p1_collapsed": _p1_collapsed, "p2_found": _p2_found, "p3_found": _p3_found, "p4_found": _p4_found, "p6_found": _p6_found, "p6_groups": _p6_groups, "p9_found": _p9_found, "p9_redacted": _p9_redacted}
+    return {
+        "p1_found": _p1_found,
+        "p1_collapsed": _p1_collapsed,
+        "p2_found": _p2_found,
+        "p3_found": _p3_found,
+        "p4_found": _p4_found,
+        "p6_found": _p6_found,
+        "p6_groups": _p6_groups,
+        "p7_packed": _p7_packed,
+        "p7_filling": _p7_filling,
+        "p8_mixed": _p8_mixed,
+        "p8_shares": _p8_shares,
+        "p9_found": _p9_found,
+        "p9_redacted": _p9_redacted,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
