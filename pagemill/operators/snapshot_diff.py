@@ -98,3 +98,99 @@ def snapshot_changes(snapshots: DataFrame, page_state: DataFrame, issues: DataFr
     pages = keyed_records(page_state, "page", "path", PAGE_FIELDS)
     rules = keyed_records(issues, "issue", "rule_id", ISSUE_FIELDS)
     return diff_series(series_of(snapshots), pages.unionByName(rules))
+
+
+#: Rules whose result depends on the host, not the code.
+HOST_RULES = (
+    "indexing-noindex indexing-noindex-utility indexing-canonical-mismatch indexing-canonical-target-invalid indexing-hreflang-invalid "
+    "indexing-sitemap-hygiene indexing-sitemap-gaps indexing-robots-unavailable indexing-robots-html indexing-robots-blocks-google "
+    "indexing-robots-blocks-pages indexing-https-certificate indexing-soft-404-site framework-sitemap-missing framework-robots-missing "
+    "framework-robots-no-sitemap perf-slow-ttfb"
+).split()
+LEVELS = {"info": 1, "warning": 2, "critical": 3}
+
+
+def _state_pairs(series: DataFrame, page_state: DataFrame) -> DataFrame:
+    """(snapshot_id, path, a, b): states of a path in a snapshot and the one before, for paths of the later one."""
+    held = F.max_by(F.struct(*PAGE_FIELDS), F.struct("loaded_at", F.xxhash64(*PAGE_FIELDS)))
+    state = page_state.where("snapshot_id is not null and path is not null").groupBy("snapshot_id", "path").agg(held.alias("s"))
+    later = series.where("place > 1").select("snapshot_id")
+    before = state.join(series.where("next_id is not null").select("snapshot_id", "next_id"), "snapshot_id").select(F.col("next_id").alias("snapshot_id"), "path", F.col("s").alias("a"))
+    return state.join(later, "snapshot_id", "left_semi").withColumnRenamed("s", "b").join(before, ["snapshot_id", "path"], "left")
+
+
+def page_regressions(snapshots: DataFrame, page_state: DataFrame) -> DataFrame:
+    """(snapshot_id, kind, level, path): typed changes of the pages that both snapshots of a pair hold."""
+    pair = _state_pairs(series_of(snapshots), page_state).where("a is not null")
+    fine = lambda x: F.col(f"{x}.status").between(200, 299) & (F.coalesce(f"{x}.redirected_to", F.lit("")) == "")
+    text = lambda x, f: F.coalesce(F.col(f"{x}.{f}"), F.lit(""))
+    hidden = lambda x: F.coalesce(F.col(f"{x}.noindex_meta"), F.lit(False)) | F.coalesce(F.col(f"{x}.noindex_header"), F.lit(False))
+    was, now = F.coalesce(fine("a"), F.lit(False)), F.coalesce(fine("b"), F.lit(False))
+    error = was & (F.col("b.status") >= 400)
+    moved = was & ~error & (text("b", "redirected_to") != "")
+    both = was & now
+    target = F.regexp_replace(F.regexp_extract(text("b", "canonical"), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)?([^?#]*)", 1), "/+$", "")
+    elsewhere = (text("b", "canonical") != "") & (F.when(target == "", "/").otherwise(target) != F.col("path"))
+    change = lambda when, kind, level: F.when(when, F.struct(F.lit(kind).alias("kind"), level.alias("level")))
+    kinds = F.array_compact(F.array(
+        change(error, "page-error", F.lit("critical")),
+        change(moved, "redirect-added", F.lit("warning")),
+        change(both & ~hidden("a") & hidden("b"), "noindex-added", F.lit("critical")),
+        change(both & hidden("a") & ~hidden("b"), "noindex-removed", F.lit("info")),
+        change(both & (text("a", "canonical") != text("b", "canonical")), "canonical-changed", F.when(elsewhere, "warning").otherwise("info")),
+        change(both & (text("a", "title") != text("b", "title")), "titles-changed", F.lit("info")),
+        change(both & (text("a", "h1") != "") & (text("b", "h1") == ""), "h1-removed", F.lit("warning")),
+        change(both & (text("a", "description") != "") & (text("b", "description") == ""), "description-removed", F.lit("warning")),
+    ))
+    return pair.select("snapshot_id", "path", F.explode(kinds).alias("k")).select("snapshot_id", "k.kind", "k.level", "path")
+
+
+def site_regressions(snapshots: DataFrame) -> DataFrame:
+    """(snapshot_id, kind, level): typed changes of robots.txt, sitemap and score against the snapshot before."""
+    one = snapshots.where("snapshot_id is not null").groupBy("snapshot_id").agg(F.max_by(F.struct("overall", "robots", "sitemap"), "loaded_at").alias("s"))
+    series = series_of(snapshots)
+    rows = series.join(one, "snapshot_id").withColumn("p", F.lag("s").over(Window.partitionBy("url").orderBy("place"))).where("place > 1")
+    c = F.col
+    failing = lambda x: F.coalesce((c(f"{x}.robots.status") >= 500) | (c(f"{x}.robots.status") == 429), F.lit(False))
+    opened = lambda x: F.coalesce(c(f"{x}.robots.googlebot_allowed"), F.lit(True))
+    blocked = lambda x: F.coalesce(c(f"{x}.robots.ai_search_blocked"), F.array().cast("array<string>"))
+    newly = F.size(F.array_except(blocked("s"), blocked("p"))) > 0
+    differs = F.coalesce(c("p.robots.hash"), F.lit("")) != F.coalesce(c("s.robots.hash"), F.lit(""))
+    had, has = (F.coalesce(c(f"{x}.sitemap.present"), F.lit(False)) for x in "ps")
+    change = lambda when, kind, level: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level")))
+    gone = had & ~has
+    kinds = F.array_compact(F.array(
+        change(opened("p") & ~opened("s"), "googlebot-blocked", "critical"),
+        change(~opened("p") & opened("s"), "googlebot-unblocked", "info"),
+        change(newly, "ai-search-blocked", "warning"),
+        change(~failing("p") & failing("s"), "robots-unavailable", "critical"),
+        change(~(~failing("p") & failing("s")) & differs & (opened("p") == opened("s")) & ~newly, "robots-changed", "info"),
+        change(gone, "sitemap-gone", "warning"),
+        change(~gone & (c("p.sitemap.urls") >= 10) & (c("s.sitemap.urls") < c("p.sitemap.urls") * 0.8), "sitemap-shrunk", "warning"),
+        change(c("s.overall") - c("p.overall") <= -5, "score-drop", "warning"),
+    ))
+    return rows.select("snapshot_id", F.explode(kinds).alias("k")).select("snapshot_id", "k.kind", "k.level")
+
+
+def issue_deltas(snapshots: DataFrame, issues: DataFrame) -> DataFrame:
+    """(snapshot_id, rule_id, delta, fresh): new, worsened (with how many new paths) and resolved rules."""
+    series = series_of(snapshots)
+    one = issues.where("snapshot_id is not null and rule_id is not null").groupBy("snapshot_id", "rule_id").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce("paths", F.array().cast("array<string>"))))).alias("paths")
+    )
+    b = one.join(series.where("place > 1").select("snapshot_id"), "snapshot_id", "left_semi").withColumnRenamed("paths", "pb")
+    a = one.join(series.where("next_id is not null").select("snapshot_id", "next_id"), "snapshot_id").select(F.col("next_id").alias("snapshot_id"), "rule_id", F.col("paths").alias("pa"))
+    met = b.join(a, ["snapshot_id", "rule_id"], "full")
+    fresh = F.size(F.array_except("pb", "pa"))
+    delta = F.when(F.col("pa").isNull(), "new").when(F.col("pb").isNull(), "resolved").when(fresh > 0, "worsened")
+    count = F.when(delta == "new", F.size("pb")).when(delta == "worsened", fresh).otherwise(0)
+    return met.select("snapshot_id", "rule_id", delta.alias("delta"), count.alias("fresh")).where("delta is not null")
+
+
+def gate(pages: DataFrame, site: DataFrame, level: str = "critical") -> DataFrame:
+    """(snapshot_id, fails): whether a snapshot holds a change of at least ``level`` against the one before."""
+    rank = F.lit(0)
+    for name, value in LEVELS.items():
+        rank = F.when(F.col("level") == name, value).otherwise(rank)
+    both = pages.select("snapshot_id", "level").unionByName(site.select("snapshot_id", "level"))
+    return both.groupBy("snapshot_id").agg((F.max(rank) >= LEVELS[level]).alias("fails"))

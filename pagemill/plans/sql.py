@@ -26,3 +26,7 @@ where a.k is null or b.k is null or a.sig is distinct from b.sig
 """
 
 ORACLE = {"p5_found": P5}
+
+
+def oracle() -> dict[str, str]:
+    return dict(ORACLE)
