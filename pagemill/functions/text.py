@@ -44,7 +44,7 @@ def reading_ease(text: Column) -> Column:
     sentences = F.greatest(F.lit(1), stops, F.floor(n / 25 + 0.5))
     spoken = F.aggregate(ws, F.lit(0), lambda a, w: a + syllables(w))
     ease = F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (spoken / n)
-    return F.when(n < 20, F.lit(100).cast("bigint")).otherwise(F.floor(ease + 0.5))
+    return F.when(n < 20, F.lit(100).cast("bigint")).otherwise(F.floor(F.round(ease, 9) + 0.5))
 
 
 def fnv1a(text: Column) -> Column:
@@ -64,7 +64,7 @@ def meta_noindex(robots: Column, googlebot: Column) -> Column:
 
 def header_directives(header: Column, agent: str = "googlebot") -> Column:
     """The directives of an X-Robots-Tag value that apply to ``agent``; a crawler's scope holds for what follows it."""
-    parts = F.filter(F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.lower(F.coalesce(header, F.lit(""))), ","), lambda p: F.trim(p)), lambda p: p != "")
     scoped = lambda p: p.rlike(r"^[a-z0-9_-]+\s*:") & ~p.rlike(r"^(max-snippet|max-image-preview|max-video-preview|unavailable_after)\s*:")
     named = lambda p: F.trim(F.regexp_extract(p, r"^([a-z0-9_-]+)\s*:", 1))
     rest = lambda p: F.trim(F.regexp_replace(p, r"^[a-z0-9_-]+\s*:", ""))

@@ -88,8 +88,10 @@ def content_findings(pages: DataFrame) -> DataFrame:
 def shingles(body: Column, size: int = SHINGLE) -> Column:
     """Distinct hashes of all runs of ``size`` words; shorter texts give one run of all words, empty ones none."""
     ws = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(body, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, size), " ")))
-    return F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
+    # The words are bound to a lambda's variable, else every run would split the text anew.
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+    found = F.get(F.transform(F.array(ws), lambda w: F.when(F.size(w) > 0, F.array_distinct(runs(w)))), F.lit(0))
+    return F.coalesce(found, F.array().cast("array<bigint>"))
 
 
 def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:

@@ -111,7 +111,7 @@ def links(html: Column, base: Column) -> Column:
 def json_ld(html: Column) -> Column:
     """JSON-LD blocks that parse, as written."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda j: F.try_parse_json(j).isNotNull())
+    return F.filter(F.transform(found, lambda j: F.trim(j)), lambda j: F.try_parse_json(j).isNotNull())
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def checks(pages: DataFrame, site_files: DataFrame) -> DataFrame:
     )
     signals = robots.content_signals(site_files).groupBy("site_id").agg(F.count("*").alias("signals"))
     text = F.coalesce("llms_txt", F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     formed = F.coalesce(F.get(lines, F.lit(0)).rlike(r"^#\s+\S"), F.lit(False)) & text.rlike(r"\[[^\]]+\]\([^)\s]+\)")
     files = site_files.select("site_id", (F.coalesce("has_llms_txt", F.lit(False)) & formed).alias("llms"))
     zero = ["n", "shell", "answers", "entity", "same_as", "author", "dated", "facts", "described", "questions", "search", "training", "signals"]

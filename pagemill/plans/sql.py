@@ -1,4 +1,278 @@
-"""SQL with the results of the core's queries."""
+"""SQL with the results of the core's queries, in the dialect of the engine that checks them."""
+
+from pagemill.functions.robots import BOTS, KNOWN
+from pagemill.functions.text import STOPWORDS
+from pagemill.functions.urls import UTILITY_SEGMENTS
+from pagemill.operators.rules import GENERIC_ANCHORS, MALFORMED, SCHEMA_REQUIRED
+from pagemill.operators.scoring import CAPS, CATEGORIES, EFFORT, IMPACT, PENALTY, RISK
+from pagemill.operators.site_rules import LANGUAGES, REGIONS
+
+
+def _texts(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def _case(column: str, table: dict, default) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in table.items()) + f" else {default} end"
+
+
+# URL parts, over a column or expression.
+def _origin(u: str) -> str:
+    return f"nullif(lower(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*')), '')"
+
+
+def _raw_path(u: str) -> str:
+    found = f"regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    return f"case when regexp_matches({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then case when {found} = '' then '/' else {found} end end"
+
+
+def _path(u: str) -> str:
+    found = f"rtrim(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')"
+    return f"case when regexp_matches({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://') then case when {found} = '' then '/' else {found} end end"
+
+
+def _key(u: str) -> str:
+    return f"({_origin(u)} || {_path(u)})"
+
+
+def _host(u: str) -> str:
+    return f"regexp_extract({_origin(u)}, '://(.*)$', 1)"
+
+
+def _bare(u: str) -> str:
+    return f"regexp_replace({_host(u)}, '^www\\.', '')"
+
+
+def _resolve(h: str, b: str) -> str:
+    folder = f"regexp_replace({_raw_path(b)}, '[^/]*$', '')"
+    h = f"trim({h})"
+    return (
+        f"case when regexp_matches({h}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then {h} when {h} like '//%' then split_part({_origin(b)}, ':', 1) || ':' || {h} "
+        f"when {h} like '/%' then {_origin(b)} || {h} when {h} = '' or {h} like '#%' then split_part({b}, '#', 1) when {h} like '?%' then {_origin(b)} || ({_raw_path(b)}) || {h} "
+        f"else regexp_replace(regexp_replace({_origin(b)} || {folder} || {h}, '/\\./', '/', 'g'), '/[^/]+/\\.\\./', '/', 'g') end"
+    )
+
+
+def _utility(p: str) -> str:
+    return f"len(list_intersect(list_transform(string_split(lower({p}), '/'), lambda s: regexp_replace(s, '\\.(html?|php)$', '')), [{_texts(UTILITY_SEGMENTS)}])) > 0"
+
+
+# Pages once each, with the populations of the rules.
+_HEADER = """exists (select 1 from (
+  select d, last_value(scope ignore nulls) over (order by i) as s from (
+    select i, case when regexp_matches(p, '^[a-z0-9_-]+\\s*:') and not regexp_matches(p, '^(max-snippet|max-image-preview|max-video-preview|unavailable_after)\\s*:')
+        then trim(regexp_replace(p, '^[a-z0-9_-]+\\s*:', '')) else p end as d,
+      case when regexp_matches(p, '^[a-z0-9_-]+\\s*:') and not regexp_matches(p, '^(max-snippet|max-image-preview|max-video-preview|unavailable_after)\\s*:')
+        then regexp_extract(p, '^([a-z0-9_-]+)\\s*:', 1) end as scope
+    from (select unnest(list_transform(string_split(lower(x), ','), lambda v: trim(v))) as p, unnest(range(len(string_split(x, ',')))) as i))
+  ) where d in ('noindex', 'none') and (s is null or s = 'googlebot'))"""
+
+PAGES = f"""
+hdr as (select x, {_HEADER} as hidden from (select distinct x_robots_tag as x from pages where x_robots_tag is not null) q),
+pg as (
+  select p.*, coalesce(status between 200 and 299, false) as ok, coalesce(status >= 400, false) as errored, coalesce({_path("url")}, url) as path, {_key("url")} as pkey,
+    regexp_matches(coalesce(lower(meta_robots), ''), '\\b(noindex|none)\\b') or regexp_matches(coalesce(lower(meta_googlebot), ''), '\\b(noindex|none)\\b') as meta_noindex,
+    coalesce(h.hidden, false) as header_noindex
+  from (select * from pages qualify row_number() over (partition by site_id, page_id order by loaded_at) = 1) p left join hdr h on h.x = p.x_robots_tag),
+f as (select *, meta_noindex or header_noindex as noindex, ok and not meta_noindex as indexable from pg)
+"""
+
+
+def _ease() -> str:
+    ws = "list_filter(regexp_split_to_array(coalesce(text_content, ''), '[\\s\\p{Z}]+'), lambda w: w <> '')"
+    syl = (
+        "list_sum(list_transform(ws, lambda w: case when len(regexp_replace(lower(w), '[^a-z]', '', 'g')) <= 3 then 1 else greatest(1, "
+        "len(regexp_extract_all(regexp_replace(regexp_replace(lower(w), '[^a-z]', '', 'g'), 'e$', ''), '[aeiouy]+'))) end))"
+    )
+    return (
+        f"select site_id, page_id, case when n < 20 then 100 else cast(floor(round(206.835e0 - 1.015e0 * (n / s) - 84.6e0 * (y / n), 9) + 0.5) as bigint) end as ease from ("
+        f"select site_id, page_id, cast(len(ws) as double) as n, greatest(1, len(regexp_extract_all(coalesce(text_content, ''), '[.!?]+')), floor(len(ws) / 25.0 + 0.5)) as s, {syl} as y "
+        f"from (select site_id, page_id, text_content, {ws} as ws from f))"
+    )
+
+
+def _schema() -> str:
+    cases = []
+    for name, required in SCHEMA_REQUIRED.items():
+        absent = lambda p: f"coalesce(json_extract_string(j, '$.{p}'), '') = ''"
+        lacks = [
+            f"case when {' and '.join(map(absent, r))} then 'one of {'/'.join(r)}' end" if isinstance(r, list) else f"case when {absent(r)} then '{r}' end"
+            for r in required
+        ]
+        found = f"list_filter([{', '.join(lacks)}], lambda x: x is not null)"
+        cases.append(f"case when json_extract_string(j, '$.@type') = '{name}' and len({found}) > 0 then '{name} missing ' || array_to_string({found}, ', ') end")
+    return f"list_filter([{', '.join(cases)}], lambda x: x is not null)"
+
+
+_SOFT = (
+    "(?i)(^|[\\s|:–-])404([\\s|:–-]|$)|\\bpage (?:was )?not found\\b|\\b(?:could not|can[''’]?t|cannot) be found\\b|^\\s*not found\\s*$"
+    "|page introuvable|page non trouv[ée]e|seite nicht gefunden|p[áa]gina no encontrada|pagina non trovata|pagina niet gevonden"
+)
+_HEAD = "case when regexp_matches(html, '(?i)</head>') then regexp_extract(html, '(?is)^(.*?)</head>', 1) else html[1:200000] end"
+
+
+def _malformed() -> str:
+    h = "trim(l.href)"
+    tests = {
+        "one slash": f"regexp_matches({h}, '(?i)^https?:/([^/]|$)')", "missing colon": f"regexp_matches({h}, '(?i)^https?//')",
+        "misspelt scheme": f"regexp_matches({h}, '(?i)^(?:htp|htps|htt|hhtp|htttp|htttps|ttp|ttps):')", "backslash": f"contains({h}, chr(92))", "space inside": f"regexp_matches({h}, '^\\S*\\s+\\S')",
+    }
+    assert list(tests) == [name for _, name in MALFORMED]
+    fault = "case " + " ".join(f"when {t} then '{n}'" for n, t in tests.items()) + " end"
+    return f"list_filter(list_transform(coalesce(links, []), lambda l: case when {h} <> '' and not regexp_matches({h}, '(?i)^(mailto|tel|javascript|data|sms):') and {h} not like '#%' then {fault} end), lambda x: x is not null)"
+
+
+def _page_rules() -> dict[str, tuple[str, str]]:
+    """Predicate and note over the CTE f."""
+    og = "og['og:image']"
+    og_fault = (
+        f"case when trim({og}) like '//%' then null when not regexp_matches(trim({og}), '^[a-zA-Z][a-zA-Z0-9+.-]*:') then 'relative URL' "
+        f"when not regexp_matches(trim({og}), '(?i)^https?:') then lower(split_part(trim({og}), ':', 1)) || ' URL' "
+        f"when coalesce({_host(f'trim({og})')}, '') = '' then 'malformed URL' when regexp_matches({_host(f'trim({og})')}, '^(localhost|127\\.\\d+\\.\\d+\\.\\d+|0\\.0\\.0\\.0)(:\\d+)?$') "
+        f"and not regexp_matches({_host('url')}, '^(localhost|127\\.\\d+\\.\\d+\\.\\d+|0\\.0\\.0\\.0)(:\\d+)?$') then 'points at localhost' end"
+    )
+    title = "trim(coalesce(title, ''))"
+    bare = "len(list_filter(coalesce(images, []), lambda i: trim(coalesce(i.alt, '')) = ''))"
+    lazy = "len(list_filter(coalesce(images, []), lambda i: coalesce(lower(i.loading) = 'lazy', false)))"
+    generic = f"len(list_filter(coalesce(links, []), lambda l: coalesce(l.internal and lower(trim(l.anchor)) in ({_texts(GENERIC_ANCHORS)}), false)))"
+    blocking = "coalesce(render_blocking.scripts, 0) + coalesce(render_blocking.stylesheets, 0)"
+    params = "case when contains(url, '?') then len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '')) else 0 end"
+    shape = (
+        f"list_filter([case when contains({_path('url')}, '_') then 'underscore' end, case when {params} > 2 then cast({params} as varchar) || ' parameters' end, "
+        "case when length(url) > 200 then 'long' end], lambda x: x is not null)"
+    )
+    elsewhere = f"coalesce({_key(_resolve('nullif(canonical, chr(39) || chr(39))'.replace('chr(39) || chr(39)', repr('')), 'url'))} <> pkey, false)"
+    canonicals = f"len(regexp_extract_all({_HEAD}, '(?i)<link\\b[^>]*\\brel=[\"'']?canonical\\b[^>]*>'))"
+    steps = "len(list_filter(list_zip(list_transform(coalesce(headings, []), lambda h: h.level), list_transform(coalesce(headings, []), lambda h: h.level)[2:]), lambda z: coalesce(z[2] > z[1] + 1, false))) > 0"
+    shell = "(?is)<div\\b[^>]*\\bid\\s*=\\s*[\"''](root|app|__next|__nuxt|svelte)[\"''][^>]*>\\s*</div>|<main\\b[^>]*\\bid\\s*=\\s*[\"''](root|app|__next|__nuxt|svelte)[\"''][^>]*>\\s*</main>|<app-root\\b[^>]*>\\s*</app-root>"
+    text = lambda x: f"cast({x} as varchar)"
+    none = "cast(null as varchar)"
+    return {
+        "meta-title-missing": (f"indexable and {title} = ''", none),
+        "meta-title-length": (f"indexable and {title} <> '' and (length({title}) < 15 or length({title}) > 65)", text("length(title)")),
+        "meta-description-missing": ("indexable and trim(coalesce(meta_description, '')) = ''", none),
+        "meta-og-image-missing": (f"ok and coalesce({og}, '') = ''", none),
+        "meta-og-image-url": (f"ok and coalesce({og}, '') <> '' and ({og_fault}) is not null", og_fault),
+        "indexing-canonical-missing": ("indexable and coalesce(canonical, '') = ''", none),
+        "indexing-html-lang-missing": ("ok and coalesce(lang, '') = ''", none),
+        "indexing-broken-page": ("errored", text("status")),
+        "indexing-soft-404": (f"ok and coalesce(word_count, 0) < 250 and (regexp_matches(coalesce(title, ''), '{_SOFT}') or regexp_matches(coalesce(h1s[1], ''), '{_SOFT}'))", none),
+        "indexing-canonical-multiple": (f"ok and {canonicals} > 1", text(canonicals)),
+        "indexing-meta-refresh": (f"ok and regexp_matches({_HEAD}, '(?i)<meta\\b[^>]*http-equiv=[\"'']?refresh[\"'']?[^>]*>')", none),
+        "structure-h1-missing": ("indexable and len(coalesce(h1s, [])) = 0", none),
+        "structure-h1-multiple": ("indexable and len(h1s) > 1", text("len(h1s)")),
+        "structure-heading-skip": (f"indexable and {steps}", none),
+        "structure-thin-content": ("indexable and coalesce(word_count, 0) < 120", text("coalesce(word_count, 0)")),
+        "structure-url-format": (f"ok and not noindex and not {elsewhere} and len({shape}) > 0", f"array_to_string({shape}, '; ')"),
+        "content-readability": ("indexable and word_count >= 200 and ease < 20", text("ease")),
+        "img-alt-missing": (f"ok and {bare} > 0", text(bare)),
+        "img-dimensions-missing": ("ok and images_missing_dims > 0", text("images_missing_dims")),
+        "img-lazy-missing": (f"ok and len(images) >= 5 and {lazy} / len(images) < 0.3", text(f"len(images) - {lazy}")),
+        "schema-missing": ("indexable and len(coalesce(json_ld, [])) = 0", none),
+        "schema-invalid": (
+            f"indexable and len(flatten(list_transform(coalesce(json_ld, []), lambda j: {_schema()}))) > 0",
+            f"array_to_string(flatten(list_transform(coalesce(json_ld, []), lambda j: {_schema()}))[1:3], '; ')",
+        ),
+        "link-deep-pages": ("depth >= 4", text("depth")),
+        "link-generic-anchors": (f"ok and {generic} > 0", text(generic)),
+        "link-malformed": (f"ok and len({_malformed()}) > 0", f"cast(len({_malformed()}) as varchar) || ' ' || ({_malformed()})[1]"),
+        "perf-slow-ttfb": ("ok and response_time_ms > 800", text("response_time_ms")),
+        "perf-render-blocking": (f"ok and {blocking} >= 3", text(blocking)),
+        "perf-heavy-html": ("ok and html_bytes > 250000", text("html_bytes")),
+        "perf-viewport-missing": ("ok and coalesce(viewport, '') = ''", none),
+        "perf-viewport-no-width": ("ok and viewport <> '' and not regexp_matches(lower(viewport), 'width\\s*=')", none),
+        "framework-js-only-content": (f"indexable and coalesce(word_count, 0) < 50 and regexp_matches(html, '(?is)<script\\b[^>]*\\bsrc\\s*=') and regexp_matches(html, '{shell}')", none),
+    }
+
+
+def _page_findings(only: list[str] | None = None) -> str:
+    rules = {k: v for k, v in _page_rules().items() if only is None or k in only}
+    base = "f" if only is not None and "content-readability" not in only else f"(select f.*, e.ease from f join ({_ease()}) e using (site_id, page_id))"
+    return " union all ".join(f"select site_id, '{k}' as rule_id, path as url, {note} as note, ord from {base} f where {when}" for k, (when, note) in rules.items())
+
+
+def _shared(column: str, rule: str) -> str:
+    return (
+        f"with {PAGES} select site_id, '{rule}' as rule_id, path as url, {column} as note, ord from "
+        f"(select *, count(*) over (partition by site_id, lower(trim({column}))) as c from f where indexable and trim({column}) <> '') where c > 1"
+    )
+
+
+_ISSUES = f"""iss as (
+  select site_id, rule_id, least(n, {_case("rule_id", CAPS, 1 << 40)}) as affected from (select site_id, rule_id, count(*) as n from fi group by 1, 2)),
+ok_pages as (select site_id, count(distinct page_id) as pages from pages where status between 200 and 299 group by 1)"""
+
+
+def _catalog() -> str:
+    from pagemill.operators.rules import CATALOG
+
+    rows = ", ".join(f"('{r.id}', '{r.category}', '{r.impact}', '{r.effort}', '{r.risk}', {r.confidence})" for r in CATALOG)
+    return f"cat as (select * from (values {rows}) v(rule_id, category, impact, effort, risk, confidence))"
+
+
+def _scored() -> str:
+    return f"with {PAGES}, fi as ({_page_findings()}), {_ISSUES}, {_catalog()}"
+
+
+_SCORES = f"""cats as (select unnest([{_texts(CATEGORIES)}]) as category),
+scores as (
+  select o.site_id, c.category, cast(floor(greatest(0.0, round(100 - coalesce(sum(p), 0), 9)) + 0.5) as bigint) as score from ok_pages o cross join cats c left join (
+    select i.site_id, k.category, {_case("k.impact", PENALTY, 0)} * (0.25 + 0.75 * least(1.0, affected / greatest(1, pages))) as p
+    from iss i join cat k using (rule_id) join ok_pages using (site_id)) l on l.site_id = o.site_id and l.category = c.category group by 1, 2)"""
+
+_LOOKUP = f"""look as (
+  select site_id, key, arg_min(via, (via, o, page_id)) as via_redirect, arg_min(t, (via, o, page_id)) as t from (
+    select site_id, pkey as key, false as via, coalesce(ord, {1 << 62}) as o, page_id, {{'url': url, 'status': status, 'noindex': noindex, 'canonical': canonical, 'path': path}} as t from f
+    union all
+    select site_id, {_key("h")} as key, true, coalesce(ord, {1 << 62}), page_id, {{'url': url, 'status': status, 'noindex': noindex, 'canonical': canonical, 'path': path}} from (select *, unnest(redirected_from) as h from f)
+  ) where key is not null group by 1, 2)"""
+
+_EDGES = f"""nd as (select site_id, path, arg_max(page_id, (coalesce(ord, -1), page_id)) as page_id, arg_max(status, (coalesce(ord, -1), page_id)) as status from f where url is not null group by 1, 2),
+ed as (
+  select distinct e.site_id, e.src, e.dst from (
+    select site_id, src, {_path("t")} as dst from (
+      select site_id, src, {_resolve("href", "url")} as t from (select site_id, path as src, url, unnest(links).href as href, unnest(links).internal as internal from f where url is not null) where internal and href is not null)
+  ) e join nd n on n.site_id = e.site_id and n.path = e.dst where e.dst is not null and e.dst <> e.src)"""
+
+_LINES = """ln as (
+  select site_id, line, trim(regexp_replace(raw, '#.*$', '')) as text from (
+    select site_id, unnest(regexp_split_to_array(robots_txt, '\\r?\\n')) as raw, unnest(range(1, len(regexp_split_to_array(robots_txt, '\\r?\\n')) + 1)) as line from site_files where robots_txt is not null)),
+dr as (
+  select site_id, line, case when instr(text, ':') > 1 then lower(trim(text[1:instr(text, ':') - 1])) end as name, case when instr(text, ':') > 0 then trim(text[instr(text, ':') + 1:]) end as value from ln where text <> '')"""
+_GROUPS = (
+    _LINES
+    + """,
+gr as (
+  select site_id, name, value, sum(b) over (partition by site_id order by line) as grp from (
+    select *, case when name = 'user-agent' and coalesce(lag(name) over (partition by site_id order by line), '') <> 'user-agent' then 1 else 0 end as b
+    from dr where regexp_matches(name, '^[a-z-]+$'))),
+bots as (select * from (values """
+    + ", ".join(f"('{b}', '{p}', {'null' if f is None else repr(f)})" for b, _, p, f in BOTS)
+    + """) v(bot, purpose, fallback)),
+gov as (
+  select distinct site_id, bot, grp from (
+    select *, min(r) over (partition by site_id, bot) as best from (
+      select site_id, grp, bot, case when value <> '*' and contains(lower(bot), lower(value)) then 1 when fallback is not null and value <> '*' and contains(lower(fallback), lower(value)) then 2 when value = '*' then 3 end as r
+      from gr cross join bots where name = 'user-agent' and grp > 0) where r is not null) where r = best),
+rl as (select site_id, grp, name = 'allow' as allow, value as pattern from gr where grp > 0 and name in ('allow', 'disallow') and value <> ''),
+acc as (
+  select s.site_id, b.bot, b.purpose, coalesce(v.allow, true) as allowed from (select distinct site_id from site_files) s cross join bots b left join (
+    select site_id, bot, arg_max(allow, (length(pattern), allow)) as allow from gov join rl using (site_id, grp)
+    where regexp_matches('/', '^' || regexp_replace(regexp_replace(rtrim(pattern, '$'), '([.+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '\\*', '.*', 'g') || case when pattern like '%$' then '$' else '' end)
+    group by 1, 2) v on v.site_id = s.site_id and v.bot = b.bot)"""
+)
+
+_TOKENS = f"""tk as (
+  select site_id, page_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text_content, '')), '[^a-z0-9]', ' ', 'g'), ' +'),
+    lambda w: length(w) between 3 and 24 and w not in ({_texts(STOPWORDS)}) and not regexp_matches(w, '^[0-9]+$')) as t, word_count, path, title, h1s
+  from f where indexable and word_count > 0),
+tc as (
+  select site_id, page_id, term, count(*) as n, min(pos) as first, any_value(total) as total from (
+    select site_id, page_id, unnest(t) as term, unnest(range(len(t))) as pos, len(t) as total from tk) group by 1, 2, 3),
+tw as (
+  select tc.*, n / total * (ln((pages + 1) / (df + 1)) + 1) as weight from tc
+  join (select site_id, term, count(*) as df from tc group by 1, 2) using (site_id, term) join (select site_id, count(*) as pages from tk group by 1) using (site_id)),
+tr as (select *, row_number() over (partition by site_id, page_id order by round(weight, 9) desc, first) as rank from tw)"""
 
 P5 = """
 with snap as (
@@ -25,8 +299,219 @@ from a full join b on a.snapshot_id = b.snapshot_id and a.kind = b.kind and a.k
 where a.k is null or b.k is null or a.sig is distinct from b.sig
 """
 
-ORACLE = {"p5_found": P5}
+_STATES = """sn as (select snapshot_id, arg_max(url, loaded_at) as url, arg_max(taken_at, loaded_at) as taken_at, arg_max(overall, loaded_at) as overall, arg_max(robots, loaded_at) as robots, arg_max(sitemap, loaded_at) as sitemap
+  from site_snapshot where snapshot_id is not null and url is not null and taken_at is not null group by 1),
+pr as (select *, lag(snapshot_id) over w as prev_id, lag(overall) over w as p_overall, lag(robots) over w as p_robots, lag(sitemap) over w as p_sitemap from sn window w as (partition by url order by taken_at, snapshot_id)),
+st as (select * from page_state where snapshot_id is not null and path is not null qualify row_number() over (partition by snapshot_id, path order by loaded_at desc) = 1)"""
+
+
+def _regressions() -> str:
+    fine = lambda x: f"coalesce({x}.status between 200 and 299 and coalesce({x}.redirected_to, '') = '', false)"
+    hid = lambda x: f"(coalesce({x}.noindex_meta, false) or coalesce({x}.noindex_header, false))"
+    t = lambda x, c: f"coalesce({x}.{c}, '')"
+    both = f"{fine('a')} and {fine('b')}"
+    target = f"rtrim(regexp_extract({t('b', 'canonical')}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)', 1), '/')"
+    kinds = [
+        (f"{fine('a')} and b.status >= 400", "page-error", "'critical'"),
+        (f"{fine('a')} and not coalesce(b.status >= 400, false) and {t('b', 'redirected_to')} <> ''", "redirect-added", "'warning'"),
+        (f"{both} and not {hid('a')} and {hid('b')}", "noindex-added", "'critical'"),
+        (f"{both} and {hid('a')} and not {hid('b')}", "noindex-removed", "'info'"),
+        (f"{both} and {t('a', 'canonical')} <> {t('b', 'canonical')}", "canonical-changed", f"case when {t('b', 'canonical')} <> '' and (case when {target} = '' then '/' else {target} end) <> b.path then 'warning' else 'info' end"),
+        (f"{both} and {t('a', 'title')} <> {t('b', 'title')}", "titles-changed", "'info'"),
+        (f"{both} and {t('a', 'h1')} <> '' and {t('b', 'h1')} = ''", "h1-removed", "'warning'"),
+        (f"{both} and {t('a', 'description')} <> '' and {t('b', 'description')} = ''", "description-removed", "'warning'"),
+    ]
+    return " union all ".join(
+        f"select b.snapshot_id, '{k}' as kind, {lv} as level, b.path from st b join pr on pr.snapshot_id = b.snapshot_id join st a on a.snapshot_id = pr.prev_id and a.path = b.path where {w}" for w, k, lv in kinds
+    )
+
+
+def _site_regressions() -> str:
+    fail = lambda x: f"coalesce({x}.status >= 500 or {x}.status = 429, false)"
+    opened = lambda x: f"coalesce({x}.googlebot_allowed, true)"
+    newly = "len(list_filter(coalesce(robots.ai_search_blocked, []), lambda b: not list_contains(coalesce(p_robots.ai_search_blocked, []), b))) > 0"
+    gone = "coalesce(p_sitemap.present, false) and not coalesce(sitemap.present, false)"
+    kinds = [
+        (f"{opened('p_robots')} and not {opened('robots')}", "googlebot-blocked", "critical"),
+        (f"not {opened('p_robots')} and {opened('robots')}", "googlebot-unblocked", "info"),
+        (newly, "ai-search-blocked", "warning"),
+        (f"not {fail('p_robots')} and {fail('robots')}", "robots-unavailable", "critical"),
+        (f"not (not {fail('p_robots')} and {fail('robots')}) and coalesce(p_robots.hash, '') <> coalesce(robots.hash, '') and {opened('p_robots')} = {opened('robots')} and not ({newly})", "robots-changed", "info"),
+        (gone, "sitemap-gone", "warning"),
+        (f"not ({gone}) and p_sitemap.urls >= 10 and sitemap.urls < p_sitemap.urls * 0.8", "sitemap-shrunk", "warning"),
+        ("overall - p_overall <= -5", "score-drop", "warning"),
+    ]
+    return " union all ".join(f"select snapshot_id, '{k}' as kind, '{lv}' as level from pr where prev_id is not null and {w}" for w, k, lv in kinds)
+
+
+def _page_rank_events() -> str:
+    steps = []
+    for k in range(1, 41):
+        steps.append(
+            f"r{k} as materialized (select v.node, 0.15 / n + 0.85 * (coalesce(g.got, 0) + (1 - coalesce((select sum(r.rank / d.out) from ed join r{k - 1} r on r.node = ed.src join dg d on d.src = ed.src), 0)) / n) as rank "
+            f"from vx v cross join sz left join (select ed.dst, sum(r.rank / d.out) as got from ed join r{k - 1} r on r.node = ed.src join dg d on d.src = ed.src group by 1) g on g.dst = v.node)"
+        )
+    return (
+        "with ed as materialized (select distinct src, dst from (select user_id as src, lead(user_id) over (order by ts, event_id) as dst from events) where dst is not null and src <> dst), "
+        "vx as materialized (select src as node from ed union select dst from ed), dg as materialized (select src, count(*) as out from ed group by 1), sz as (select count(*) as n from vx), "
+        "r0 as (select node, 1.0 / n as rank from vx cross join sz), " + ", ".join(steps) + " select node as user_id, round(rank, 6) as page_rank from r40"
+    )
+
+
+def _language() -> str:
+    v = "lower(trim(h.lang))"
+    form = "^([a-z]{2,3})(?:-([a-z]{4}))?(?:-([a-z0-9]{2,3}))?$"
+    lang, region = f"regexp_extract({v}, '{form}', 1)", f"regexp_extract({v}, '{form}', 3)"
+    known, regions = f"({_texts(LANGUAGES)})", f"({_texts(REGIONS)})"
+    return (
+        f"case when {v} = 'x-default' then null when contains({v}, '_') then 'underscore' when not regexp_matches({v}, '{form}') then 'not a code' "
+        f"when {lang} not in {known} and {lang} in {regions} and {region} = '' then 'country' when {lang} not in {known} then 'unknown language' when {region} = '' then null "
+        f"when {region} = 'uk' then 'uk' when regexp_matches({region}, '^[0-9]+$') then 'numeric region' when {region} not in {regions} then 'unknown region' end"
+    )
 
 
 def oracle() -> dict[str, str]:
-    return dict(ORACLE)
+    pages = f"with {PAGES}"
+    rules = _page_rules()
+    out = {
+        "p5_found": P5,
+        "extract_lang": "select distinct page_id, nullif(regexp_extract(regexp_extract(html, '(?is)<html\\b[^>]*>'), '(?is)\\blang\\s*=\\s*\"([^\"]*)\"', 1), '') as lang from pages",
+        "extract_html_bytes": "select distinct page_id, cast(strlen(html) as bigint) as html_bytes from pages",
+        "extract_viewport": "select distinct page_id, nullif(regexp_extract(html, '(?is)<meta name=\"viewport\" content=\"([^\"]*)\"', 1), '') as viewport from pages",
+        "extract_robots": "select distinct page_id, lower(nullif(regexp_extract(html, '(?is)<meta name=\"robots\" content=\"([^\"]*)\"', 1), '')) as meta_robots from pages",
+        "extract_assets": (
+            f"select distinct page_id, {_resolve('ref', 'url')} as url from (select page_id, url, unnest(list_distinct(list_concat("
+            "regexp_extract_all(html, '(?is)<link rel=\"stylesheet\" href=\"([^\"]*)\"', 1), regexp_extract_all(html, '(?is)<script src=\"([^\"]*)\"', 1)))) as ref from pages)"
+        ),
+        "url_parts": f"select distinct page_id, {_host('url')} as host, {_path('url')} as path, {_key('url')} as page_key, split_part(url, '#', 1) as no_fragment, {_utility(_path('url'))} as utility from pages",
+        "reading_ease": f"{pages} select page_id, ease from ({_ease()})",
+        "fnv_hash": "select distinct page_id, cast(list_reduce(list_prepend(2166136261, list_transform(string_split(regexp_replace(url, '[^ -~]', '', 'g'), ''), lambda c: ord(c))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) as bigint) as fnv from pages",
+        "page_findings": f"{pages} {_page_findings()}",
+        "rule_meta_title_duplicate": _shared("title", "meta-title-duplicate"),
+        "rule_meta_description_duplicate": _shared("meta_description", "meta-description-duplicate"),
+        "heading_steps": (
+            "select page_id, pos, level, lag(level) over (partition by page_id order by pos) as before from (select distinct page_id, cast(pos as integer) as pos, level from "
+            "(select page_id, unnest(range(len(headings))) as pos, unnest(headings).level as level from pages))"
+        ),
+        "site_findings": " union all ".join(
+            f"select site_id, '{r}' as rule_id, start_url as url, {n} as note from site_files where {w}"
+            for r, w, n in (
+                ("framework-sitemap-missing", "not coalesce(has_sitemap, false)", "cast(null as varchar)"),
+                ("framework-robots-missing", "not coalesce(has_robots, false)", "null"),
+                ("framework-robots-no-sitemap", "has_sitemap and has_robots and not coalesce(robots_declares_sitemap, false)", "null"),
+                ("indexing-robots-unavailable", "robots_status >= 500 or robots_status = 429", "cast(robots_status as varchar)"),
+                ("indexing-robots-html", "robots_is_html", "null"),
+                ("indexing-soft-404-site", "not_found_status between 200 and 299", "cast(not_found_status as varchar)"),
+                ("indexing-https-certificate", "tls is not null and (tls.error is not null or not coalesce(tls.trusted, true) or tls.days_left <= 14)",
+                 "case when not coalesce(tls.trusted, true) or tls.error is not null or tls.days_left < 0 then 'critical' else 'high' end"),
+            )
+        ),
+        "rule_indexing_robots_format": f"with {_LINES} select site_id, 'indexing-robots-format' as rule_id, '/robots.txt' as url, cast(count(*) as varchar) as note from dr where coalesce(name, '') = '' or name not in ({_texts(KNOWN)}) group by 1",
+        "robots_access": f"with {_GROUPS} select * from acc",
+        "declared_sitemaps": f"with {_LINES} select distinct site_id, {_resolve('value', 'start_url')} as url from dr join site_files using (site_id) where name = 'sitemap' and value <> ''",
+        "probe_findings": (
+            f"with one as (select p.*, {_bare('s.start_url')} as home from (select * from probes where url is not null qualify row_number() over (partition by site_id, kind, url order by probed_at desc, status desc, final_url desc) = 1) p left join site_files s using (site_id)), "
+            "c as (select *, coalesce(kind = 'image' and status between 200 and 299 and bytes > 0, false) as m, cast(floor(bytes / 1024 + 0.5) as bigint) as kb from one), "
+            "d as (select *, m and regexp_matches(coalesce(content_type, ''), 'jpe?g|png') and bytes > 100000 as legacy from c) "
+            "select site_id, 'img-legacy-format' as rule_id, url, cast(kb as varchar) as note from d where legacy union all "
+            "select site_id, 'perf-oversized-images', url, cast(kb as varchar) from d where m and not legacy and bytes > case when regexp_matches(coalesce(content_type, ''), 'webp|avif') then 500000 else 300000 end union all "
+            "select site_id, 'link-broken-external', url, cast(status as varchar) from d where kind = 'link' and status in (404, 410, 500) union all "
+            "select site_id, 'indexing-redirect-chain', url, cast(redirects as varchar) from d where kind = 'link' and redirects >= 2 union all "
+            "select site_id, 'perf-mixed-content', url, null from d where kind = 'image' and insecure union all "
+            "select site_id, 'img-broken', url, cast(status as varchar) from d where kind = 'image' and status >= 400 union all "
+            "select site_id, 'perf-broken-assets', url, cast(status as varchar) from d where kind = 'asset' and status >= 400 union all "
+            f"select site_id, 'indexing-temporary-redirect', url, null from d where kind = 'link' and len(list_intersect(hops, [302, 307])) > 0 and {_bare('url')} = home and {_host('final_url')} is not null and not {_utility(_path('final_url'))}"
+        ),
+        "rule_canonical_targets": (
+            f"{pages}, {_LOOKUP}, r as (select f.*, {_resolve('canonical', 'url')} as goal from f where ok and canonical <> '') "
+            f"select r.site_id, 'indexing-canonical-mismatch' as rule_id, path as url, {_path('goal')} as note from r join site_files s using (site_id) where {_origin('goal')} = {_origin('s.start_url')} and {_path('goal')} <> path union all "
+            f"select site_id, 'indexing-canonical-target-invalid', url, why from (select r.site_id, r.path as url, case when t.status >= 400 then 'HTTP ' || t.status when via_redirect then 'redirect' when t.noindex then 'noindex' end as why "
+            f"from r join look on look.site_id = r.site_id and look.key = {_key('goal')} where {_key('goal')} <> pkey) where why is not null"
+        ),
+        "rule_noindex": (
+            f"{pages}, ls as (select distinct site_id, {_host('url')} || {_path('url')} as hp from sitemap_urls), "
+            f"r as (select f.*, {_path('s.start_url')} as start, l.hp is not null or coalesce(discovered_via, '') = 'sitemap' as listed from f left join ls l on l.site_id = f.site_id and l.hp = {_host('f.url')} || {_path('f.url')} left join site_files s on s.site_id = f.site_id where ok and noindex) "
+            f"select site_id, case when not listed and not coalesce(path = start, false) and {_utility('path')} then 'indexing-noindex-utility' else 'indexing-noindex' end as rule_id, path as url, "
+            "array_to_string(list_filter([case when meta_noindex then 'meta' end, case when listed then 'sitemap' end, case when path = start then 'start page' end], lambda x: x is not null), ' + ') as note from r"
+        ),
+        "rule_sitemap": (
+            f"{pages}, {_LOOKUP}, en as (select e.site_id, e.url, {_key('e.url')} as key, {_origin('s.start_url')} as home, coalesce(s.sitemap_truncated, false) as cut from (select distinct site_id, url from sitemap_urls where url is not null) e join site_files s using (site_id)) "
+            f"select site_id, 'indexing-sitemap-hygiene' as rule_id, url, why as note from (select en.site_id, en.url, case when en.key is null then 'not absolute' when {_origin('en.url')} <> home then 'other origin' when t.status >= 400 then 'HTTP ' || t.status when via_redirect then 'redirect' "
+            f"when t.noindex then 'noindex' when {_key(_resolve('nullif(t.canonical, ' + repr('') + ')', 't.url'))} <> {_key('t.url')} then 'canonical elsewhere' end as why from en left join look on look.site_id = en.site_id and look.key = en.key) where why is not null union all "
+            f"select site_id, 'indexing-sitemap-gaps', path, null from f where ok and not noindex and pkey is not null and not coalesce({_key(_resolve('nullif(canonical, ' + repr('') + ')', 'url'))} <> pkey, false) and coalesce(discovered_via, '') <> 'sitemap' "
+            "and site_id in (select site_id from en where not cut) and not exists (select 1 from en where en.site_id = f.site_id and en.key = f.pkey)"
+        ),
+        "rule_hreflang": (
+            f"{pages}, {_LOOKUP}, he as (select *, {_key('abs')} as key from (select site_id, page_id, path, pkey as own, h, {_resolve('h.href', 'url')} as abs from (select *, unnest(hreflang) as h from f where ok and len(hreflang) > 0))), "
+            f"w as (select site_id, page_id, path, {_language()} as why from he union all select site_id, page_id, path, 'relative URL' from he where not regexp_matches(trim(h.href), '(?i)^https?://') "
+            "union all select site_id, page_id, path, 'no self' from he group by 1, 2, 3 having not bool_or(coalesce(key = own, false)) "
+            "union all select site_id, page_id, path, 'several URLs' from he group by site_id, page_id, path, lower(trim(h.lang)) having count(distinct coalesce(key, trim(h.href))) > 1 "
+            "union all select he.site_id, he.page_id, he.path, case when t.status >= 400 then 'HTTP ' || t.status when via_redirect then 'redirect' when t.noindex then 'noindex' "
+            "when not exists (select 1 from he b where b.site_id = he.site_id and b.own = he.key and b.key = he.own) then 'no return link' end from he join look on look.site_id = he.site_id and look.key = he.key where he.key <> he.own) "
+            "select site_id, 'indexing-hreflang-invalid' as rule_id, path as url, array_to_string(list_sort(list(distinct why)), '; ') as note from w where why is not null group by site_id, page_id, path"
+        ),
+        "rule_schema_website_missing": (
+            f"{pages} select f.site_id, 'schema-website-missing' as rule_id, path as url, cast(null as varchar) as note from f join site_files s using (site_id) where ok and path = {_path('s.start_url')} "
+            "and len(list_filter(coalesce(json_ld, []), lambda j: regexp_matches(j, '\"@type\"\\s*:\\s*(\\[[^\\]]*)?\"(Organization|WebSite)\"'))) = 0"
+        ),
+        "link_edges": f"{pages}, {_EDGES} select * from ed",
+        "link_inbound": f"{pages}, {_EDGES} select nd.site_id, nd.path, count(ed.src) as inbound from nd left join ed on ed.site_id = nd.site_id and ed.dst = nd.path group by 1, 2",
+        "link_orphans": f"{pages}, {_EDGES} select site_id, path from nd where not exists (select 1 from ed where ed.site_id = nd.site_id and ed.dst = nd.path) and not exists (select 1 from site_files s where s.site_id = nd.site_id and {_path('s.start_url')} = nd.path)",
+        "link_broken": f"{pages}, {_EDGES} select ed.site_id, src, dst, status from ed join nd on nd.site_id = ed.site_id and nd.path = ed.dst where status >= 400",
+        "link_depth": (
+            f"with recursive {PAGES}, {_EDGES}, walk as (select site_id, {_path('start_url')} as path, 0 as depth from site_files union select ed.site_id, ed.dst, depth + 1 from walk join ed on ed.site_id = walk.site_id and ed.src = walk.path where depth < 50) "
+            "select site_id, path, cast(min(depth) as bigint) as depth from walk group by 1, 2"
+        ),
+        "link_findings": (
+            f"{pages}, {_EDGES} select site_id, 'link-orphan-pages' as rule_id, path as url, cast(null as varchar) as note from nd where not exists (select 1 from ed where ed.site_id = nd.site_id and ed.dst = nd.path) "
+            f"and not exists (select 1 from site_files s where s.site_id = nd.site_id and {_path('s.start_url')} = nd.path) and not exists (select 1 from f where f.site_id = nd.site_id and f.path = nd.path and meta_noindex) "
+            "union all select ed.site_id, 'link-broken-internal', src, dst || ' ' || status from ed join nd on nd.site_id = ed.site_id and nd.path = ed.dst where status >= 400"
+        ),
+        "page_rank_events": _page_rank_events(),
+        "term_counts": f"{pages}, {_TOKENS} select site_id, page_id, term, n from tc",
+        "top_terms": f"{pages}, {_TOKENS} select site_id, page_id, cast(rank as integer) as rank, term, floor(round(weight * 1000, 6) + 0.5) / 1000 as weight from tr where rank <= 8",
+        "stuffed_terms": (
+            f"{pages}, {_TOKENS} select site_id, page_id, term, floor(n / greatest(total, word_count) * 1000 + 0.5) / 10 as percent from (select tr.*, word_count, row_number() over (partition by site_id, page_id order by rank) as k "
+            "from tr join tk using (site_id, page_id) where word_count >= 300 and n >= 6 and n / greatest(total, word_count) > 0.06) where k <= 5"
+        ),
+        "misaligned_titles": (
+            f"{pages}, {_TOKENS}, hv as (select site_id, page_id, list(term order by rank) as terms from tr where rank <= 5 group by 1, 2 having count(*) >= 3), "
+            "sm as (select site_id, page_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(concat_ws(' ', title, array_to_string(h1s, ' '))), '[^a-z0-9]', ' ', 'g'), ' +'), lambda w: w <> ''), lambda w: regexp_replace(w, '(ing|ed|es|s)$', '')) as stems from tk where word_count >= 200) "
+            "select site_id, page_id, array_to_string(terms[1:3], ', ') as topic from hv join sm using (site_id, page_id) where len(list_intersect(list_transform(terms, lambda t: regexp_replace(t, '(ing|ed|es|s)$', '')), stems)) = 0"
+        ),
+        "vector_neighbours": (
+            "select query_id, vec_id, round(score, 4) as score from (select q.vec_id as query_id, r.vec_id, round(list_dot_product(cast(q.embedding as double[]), cast(r.embedding as double[])), 6) as score, "
+            "row_number() over (partition by q.vec_id order by round(list_dot_product(cast(q.embedding as double[]), cast(r.embedding as double[])), 6) desc, r.vec_id) as k from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0) where k <= 10"
+        ),
+        "page_issues": f"{_scored()} select site_id, rule_id, category, impact, effort, risk, cast(confidence as integer) as confidence, affected from iss join cat using (rule_id)",
+        "category_scores": f"{_scored()}, {_SCORES} select * from scores",
+        "overall_score": (
+            f"{_scored()}, {_SCORES} select site_id, overall, case when overall >= 90 then 'A' when overall >= 80 then 'B' when overall >= 70 then 'C' when overall >= 60 then 'D' when overall >= 50 then 'E' else 'F' end as grade from "
+            f"(select site_id, cast(floor(round(sum(score * {_case('category', CATEGORIES, 0)}) / sum({_case('category', CATEGORIES, 0)}), 9) + 0.5) as bigint) as overall from scores group by 1)"
+        ),
+        "issue_priorities": (
+            f"{_scored()} select site_id, rule_id, impact, cast(floor(round({_case('impact', IMPACT, 0)} * {_case('effort', EFFORT, 1)} * {_case('risk', RISK, 1)} * confidence / 100 / 12 * 100, 9) + 0.5) as bigint) as priority from iss join cat using (rule_id)"
+        ),
+        "page_regressions": f"with {_STATES} {_regressions()}",
+        "site_regressions": f"with {_STATES} {_site_regressions()}",
+        "regression_gate": f"with {_STATES} select snapshot_id, max(case level when 'critical' then 3 when 'warning' then 2 else 1 end) >= 3 as fails from (select snapshot_id, level from ({_regressions()}) union all select snapshot_id, level from ({_site_regressions()})) group by 1",
+        "issue_deltas": (
+            f"with {_STATES}, ii as (select snapshot_id, rule_id, list_distinct(flatten(list(coalesce(paths, [])))) as paths from snapshot_issue where snapshot_id is not null and rule_id is not null group by 1, 2), "
+            "b as (select ii.* from ii join pr using (snapshot_id) where prev_id is not null), a as (select pr.snapshot_id, ii.rule_id, ii.paths from ii join pr on pr.prev_id = ii.snapshot_id), "
+            "m as (select coalesce(a.snapshot_id, b.snapshot_id) as snapshot_id, coalesce(a.rule_id, b.rule_id) as rule_id, a.paths as pa, b.paths as pb from a full join b on a.snapshot_id = b.snapshot_id and a.rule_id = b.rule_id), "
+            "d as (select *, len(list_filter(pb, lambda x: not list_contains(pa, x))) as fresh from m) "
+            "select snapshot_id, rule_id, case when pa is null then 'new' when pb is null then 'resolved' else 'worsened' end as delta, cast(case when pa is null then len(pb) when pb is null then 0 else fresh end as integer) as fresh from d where pa is null or pb is null or fresh > 0"
+        ),
+        "vitals_ttfb": (
+            "select site_id, 'experimental_time_to_first_byte' as metric, p75, case when p75 <= 800 then 'good' when p75 <= 1800 then 'needs-improvement' else 'poor' end as rating from "
+            "(select site_id, quantile_cont(response_time_ms, 0.75) as p75 from (select distinct site_id, page_id, response_time_ms from pages) where response_time_ms is not null group by 1)"
+        ),
+        "vitals_events": (
+            "select event_type, 'interaction_to_next_paint' as metric, p75, case when p75 <= 200 then 'good' when p75 <= 500 then 'needs-improvement' else 'poor' end as rating from "
+            "(select event_type, quantile_cont(value, 0.75) as p75 from events where value is not null group by 1)"
+        ),
+        "event_windows": "select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from (select distinct on (event_id) * from events) group by 1, 2",
+    }
+    for rule in rules:
+        out[f"rule_{rule.replace('-', '_')}"] = f"{pages} {_page_findings([rule])}"
+    return out

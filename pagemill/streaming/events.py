@@ -23,7 +23,8 @@ def run_windows(spark: SparkSession, folder: str, length: str = "1 day") -> Data
     """The windows that all events in ``folder`` give, read as a stream to its end and written to the shared folder."""
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # As a pattern, since a table may be one file or a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
     if dict(stream.dtypes)["ts"] == "timestamp_ntz":
         stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
