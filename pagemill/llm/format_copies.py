@@ -18,14 +18,17 @@ _SPACE = r"[\s\p{Z}\x85]"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
-def folded(text: Column) -> Column:
-    """Case ignored, also where upper case has more letters (ß and SS)."""
-    return F.lower(F.upper(text))
+def _folded(text: Column, between: str) -> Column:
+    """Words with ``between`` between them, case ignored, also where upper case has more letters (ß and SS).
+
+    The words are cut out between the two case changes: next to each other the optimizer would drop the first.
+    """
+    return F.lower(F.regexp_replace(F.upper(text), _NOT_WORD, between))
 
 
 def words_in_order(text: Column) -> Column:
     """The words of a text joined by single spaces; '' if it has none."""
-    return F.trim(F.regexp_replace(folded(text), _NOT_WORD, " "))
+    return F.trim(_folded(text, " "))
 
 
 def title_parts(title: Column) -> Column:
@@ -35,7 +38,7 @@ def title_parts(title: Column) -> Column:
 
 
 def _squeezed(text: Column) -> Column:
-    return F.regexp_replace(folded(text), _NOT_WORD, "")
+    return _folded(text, "")
 
 
 def _histogram(text: Column) -> Column:
