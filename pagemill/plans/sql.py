@@ -79,7 +79,7 @@ f as (select *, meta_noindex or header_noindex as noindex, ok and not meta_noind
 
 
 def _ease() -> str:
-    ws = "list_filter(regexp_split_to_array(coalesce(text_content, ''), '[\\s\\p{Z}]+'), lambda w: w <> '')"
+    ws = "list_filter(regexp_split_to_array(coalesce(text_content, ''), '[\\s\\p{Z}\\x{FEFF}\\x{85}]+'), lambda w: w <> '')"
     syl = (
         "list_sum(list_transform(ws, lambda w: case when len(regexp_replace(lower(w), '[^a-z]', '', 'g')) <= 3 then 1 else greatest(1, "
         "len(regexp_extract_all(regexp_replace(regexp_replace(lower(w), '[^a-z]', '', 'g'), 'e$', ''), '[aeiouy]+'))) end))"
