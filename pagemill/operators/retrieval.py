@@ -143,3 +143,26 @@ def related_pages(pages: DataFrame, k: int = 2, least: float = 0.55) -> DataFram
     rows = pages.where("status between 200 and 299").dropDuplicates(["page_id"]).select("page_id", words.alias("words"))
     vectors = embedded(rows, "page_id", "words")
     return nearest(vectors, vectors.where("page_id % 20 = 0"), "page_id", "vector", k, least)
+
+
+def link_opportunities(pages: DataFrame, edges: DataFrame, clusters: DataFrame, k: int = 2, most: int = 30) -> DataFrame:
+    """(site_id, rule_id, url, note): similar pages of a site that a queried page does not link to yet.
+
+    Queries are the pages whose page_id is divisible by 20, against all pages.  Pairs that are linked, or in one cluster
+    of near-duplicates, are left out before the best ``k`` are taken; at most ``most`` a site are reported (a top-k
+    report).
+    """
+    from pagemill.functions import urls
+
+    near = related_pages(pages, 4 * k + 2).select(F.col("query_id").alias("a"), F.col("page_id").alias("b"), "score")
+    place = pages.where("url is not null").dropDuplicates(["page_id"]).select("page_id", "site_id", urls.path(F.col("url")).alias("path"))
+    from_, to = (place.select(F.col("page_id").alias(x), F.col("site_id").alias(f"s{x}"), F.col("path").alias(f"p{x}")) for x in "ab")
+    met = near.join(from_, "a").join(to, "b").where("sa = sb and pa <> pb")
+    linked = edges.select(F.col("site_id").alias("sa"), F.col("src").alias("pa"), F.col("dst").alias("pb"))
+    ca, cb = (clusters.select(F.col("page_id").alias(x), F.col("leader_id").alias(f"l{x}")) for x in "ab")
+    free = met.join(linked, ["sa", "pa", "pb"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where("la is null or lb is null or la <> lb")
+    own = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    best = free.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k)
+    top = Window.partitionBy("sa").orderBy(F.desc("score"), "a", "b")
+    kept = best.withColumn("n", F.row_number().over(top)).where(F.col("n") <= most)
+    return kept.select(F.col("sa").alias("site_id"), F.lit("link-missing-internal-opportunities").alias("rule_id"), F.col("pa").alias("url"), F.concat(F.col("pb"), F.lit(" "), F.round("score", 2)).alias("note"))

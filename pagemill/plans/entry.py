@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import robots, text, urls
-from pagemill.operators import content, extract, geo, graph, retrieval, rules, scoring, sinks, site_rules, snapshot_diff, vitals
+from pagemill.operators import content, extract, fixes, geo, graph, retrieval, rules, scoring, sinks, site_rules, snapshot_diff, vitals
 from pagemill.session import tune
 from pagemill.sources import site_texts
 from pagemill.sources.tables import table
@@ -128,6 +128,26 @@ def _search(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return retrieval.nearest(corpus, asked, "doc_id", "vector", 4, 0.18)
 
 
+def _opportunities(pages: DataFrame) -> DataFrame:
+    return retrieval.link_opportunities(pages, graph.edges(pages), content.duplicate_clusters(pages))
+
+
+def _variants(site_files: DataFrame) -> DataFrame:
+    """Host variants as a probe would report them: every site's bare or www twin and its plain http address."""
+    u, home = F.col("start_url"), urls.host(F.col("start_url"))
+    twin = F.when(home.startswith("www."), F.regexp_replace(u, "://www\\.", "://")).otherwise(F.regexp_replace(u, "://", "://www."))
+    plain = F.regexp_replace(u, "^https:", "http:")
+    both = F.array(F.struct(F.lit("twin").alias("kind"), twin.alias("url")), F.struct(F.lit("http").alias("kind"), plain.alias("url")))
+    rows = site_files.where("start_url is not null").select("site_id", F.explode(both).alias("v"), "start_url", "crawl_complete")
+    # A site whose crawl was complete is taken to redirect its variants.
+    final = F.when(F.coalesce("crawl_complete", F.lit(False)), F.col("start_url")).otherwise(F.col("v.url"))
+    return rows.select("site_id", "v.kind", "v.url", F.lit(200).alias("status"), final.alias("final_url"), F.lit(None).cast("string").alias("canonical"))
+
+
+def _host_rules(site_files: DataFrame) -> DataFrame:
+    return site_rules.host_findings(_variants(site_files), site_files)
+
+
 def queries() -> dict[str, Query]:
     on = _on
     single = {f"rule_{r.replace('-', '_')}": _rule(r) for r in rules.page_rules_ids()}
@@ -196,6 +216,11 @@ def queries() -> dict[str, Query]:
         "site_regressions": on("site_snapshot", call=snapshot_diff.site_regressions),
         "issue_deltas": on("site_snapshot", "snapshot_issue", call=snapshot_diff.issue_deltas),
         "regression_gate": on("site_snapshot", "page_state", call=lambda s, p: snapshot_diff.gate(snapshot_diff.page_regressions(s, p), snapshot_diff.site_regressions(s))),
+        "rule_link_opportunities": on("pages", call=_opportunities),
+        "rule_host_variants": on("site_files", call=_host_rules),
+        "crawl_state": on("pages", call=lambda p: snapshot_diff.state_of(p, "crawl")),
+        "fix_templates": lambda s, d: fixes.templates(tune(s)),
+        "rule_catalog": lambda s, d: scoring.catalog(tune(s)),
         "vitals_ttfb": on("pages", call=lambda p: vitals.measure(p.select("site_id", "page_id", "response_time_ms").distinct(), ["site_id"], "response_time_ms", "experimental_time_to_first_byte")),
         "vitals_events": on("events", call=_event_vitals),
         "event_windows": lambda s, d: events.run_windows(tune(s), d),

@@ -502,6 +502,20 @@ def oracle() -> dict[str, str]:
             "d as (select *, len(list_filter(pb, lambda x: not list_contains(pa, x))) as fresh from m) "
             "select snapshot_id, rule_id, case when pa is null then 'new' when pb is null then 'resolved' else 'worsened' end as delta, cast(case when pa is null then len(pb) when pb is null then 0 else fresh end as integer) as fresh from d where pa is null or pb is null or fresh > 0"
         ),
+        "rule_catalog": f"with {_catalog()} select rule_id, category, impact, effort, risk, cast(confidence as integer) as confidence from cat",
+        "rule_host_variants": (
+            "with v as (select site_id, start_url, 'twin' as kind, case when coalesce(crawl_complete, false) then start_url when regexp_matches(start_url, '://www\\.') then regexp_replace(start_url, '://www\\.', '://') else regexp_replace(start_url, '://', '://www.') end as final_url from site_files "
+            "union all select site_id, start_url, 'http', case when coalesce(crawl_complete, false) then start_url else regexp_replace(start_url, '^https:', 'http:') end from site_files) "
+            f"select site_id, 'indexing-host-duplicate' as rule_id, final_url as url, cast(null as varchar) as note from v where kind = 'twin' and {_host('final_url')} <> {_host('start_url')} "
+            "union all select site_id, 'indexing-http-not-redirected', final_url, null from v where kind = 'http' and final_url like 'http:%'"
+        ),
+        "crawl_state": (
+            f"{pages} select 'crawl' as snapshot_id, site_id, path, status, title, description, canonical, noindex_meta, header_noindex as noindex_header, h1, redirected_to from ("
+            f"select site_id, {_path('coalesce(requested_url, url)')} as path, ord, page_id, status, title[1:200] as title, meta_description[1:300] as description, canonical, "
+            "regexp_matches(coalesce(lower(meta_robots), ''), '\\b(noindex|none)\\b') as noindex_meta, header_noindex, h1s[1][1:200] as h1, "
+            f"case when len(coalesce(redirected_from, [])) > 0 then {_path('url')} end as redirected_to from f where url is not null) "
+            f"where path is not null qualify row_number() over (partition by site_id, path order by coalesce(ord, {1 << 62}), page_id) = 1"
+        ),
         "vitals_ttfb": (
             "select site_id, 'experimental_time_to_first_byte' as metric, p75, case when p75 <= 800 then 'good' when p75 <= 1800 then 'needs-improvement' else 'poor' end as rating from "
             "(select site_id, quantile_cont(response_time_ms, 0.75) as p75 from (select distinct site_id, page_id, response_time_ms from pages) where response_time_ms is not null group by 1)"

@@ -79,3 +79,39 @@ def test_watch(spark, tmp_path):
     assert events.watch(spark, a, str(tmp_path / "b"), ["k"]).count() == 0
     b = spark.createDataFrame([(1, "x"), (2, "z")], "k int, v string")
     assert [tuple(r) for r in events.watch(spark, b, str(tmp_path / "b"), ["k"]).collect()] == [(2, "z")]
+
+
+def test_fix_templates(spark):
+    from pagemill.operators import fixes, rules
+
+    df = fixes.templates(spark)
+    assert df.count() == len(fixes.LINES) * len(fixes.FILES) and set(fixes.LINES) <= set(rules.BY_ID)
+    assert fixes.patch("framework-robots-no-sitemap", "nextjs", "https://x.example").splitlines()[-1] == "+Sitemap: https://x.example/sitemap.xml"
+    assert fixes.patch("schema-missing", None, "https://x.example").count('{"@context"') == 1 and fixes.patch("img-broken", "nuxt") is None
+
+
+def test_link_opportunities(spark, page_table):
+    text = "canonical link robots sitemap schema title "
+    make = lambda n, path, body: dict(page_id=n, site_id="s", ord=n, url="https://x.example" + path, status=200, title=path, text_content=body)
+    pages = page_table([make(20, "/a", text * 3), make(21, "/b", text * 4), make(22, "/c", text * 5), make(23, "/d", text * 6), make(24, "/e", "unlike words entirely")])
+    edges = spark.createDataFrame([("s", "/a", "/b")], "site_id string, src string, dst string")
+    clusters = spark.createDataFrame([("s", 20, 20), ("s", 22, 20)], "site_id string, page_id bigint, leader_id bigint")
+    got = retrieval.link_opportunities(pages, edges, clusters).collect()
+    assert [(r.url, r.note.split()[0]) for r in got] == [("/a", "/d")]
+
+
+def test_crawl_state_and_hosts(spark, page_table, site_table):
+    from pagemill.operators import site_rules, snapshot_diff
+
+    rows = [
+        dict(page_id=1, site_id="s", ord=2, url="https://x.example/new", requested_url="https://x.example/old", redirected_from=["https://x.example/old"], status=200, title="t" * 500),
+        dict(page_id=2, site_id="s", ord=1, url="https://x.example/a/", status=404, meta_robots="none"), dict(page_id=3, site_id="s", ord=3, url="https://x.example/a", status=200), dict(page_id=4, site_id="s", url=None),
+    ]
+    got = {r.path: r for r in snapshot_diff.state_of(page_table(rows), "x").collect()}
+    assert set(got) == {"/old", "/a"} and got["/old"].redirected_to == "/new" and len(got["/old"].title) == 200 and got["/a"].status == 404 and got["/a"].noindex_meta
+    schema = "site_id string, kind string, url string, status int, final_url string, canonical string"
+    variants = spark.createDataFrame([("s", "twin", "u", 200, "https://www.x.example/", None), ("s", "twin", "u", 200, "https://www.x.example/", "https://x.example/"), ("s", "http", "u", 200, "http://x.example/", None), ("s", "twin", "u", 500, "https://z.example/", None)], schema)
+    sites = site_table([{"site_id": "s", "start_url": "https://x.example/", "has_sitemap": True}])
+    assert sorted(r.rule_id for r in site_rules.host_findings(variants, sites).collect()) == ["indexing-host-duplicate", "indexing-http-not-redirected"]
+    files = spark.createDataFrame([("s", "/map.xml", "HTTP 500"), ("s", "/ok.xml", None), ("t", "/x", "bad")], "site_id string, file string, error string")
+    assert [r.url for r in site_rules.sitemap_file_findings(files, sites).collect()] == ["/map.xml"]
