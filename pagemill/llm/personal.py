@@ -56,7 +56,7 @@ _CAP = "[A-ZÄÖÜÀÁÂÇÈÉÊËÌÍÎÏÑÒÓÔÙÚÛ]"
 
 #: The transducers' alphabet: bracketed or spaced words for signs.
 _AT = re.compile(
-    r"\s*[(\[{<]\s*(?:at|AT|ät|arroba|arobase|chez|klammeraffe|@)\s*[)\]}>]\s*|(?<=[\w])\s+(?:at|AT|arroba|arobase)\s+(?=[\w-]+\s*(?:\.|[(\[{<]\s*(?:dot|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s))"
+    r"(?<=\w)\s+@\s+(?=[\w-]+\.\w)|\s*[(\[{<]\s*(?:at|AT|ät|arroba|arobase|chez|klammeraffe|@)\s*[)\]}>]\s*|(?<=[\w])\s+(?:at|AT|arroba|arobase)\s+(?=[\w-]+\s*(?:\.|[(\[{<]\s*(?:dot|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s))"
 )
 _DOT = re.compile(r"\s*[(\[{<]\s*(?:dot|DOT|punkt|punto|point|\.)\s*[)\]}>]\s*|(?<=[a-zA-Z0-9-])\s+(?:dot|DOT)\s+(?=[a-zA-Z])")
 #: Digits in words.
@@ -151,7 +151,7 @@ def hints():
         for word in "at ät arroba arobase dot punkt punto point @ .".split():
             found.add_word(f"{opening}{word}{closing}", "sign")
             found.add_word(f"{opening} {word} {closing}", "sign")
-    for word in (" dot ", " arroba ", " arobase "):
+    for word in (" dot ", " arroba ", " arobase ", " @ "):
         found.add_word(word, "sign")
     found.make_automaton()
     return found
@@ -168,12 +168,18 @@ _NOT_PERSONAL = re.compile(r"(?:\b(?:order|ticket|sku|gtin|ean|isbn|issn|build|c
 _GAP = r"[ \u00a0.\-/]"
 PHONE = re.compile(
     r"(?<![\w.+/@#-])(?:"
-    r"(?:\+|00)(?:1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|[2-9]\d{0,2}[ .-]?(?:\(0\)[ .-]?)?\d{1,4}(?:[ ./-]?\d{2,8}){1,5})"
+    # Country codes with their own grouping, then any other.
+    r"(?:\+|00)1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
+    r"|(?:\+|00)44[ .-]?(?:\(0\)[ .-]?)?(?:\d{2}[ .-]?\d{4}[ .-]?\d{4}|\d{3,4}[ .-]?\d{3}[ .-]?\d{3,4})"
+    r"|(?:\+|00)33[ .-]?(?:\(0\)[ .-]?)?\d(?:[ .-]?\d{2}){4}"
+    r"|(?:\+|00)34[ .-]?\d{3}(?:[ .-]?\d{3}){2}|(?:\+|00)34[ .-]?\d{3}(?:[ .-]?\d{2}){3}"
+    r"|(?:\+|00)49[ .-]?(?:\(0\)[ .-]?)?(?:\d{7,11}|\d{2,4}[ ./-]?(?:\d{6,8}|\d{3,5}(?:[ -]\d{1,4})?))(?!\d)"
+    r"|(?:\+|00)(?!1|33|34|44|49)[2-9]\d{0,2}[ .-]?(?:\(0\)[ .-]?)?\d{1,4}(?:[ ./-]?\d{2,8}){1,4}"
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}"
-    r"|\(0\d{2,4}\)[ ]?\d{3,6}(?:[ -]?\d{2,4}){0,2}"
-    r"|0\d{2,4}[ /-]\d{3,6}(?:[ -]\d{1,4}){0,2}|0[1-9](?:[ .-]?\d{2}){4}|020 \d{4} \d{4}"
+    r"|020 \d{4} \d{4}|0[1-9](?:[ .-]?\d{2}){4}"
+    r"|\(0\d{2,4}\) ?\d{3,6}(?:[ -]\d{2,4})?|0\d{2,4}[ /-]\d{3,6}(?:[ -]\d{1,4})?"
     r"|0\d{9,10}|[2-9]\d{2}[2-9]\d{6}"
-    r"|[5-9]\d{2}(?:[ .-]?\d{2}){3}|[5-9]\d{2}(?:[ .-]?\d{3}){2}"
+    r"|[5-9]\d{2}(?:[ .-]?\d{3}){2}|[5-9]\d{2}(?:[ .-]?\d{2}){3}"
     r")(?![\w@/-]|\.\d)"
 )
 ID_NUMBER = re.compile(
@@ -374,6 +380,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         for m in FAMILY_INITIAL.finditer(text):
             if family(m[1]):
                 names.append(m.span())
+    # A name that follows a town without a stop ends the address.
+    for n in filter(None, names):
+        taken = [
+            (a, a + len(text[a : n[0]].rstrip(" ,.")), kind) if kind == "address" and a < text.rfind(",", a, n[0]) < n[0] < b and text[n[0] - 1] == " " and text[n[0] - 2] != "," else (a, b, kind)
+            for a, b, kind in taken
+        ]
     found = [(*n, "name") for n in names if n and _free(n, taken)]
     return _outermost(taken + found)
 

@@ -192,6 +192,8 @@ def test_popcount_distance_is_a_lower_bound(spark):
         ("social security number 987-65-4321", [("id_number", "987-65-4321")]), ("Documento: X-0000691-J", [("id_number", "X-0000691-J")]), ("noté : 1 73 13 99 760 920 35.", [("id_number", "1 73 13 99 760 920 35")]),
         ("at 130 Fennel Court, Nether Pell ZX1 4QZ.", [("address", "130 Fennel Court, Nether Pell ZX1 4QZ")]), ("wohnt Am Alten Kran 151a.", [("address", "Am Alten Kran 151a")]),
         ("vive en Calle del Olmo Gris, 160, 2.º B, 00210 Puerto Gris", [("address", "Calle del Olmo Gris, 160, 2.º B, 00210 Puerto Gris")]), ("20 rue des Tilleuls-Noirs, 00340 Bresque", [("address", "20 rue des Tilleuls-Noirs, 00340 Bresque")]),
+        ("9 Fennel Court, Nether Pell Irene Wexdell wrote", [("address", "9 Fennel Court, Nether Pell"), ("name", "Irene Wexdell")]), ("Tel. 020 7946 0717 184 pages", [("phone", "020 7946 0717")]),
+        ("Tel.: (030) 23125 980 68 Seiten", [("phone", "(030) 23125 980")]), ("+33 (0)6 39 98 70 40 205 plans", [("phone", "+33 (0)6 39 98 70 40")]), ("+34 555 044 144 98 rastreos", [("phone", "+34 555 044 144")]),
         ("with Ruth Wexlow today", [("name", "Ruth Wexlow")]), ("owner Thorpmere, Owen", [("name", "Thorpmere, Owen")]), ("asked Dr. Quilllow about", [("name", "Quilllow")]), ("M. Valcey habite ici", [("name", "Valcey")]),
         ("From: I. WEXLOW", [("name", "I. WEXLOW")]), ("f. H. Krosswald meldet", [("name", "H. Krosswald")]),
         ("Order 0040431126 has 31 lines. GTIN 010157610882 fails. The 404 Lane template. hero@2x.png audit-kit@3.26.1 192.0.2.18 Build 2025.22.35 #31715760", []), ("", []),
