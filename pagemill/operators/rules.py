@@ -297,13 +297,14 @@ def page_findings(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
 
     Rows that repeat a page count once.  Null statuses are neither ok nor errors.
     """
-    fired = [
-        F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(rule).alias("rule_id"), note.alias("note")))
-        for rule, (when, note) in page_rules().items()
-        if only is None or rule in only
-    ]
+    chosen = {rule: test for rule, test in page_rules().items() if only is None or rule in only}
+    fired = [F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(rule).alias("rule_id"), note.alias("note"))) for rule, (when, note) in chosen.items()]
+    rows = flagged(pages)
+    if len(chosen) == 1:
+        # A plain filter reaches the scan, an array element doesn't.
+        rows = rows.where(next(iter(chosen.values()))[0])
     return (
-        flagged(pages)
+        rows
         .select("site_id", "page_id", F.col("path").alias("url"), "ord", F.explode(F.array_compact(F.array(*fired))).alias("f"))
         .select("site_id", "page_id", "f.rule_id", "url", "f.note", "ord")
         .distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import robots, text, urls
@@ -34,10 +34,8 @@ def _depths(pages: DataFrame, site_files: DataFrame) -> DataFrame:
 
 
 def _event_edges(ev: DataFrame) -> DataFrame:
-    """Links of one graph from the events: a user to the user of the next event."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(1)).orderBy("ts", "event_id")
+    """Links of one graph from the events: a user to the user of the next event of that type and hour."""
+    w = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
     pairs = ev.select(F.lit("all").alias("site_id"), F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
     return pairs.where("dst is not null and src <> dst").distinct()
 

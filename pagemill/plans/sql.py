@@ -352,7 +352,7 @@ def _page_rank_events() -> str:
             f"from vx v cross join sz left join (select ed.dst, sum(r.rank / d.out) as got from ed join r{k - 1} r on r.node = ed.src join dg d on d.src = ed.src group by 1) g on g.dst = v.node)"
         )
     return (
-        "with ed as materialized (select distinct src, dst from (select user_id as src, lead(user_id) over (order by ts, event_id) as dst from events) where dst is not null and src <> dst), "
+        "with ed as materialized (select distinct src, dst from (select user_id as src, lead(user_id) over (partition by event_type, date_trunc('hour', ts) order by ts, event_id) as dst from events) where dst is not null and src <> dst), "
         "vx as materialized (select src as node from ed union select dst from ed), dg as materialized (select src, count(*) as out from ed group by 1), sz as (select count(*) as n from vx), "
         "r0 as (select node, 1.0 / n as rank from vx cross join sz), " + ", ".join(steps) + " select node as user_id, round(rank, 6) as page_rank from r40"
     )

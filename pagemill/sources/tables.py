@@ -1,24 +1,9 @@
-"""Parquet tables of a data folder, with the row rules every reader needs."""
+"""Parquet tables of a data folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def latest_pages(pages: DataFrame, *columns: str) -> DataFrame:
-    """One row per page_id, the one loaded last; only ``columns`` are read from the file."""
-    kept = [c for c in columns if c != "page_id"]
-    newest = F.max_by(F.struct(*kept), F.struct(F.col("loaded_at"), F.xxhash64(*kept)))
-    return pages.groupBy("page_id").agg(newest.alias("r")).select("page_id", *[F.col(f"r.{c}").alias(c) for c in kept])
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row per key under ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
