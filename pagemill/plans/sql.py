@@ -370,6 +370,66 @@ def _language() -> str:
     )
 
 
+def _decoded(x: str) -> str:
+    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " ")):
+        x = f"regexp_replace({x}, '(?i){entity}', '{char}', 'g')"
+    point = "case when regexp_matches(v, '^&#[xX]') then cast('0x' || v[4:-2] as bigint) when v like '&#%' then cast(v[3:-2] as bigint) end"
+    return (
+        f"trim(array_to_string(list_transform(regexp_extract_all({x}, '&#[xX][0-9a-fA-F]{{1,6}};|&#[0-9]{{1,7}};|[^&]+|&'), "
+        f"lambda v: case when regexp_matches(v, '^&#([xX][0-9a-fA-F]{{1,6}}|[0-9]{{1,7}});$') then chr(cast({point} as integer)) else v end), ''))"
+    )
+
+
+def _plain(x: str) -> str:
+    return _decoded(f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '[\\s\\p{{Z}}\\x{{FEFF}}]+', ' ', 'g'))")
+
+
+def _attr(tag: str, name: str) -> str:
+    return f"case when regexp_matches({tag}, '(?is){name}\\s*=\\s*\"') then {_decoded(f"regexp_extract({tag}, '(?is){name}\\s*=\\s*\"([^\"]*)\"', 1)")} end"
+
+
+_ROWS = "(select distinct page_id, url, html from pages where html is not null)"
+_VISIBLE = (
+    "regexp_replace(case when regexp_matches(html, '(?is)<body[^>]*>.*</body>') then regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) else html end, "
+    "'(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>|<template\\b.*?</template>', ' ', 'g')"
+)
+
+
+def _geo() -> str:
+    from pagemill.operators.geo import ANSWER_TYPES
+
+    js = "array_to_string(coalesce(json_ld, []), chr(10))"
+    typed = lambda names: f"regexp_matches({js}, '\"@type\"\\s*:\\s*(\\[[^\\]]*)?\"({'|'.join(names)})\"')"
+    html = "coalesce(html, '')"
+    question = "(?i)\\?\\s*$|^(how|what|why|when|where|which|who|can|does|is|are|should|do)\\b"
+    fact = "(?i)\\b\\d+(?:[.,]\\d+)?\\s?(%|percent|x\\b|ms\\b|kb\\b|€|\\$|users|customers)"
+    page = (
+        f"gp as (select site_id, coalesce(word_count, 0) < 80 and html_bytes > 15000 as shell, {typed(ANSWER_TYPES)} as answers, {typed(['Organization', 'Person'])} as entity, contains({js}, '\"sameAs\"') as same_as, "
+        f"contains({js}, '\"author\"') or regexp_matches({html}, '(?i)<meta[^>]+name=[\"'']author[\"'']|rel=[\"'']author[\"'']') as author, "
+        f"regexp_matches({js}, '\"date(Modified|Published)\"') or regexp_matches({html}, '(?i)article:(modified|published)_time|<time[^>]+datetime=') as dated, "
+        f"len(list_filter(coalesce(headings, []), lambda h: h.level between 2 and 3 and regexp_matches(h.text, '{question}'))) as questions, len(regexp_extract_all(coalesce(text_content, ''), '{fact}')) >= 2 as facts, "
+        "length(trim(coalesce(meta_description, ''))) >= 50 as described from f where ok and not noindex)"
+    )
+    names = "shell answers entity same_as author dated facts described".split()
+    site = "gs as (select site_id, count(*) as n, " + ", ".join(f"count(*) filter (where {c}) as {c}" for c in names) + ", sum(questions) as questions from gp group by 1)"
+    access = "ga as (select site_id, count(*) filter (where not allowed and purpose <> 'training') as search, count(*) filter (where not allowed and purpose = 'training') as training from acc group by 1)"
+    files = (
+        "gf as (select s.site_id, coalesce(has_llms_txt, false) and regexp_matches(coalesce(list_filter(list_transform(regexp_split_to_array(coalesce(llms_txt, ''), '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')[1], ''), '^#\\s+\\S') "
+        "and regexp_matches(coalesce(llms_txt, ''), '\\[[^\\]]+\\]\\([^)\\s]+\\)') as llms, coalesce(search, 0) as search, coalesce(training, 0) as training, coalesce(n, 0) as n, coalesce(questions, 0) as questions, "
+        + ", ".join(f"coalesce({c}, 0) as {c}" for c in names) + " from site_files s left join ga using (site_id) left join gs using (site_id))"
+    )
+    rows = {
+        "geo-ai-search-bots": "case when search = 0 then 'pass' else 'fail' end", "geo-ai-training-bots": "case when training = 0 then 'pass' else 'warn' end",
+        "geo-llms-txt": "case when llms then 'pass' else 'warn' end", "geo-server-rendered": "case when shell = 0 then 'pass' when shell >= ceil(n / 2.0) then 'fail' else 'warn' end",
+        "geo-answer-schema": "case when answers > 0 then 'pass' else 'warn' end", "geo-entity": "case when entity > 0 and same_as > 0 then 'pass' when entity > 0 then 'warn' else 'fail' end",
+        "geo-authorship": "case when author > 0 then 'pass' else 'warn' end", "geo-freshness": "case when dated > 0 then 'pass' else 'warn' end",
+        "geo-question-headings": "case when questions >= 2 then 'pass' else 'warn' end", "geo-facts": "case when facts > 0 then 'pass' else 'warn' end",
+        "geo-summaries": "case when described = n and n > 0 then 'pass' when described > 0 then 'warn' else 'fail' end",
+    }
+    union = " union all ".join(f"select site_id, '{k}' as check_id, {v} as status from gf" for k, v in rows.items())
+    return f"with {PAGES}, {_GROUPS}, {page}, {site}, {access}, {files}, gc as ({union})"
+
+
 def oracle() -> dict[str, str]:
     pages = f"with {PAGES}"
     rules = _page_rules()
@@ -383,6 +443,54 @@ def oracle() -> dict[str, str]:
             f"select distinct page_id, {_resolve('ref', 'url')} as url from (select page_id, url, unnest(list_distinct(list_concat("
             "regexp_extract_all(html, '(?is)<link rel=\"stylesheet\" href=\"([^\"]*)\"', 1), regexp_extract_all(html, '(?is)<script src=\"([^\"]*)\"', 1)))) as ref from pages)"
         ),
+        "extract_title": f"select page_id, case when regexp_matches(html, '(?is)<title[^>]*>.*?</title>') then {_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} end as title from {_ROWS}",
+        "extract_description": f"select page_id, {_attr("regexp_extract(html, '(?is)<meta name=\"description\"[^>]*>')", 'content')} as meta_description from {_ROWS}",
+        "extract_canonical": f"select page_id, {_attr("regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*\"canonical\"[^>]*>')", 'href')} as canonical from {_ROWS}",
+        "extract_word_count": f"select page_id, cast(len(list_filter(regexp_split_to_array({_plain(_VISIBLE)}, '[\\s\\p{{Z}}\\x{{FEFF}}]+'), lambda w: w <> '')) as integer) as word_count from {_ROWS}",
+        "extract_headings": (
+            "select page_id, cast(row_number() over (partition by page_id order by i) - 1 as integer) as pos, level, text from (select page_id, i, cast(h[3:3] as integer) as level, " + _plain("h") + " as text from ("
+            "select page_id, unnest(hs) as h, unnest(range(len(hs))) as i from (select page_id, regexp_extract_all(html, '(?is)<h1\\b[^>]*>.*?</h1>|<h2\\b[^>]*>.*?</h2>|<h3\\b[^>]*>.*?</h3>|<h4\\b[^>]*>.*?</h4>|<h5\\b[^>]*>.*?</h5>|<h6\\b[^>]*>.*?</h6>') as hs "
+            f"from {_ROWS}))) where text <> '' qualify pos < 60"
+        ),
+        "extract_images": (
+            f"select page_id, cast(i as integer) as pos, {_attr('g', 'src')} as src, {_attr('g', 'alt')} as alt, try_cast({_attr('g', 'width')} as integer) as width, try_cast({_attr('g', 'height')} as integer) as height from "
+            f"(select page_id, unnest(gs) as g, unnest(range(len(gs))) as i from (select page_id, regexp_extract_all(html, '(?is)<img\\b[^>]*\\bsrc=[^>]*>') as gs from {_ROWS})) where i < 120"
+        ),
+        "extract_links": (
+            f"select page_id, cast(row_number() over (partition by page_id order by i) - 1 as integer) as pos, href, href like '/%' or starts_with(href, {_origin('url')}) as internal, anchor[1:120] as anchor from ("
+            f"select page_id, url, i, {_attr("regexp_extract(g, '(?is)^<a\\b[^>]*>')", 'href')} as href, {_plain('g')} as anchor from (select page_id, url, unnest(gs) as g, unnest(range(len(gs))) as i from "
+            f"(select page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>') as gs from {_ROWS}))) where href <> '' and not regexp_matches(href, '(?i)^(#|mailto:|tel:|javascript:)') qualify pos < 300"
+        ),
+        "rule_robots_blocks": (
+            f"{pages}, {_GROUPS}, tg as (select site_id, page_id, path, ({_raw_path('url')}) || regexp_extract(url, '(\\?[^#]*)', 1) as target from f where ok and not noindex), "
+            "bl as (select site_id, page_id, path, arg_max(allow, (length(pattern), allow)) as allow from tg join (select distinct site_id, allow, pattern from gov join rl using (site_id, grp) where bot = 'Googlebot') using (site_id) "
+            "where regexp_matches(target, '^' || regexp_replace(regexp_replace(rtrim(pattern, '$'), '([.+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g'), '\\*', '.*', 'g') || case when pattern like '%$' then '$' else '' end) group by 1, 2, 3) "
+            "select site_id, 'indexing-robots-blocks-google' as rule_id, '/robots.txt' as url, cast(null as varchar) as note from acc where bot = 'Googlebot' and not allowed union all "
+            "select bl.site_id, 'indexing-robots-blocks-pages', path, null from bl join acc a on a.site_id = bl.site_id and a.bot = 'Googlebot' and a.allowed where not allow"
+        ),
+        "robots_signals": (
+            f"with {_GROUPS}, sg as (select site_id, grp, unnest(string_split(value, ',')) as p, unnest(range(len(string_split(value, ',')))) as i from gr where name = 'content-signal' and grp > 0 and (site_id, grp) in (select site_id, grp from gr where name = 'user-agent' and value = '*')) "
+            "select site_id, lower(regexp_extract(trim(p), '^([a-zA-Z-]+)\\s*=', 1)) as signal, lower(regexp_extract(trim(p), '=\\s*(yes|no)$', 1)) as value from sg where regexp_matches(trim(p), '(?i)^[a-z-]+\\s*=\\s*(yes|no)$') "
+            "qualify row_number() over (partition by site_id, signal order by grp desc, i desc) = 1"
+        ),
+        "crawl_frontier": (
+            f"with k as (select distinct site_id, {_key('t')} as url from (select site_id, url, split_part({_resolve('href', 'url')}, '#', 1) as t from (select distinct site_id, url, unnest(links).href as href from pages) where href is not null and href not like '#%') "
+            f"where {_bare('t')} = {_bare('url')} and not regexp_matches(t, '(?i)\\.(png|jpe?g|gif|webp|avif|svg|ico|css|js|mjs|json|xml|txt|pdf|zip|gz|mp4|webm|mp3|woff2?|ttf|eot|map)(\\?|#|$)')) "
+            f"select site_id, url from k where url is not null and (site_id, url) not in (select site_id, {_key('url')} from pages where url is not null)"
+        ),
+        "geo_checks": f"{_geo()} select * from gc",
+        "geo_score": (
+            f"{_geo()} select site_id, cast(floor(sum(w * v) / sum(w) * 100 + 0.5) as bigint) as score from (select site_id, case check_id when 'geo-ai-search-bots' then 3 when 'geo-server-rendered' then 2 else 1 end as w, "
+            "case status when 'pass' then 1.0 when 'warn' then 0.5 else 0 end as v from gc where check_id <> 'geo-ai-training-bots') group by 1"
+        ),
+        "report_markdown": (
+            f"{_scored()}, ri as (select site_id, '| ' || impact || ' | ' || rule_id || ' | ' || affected || ' |' as line, row_number() over (partition by site_id order by {_case('impact', IMPACT, 0)} desc, affected desc, rule_id) as k from iss join cat using (rule_id)) "
+            "select site_id, '| Impact | Rule | Pages |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) order by k) as body from ri where k <= 12 group by 1"
+        ),
+        "report_html": (
+            f"{_scored()}, ri as (select site_id, '<li>' || rule_id || ' (' || impact || '): ' || affected || '</li>' as item from iss join cat using (rule_id)) "
+            "select site_id, '<!doctype html><title>Site audit</title><ul>' || string_agg(item, '' order by item) || '</ul>' as body from ri group by 1"
+        ),
         "url_parts": f"select distinct page_id, {_host('url')} as host, {_path('url')} as path, {_key('url')} as page_key, split_part(url, '#', 1) as no_fragment, {_utility(_path('url'))} as utility from pages",
         "reading_ease": f"{pages} select page_id, ease from ({_ease()})",
         "fnv_hash": "select distinct page_id, cast(list_reduce(list_prepend(2166136261, list_transform(string_split(regexp_replace(url, '[^ -~]', '', 'g'), ''), lambda c: ord(c))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) as bigint) as fnv from pages",
