@@ -116,7 +116,7 @@ def _rule(rule: str) -> Query:
 
 def _top_vectors(vectors: DataFrame) -> DataFrame:
     found = retrieval.nearest(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", 10)
-    return found.select("query_id", "vec_id", F.round("score", 4).alias("score"))
+    return found.select("query_id", "vec_id", (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
 
 
 def _search(documents: DataFrame, pages: DataFrame) -> DataFrame:

@@ -588,7 +588,7 @@ def oracle() -> dict[str, str]:
             "select site_id, page_id, array_to_string(terms[1:3], ', ') as topic from hv join sm using (site_id, page_id) where len(list_intersect(list_transform(terms, lambda t: regexp_replace(t, '(ing|ed|es|s)$', '')), stems)) = 0"
         ),
         "vector_neighbours": (
-            "select query_id, vec_id, round(score, 4) as score from (select q.vec_id as query_id, r.vec_id, round(list_dot_product(cast(q.embedding as double[]), cast(r.embedding as double[])), 6) as score, "
+            "select query_id, vec_id, floor(score * 10000 + 0.5) / 10000 as score from (select q.vec_id as query_id, r.vec_id, round(list_dot_product(cast(q.embedding as double[]), cast(r.embedding as double[])), 6) as score, "
             "row_number() over (partition by q.vec_id order by round(list_dot_product(cast(q.embedding as double[]), cast(r.embedding as double[])), 6) desc, r.vec_id) as k from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0) where k <= 10"
         ),
         "page_issues": f"{_scored()} select site_id, rule_id, category, impact, effort, risk, cast(confidence as integer) as confidence, affected from iss join cat using (rule_id)",
