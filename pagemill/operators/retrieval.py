@@ -9,9 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.session import cut
+
 SIZE = 512
 #: Queries sent to the executors at a time: at most 16,384 x 512 x 4 bytes, 32 MB.
 BLOCK = 16_384
@@ -137,32 +139,107 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _words() -> Column:
+    texts = F.transform(F.coalesce("headings", F.array().cast("array<struct<level:int,text:string>>")), lambda h: h["text"])
+    return F.concat_ws(" ", "title", F.array_join(texts, " "), "text_content")
+
+
+def _similar(rows: DataFrame, linked: DataFrame, k: int, least: float) -> DataFrame:
+    """(site_id, query_id, page_id, score, rank): the k most similar pages of the own site for queries with page_id divisible by 20.
+
+    ``rows`` are (site_id, page_id, node, leader_id, words), ``linked`` (site_id, query_id, nodes).  A page of the query's
+    node, of one of its linked nodes or of its leader is left out before the k are taken; a null leader is no cluster.
+    Queries go out in blocks of BLOCK, in order of site, and a block embeds the pages of its sites only.
+    """
+    spark = rows.sparkSession
+    asked = rows.where("page_id % 20 = 0").join(linked.withColumnRenamed("query_id", "page_id"), ["site_id", "page_id"], "left").orderBy("site_id", "page_id")
+    schema = "site_id string, query_id bigint, page_id bigint, score double"
+    found = spark.createDataFrame([], schema)
+    total = asked.count()
+    for at in range(0, total, BLOCK):
+        block = asked.offset(at).limit(BLOCK).select("site_id", "page_id", "node", "leader_id", "words", "nodes").toArrow()
+        site, words = np.array(block.column("site_id").to_pylist(), object), block.column("words").to_pylist()
+        ids, nodes, leads = (np.array([-1 if v is None else v for v in block.column(c).to_pylist()], np.int64) for c in ("page_id", "node", "leader_id"))
+        alone = np.array([v is None for v in block.column("leader_id").to_pylist()])
+        seen = [np.array(v or [], np.int64) for v in block.column("nodes").to_pylist()]
+        of_site = {s: np.flatnonzero(site == s) for s in set(site)}
+        sent = spark.sparkContext.broadcast((of_site, ids, nodes, leads, alone, seen, words))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            of_site, ids, nodes, leads, alone, seen, words = sent.value
+            vectors: dict[str, np.ndarray] = {}
+            for b in batches:
+                sites = np.array(b.column("site_id").to_pylist(), object)
+                for s in of_site.keys() & set(sites):
+                    here = np.flatnonzero(sites == s)
+                    own = b.column("page_id").to_numpy(zero_copy_only=False)[here]
+                    here = here[np.argsort(own, kind="stable")]
+                    some = b.take(pa.array(here))
+                    own, node = some.column("page_id").to_numpy(zero_copy_only=False), some.column("node").to_numpy(zero_copy_only=False)
+                    lead = np.array([-1 if v is None else v for v in some.column("leader_id").to_pylist()], np.int64)
+                    free = np.array([v is None for v in some.column("leader_id").to_pylist()])
+                    mine = np.array([embed(t) for t in some.column("words").to_pylist()], np.float32).astype(np.float64)
+                    by_node = np.argsort(node, kind="stable")
+                    if s not in vectors:
+                        vectors[s] = np.array([embed(words[i]) for i in of_site[s]], np.float32)
+                    for start in range(0, len(of_site[s]), 512):
+                        part = of_site[s][start : start + 512]
+                        scores = (vectors[s][start : start + 512].astype(np.float64) @ mine.T).round(6)
+                        same = (leads[part][:, None] == lead[None, :]) & ~alone[part][:, None] & ~free[None, :]
+                        scores[(nodes[part][:, None] == node[None, :]) | (ids[part][:, None] == own[None, :]) | same | (scores < least)] = -9
+                        to = np.concatenate([seen[i] for i in part])
+                        who = np.repeat(np.arange(len(part)), [len(seen[i]) for i in part])
+                        low, high = (np.searchsorted(node[by_node], to, side) for side in ("left", "right"))
+                        many = high - low
+                        places = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+                        scores[np.repeat(who, many), by_node[places]] = -9
+                        # A stable sort over rows in order of page_id gives ties to the lower one.
+                        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                        q, r = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
+                        keep = scores[q, r] > -9
+                        q, r = q[keep], r[keep]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([s] * len(q), pa.string()), pa.array(ids[part[q]]), pa.array(own[r]), pa.array(scores[q, r])], names=["site_id", "query_id", "page_id", "score"]
+                        )
+
+        found = found.unionByName(rows.mapInArrow(run, schema))
+    w = Window.partitionBy("site_id", "query_id").orderBy(F.desc("score"), "page_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _rows(pages: DataFrame) -> DataFrame:
+    """(site_id, page_id, path, words): the answered pages, once each."""
+    from pagemill.functions import urls
+
+    ok = pages.where("status between 200 and 299 and site_id is not null and page_id is not null").dropDuplicates(["site_id", "page_id"])
+    return ok.select("site_id", "page_id", F.coalesce(urls.path(F.col("url")), F.col("url")).alias("path"), _words().alias("words"))
+
+
 def related_pages(pages: DataFrame, k: int = 2, least: float = 0.55) -> DataFrame:
-    """(query_id, page_id, score, rank): for pages whose page_id is divisible by 20, the most similar other pages."""
-    words = F.concat_ws(" ", "title", F.array_join(F.transform(F.coalesce("headings", F.array().cast("array<struct<level:int,text:string>>")), lambda h: h["text"]), " "), "text_content")
-    rows = pages.where("status between 200 and 299").dropDuplicates(["page_id"]).select("page_id", words.alias("words"))
-    vectors = embedded(rows, "page_id", "words")
-    return nearest(vectors, vectors.where("page_id % 20 = 0"), "page_id", "vector", k, least)
+    """(query_id, page_id, score, rank): for pages whose page_id is divisible by 20, the most similar other pages of their site."""
+    rows = _rows(pages).select("site_id", "page_id", F.col("page_id").alias("node"), F.lit(None).cast("bigint").alias("leader_id"), "words")
+    none = rows.sparkSession.createDataFrame([], "site_id string, query_id bigint, nodes array<bigint>")
+    return _similar(rows, none, k, least).drop("site_id")
 
 
 def link_opportunities(pages: DataFrame, edges: DataFrame, clusters: DataFrame, k: int = 2, most: int = 30) -> DataFrame:
     """(site_id, rule_id, url, note): similar pages of a site that a queried page does not link to yet.
 
-    Queries are the pages whose page_id is divisible by 20, against all pages.  Pairs that are linked, or in one cluster
-    of near-duplicates, are left out before the best ``k`` are taken; at most ``most`` a site are reported (a top-k
-    report).
+    Queries are the pages whose page_id is divisible by 20, against all pages of their site.  Pairs that are linked, or in
+    one cluster of near-duplicates, are left out before the best ``k`` are taken; at most ``most`` a site are reported (a
+    top-k report).
     """
-    from pagemill.functions import urls
-
-    near = related_pages(pages, 4 * k + 2).select(F.col("query_id").alias("a"), F.col("page_id").alias("b"), "score")
-    place = pages.where("url is not null").dropDuplicates(["page_id"]).select("page_id", "site_id", urls.path(F.col("url")).alias("path"))
-    from_, to = (place.select(F.col("page_id").alias(x), F.col("site_id").alias(f"s{x}"), F.col("path").alias(f"p{x}")) for x in "ab")
-    met = near.join(from_, "a").join(to, "b").where("sa = sb and pa <> pb")
-    linked = edges.select(F.col("site_id").alias("sa"), F.col("src").alias("pa"), F.col("dst").alias("pb"))
-    ca, cb = (clusters.select(F.col("page_id").alias(x), F.col("leader_id").alias(f"l{x}")) for x in "ab")
-    free = met.join(linked, ["sa", "pa", "pb"], "left_anti").join(ca, "a", "left").join(cb, "b", "left").where("la is null or lb is null or la <> lb")
-    own = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    best = free.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k)
-    top = Window.partitionBy("sa").orderBy(F.desc("score"), "a", "b")
-    kept = best.withColumn("n", F.row_number().over(top)).where(F.col("n") <= most)
-    return kept.select(F.col("sa").alias("site_id"), F.lit("link-missing-internal-opportunities").alias("rule_id"), F.col("pa").alias("url"), F.concat(F.col("pb"), F.lit(" "), F.round("score", 2)).alias("note"))
+    placed = _rows(pages).where("path is not null")
+    # A path is known by its lowest page_id.
+    node = cut(placed.groupBy("site_id", "path").agg(F.min("page_id").alias("node")))
+    place = placed.select("site_id", "page_id", "path")
+    to = edges.join(node.select("site_id", F.col("path").alias("dst"), "node"), ["site_id", "dst"])
+    asked = place.where("page_id % 20 = 0").select("site_id", F.col("page_id").alias("query_id"), F.col("path").alias("src"))
+    linked = asked.join(to, ["site_id", "src"]).groupBy("site_id", "query_id").agg(F.collect_list("node").alias("nodes"))
+    leader = clusters.select("site_id", "page_id", "leader_id")
+    rows = placed.join(node, ["site_id", "path"]).join(leader, ["site_id", "page_id"], "left").select("site_id", "page_id", "node", "leader_id", "words")
+    best = _similar(rows, linked, k, least=0.55)
+    a, b = (place.select("site_id", F.col("page_id").alias(c), F.col("path").alias(p)) for c, p in (("query_id", "pa"), ("page_id", "pb")))
+    top = Window.partitionBy("site_id").orderBy(F.desc("score"), "query_id", "page_id")
+    kept = best.withColumn("n", F.row_number().over(top)).where(F.col("n") <= most).join(a, ["site_id", "query_id"]).join(b, ["site_id", "page_id"])
+    return kept.select("site_id", F.lit("link-missing-internal-opportunities").alias("rule_id"), F.col("pa").alias("url"), F.concat(F.col("pb"), F.lit(" "), F.round("score", 2)).alias("note"))

@@ -115,3 +115,33 @@ def test_crawl_state_and_hosts(spark, page_table, site_table):
     assert sorted(r.rule_id for r in site_rules.host_findings(variants, sites).collect()) == ["indexing-host-duplicate", "indexing-http-not-redirected"]
     files = spark.createDataFrame([("s", "/map.xml", "HTTP 500"), ("s", "/ok.xml", None), ("t", "/x", "bad")], "site_id string, file string, error string")
     assert [r.url for r in site_rules.sitemap_file_findings(files, sites).collect()] == ["/map.xml"]
+
+
+def test_link_opportunities_filter_before_the_best(spark, page_table):
+    """Brute force over several sites, with linked pages and a cluster of more than ten copies among the nearest."""
+    rng = np.random.default_rng(3)
+    pool = "canonical robots sitemap schema title heading image speed anchor crawl mobile locale budget cache header".split()
+    body = lambda: " ".join(rng.choice(pool, 40))
+    copies = body()
+    rows = []
+    for n in range(100, 220):
+        site = "abc"[n % 3]
+        # Fourteen copies of query 120 stand on its own site, and copies of it on the others.
+        text = copies if n == 120 or n % 3 != 0 and n < 150 or n in range(123, 165, 3) else body()
+        rows.append(dict(page_id=n, site_id=site, ord=n, url=f"https://{site}.example/{n}", status=200, title="t", text_content=text))
+    site = {r["page_id"]: r["site_id"] for r in rows}
+    vector = {r["page_id"]: retrieval.embed(f"t  {r['text_content']}").astype(np.float32).astype(float) for r in rows}
+    copy = {r["page_id"]: r["text_content"] == copies and r["site_id"] == "a" for r in rows}
+    links = [(site[x], f"/{x}", f"/{y}") for x in vector for y in vector if x % 20 == 0 and site[x] == site[y] and x < y < x + 30]
+    edges = spark.createDataFrame(links, "site_id string, src string, dst string")
+    clusters = spark.createDataFrame([(site[p], p, 120) for p in vector if copy[p]], "site_id string, page_id bigint, leader_id bigint")
+    want, near = set(), {}
+    for x in (p for p in vector if p % 20 == 0):
+        scored = sorted((-round(float(vector[x] @ vector[y]), 6), y) for y in vector if y != x and site[y] == site[x])
+        near[x] = [y for s, y in scored if s <= -0.55][:2]
+        free = [y for s, y in scored if s <= -0.55 and (site[x], f"/{x}", f"/{y}") not in links and not (copy[x] and copy[y])]
+        want |= {(site[x], f"/{x}", f"/{y}") for y in free[:2]}
+    got = retrieval.link_opportunities(page_table(rows), edges, clusters).collect()
+    assert {(r.site_id, r.url, r.note.split()[0]) for r in got} == want and len([w for w in want if w[1] == "/120"]) == 2
+    found = {(r.query_id, r.page_id) for r in retrieval.related_pages(page_table(rows)).collect()}
+    assert found == {(x, y) for x, ys in near.items() for y in ys}
