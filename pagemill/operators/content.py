@@ -116,18 +116,19 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return kept.select("site_id", "a", "b")
 
 
-def leaders(vertices: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame:
+def leaders(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
     """(site_id, id, leader): greedy clusters in order of id; an id that no earlier leader is similar to leads.
 
     Rounds settle every id whose earlier neighbours are settled, as many at a time as there are, instead of one pass
-    in order; the result is the same.
+    in order; the result is the same.  Every round settles at least the first undecided id, so the rounds end; a chain
+    of ids takes as many rounds as it is long.
     """
     links = cut(pairs.select("site_id", F.col("a").alias("before"), F.col("b").alias("id")))
     # Only ids with a neighbour are in question; one without an earlier neighbour leads.
     first = links.select("site_id", F.col("before").alias("id")).distinct().join(links.select("site_id", "id").distinct(), ["site_id", "id"], "left_anti")
     waiting = links.select("site_id", "id").distinct().withColumn("leader", F.lit(None).cast(dict(links.dtypes)["id"]))
     state = cut(first.withColumn("leader", F.col("id")).unionByName(waiting))
-    for _ in range(most):
+    while not state.where("leader is null").isEmpty():
         before = state.select("site_id", F.col("id").alias("before"), F.col("leader").alias("lead"))
         seen = links.join(before, ["site_id", "before"]).groupBy("site_id", "id").agg(
             F.min(F.when(F.col("lead") == F.col("before"), F.col("before"))).alias("head"), F.min(F.when(F.col("lead").isNull(), F.col("before"))).alias("wait")
@@ -137,8 +138,6 @@ def leaders(vertices: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame
         alone = F.col("head").isNull() & F.col("wait").isNull()
         now = F.coalesce(F.col("leader"), F.when(claimed, F.col("head")).when(alone, F.col("id")))
         state = cut(state.join(seen, ["site_id", "id"], "left").select("site_id", "id", now.alias("leader")))
-        if state.where("leader is null").isEmpty():
-            break
     rest = vertices.select("site_id", "id").join(state, ["site_id", "id"], "left_anti").withColumn("leader", F.col("id"))
     return rest.unionByName(state)
 
