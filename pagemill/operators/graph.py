@@ -6,6 +6,8 @@ and a lost executor costs at most those steps.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,11 @@ def broken(pages: DataFrame) -> DataFrame:
     return edges(pages).join(bad, ["site_id", "dst"]).select("site_id", "src", "dst", "status")
 
 
-def click_depth(links: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
-    """(site_id, node, depth) of the nodes that ``starts`` (site_id, node) reach over (site_id, src, dst)."""
+def click_depth(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(site_id, node, depth) of all nodes that ``starts`` (site_id, node) reach over (site_id, src, dst)."""
     found = cut(starts.distinct().withColumn("depth", F.lit(0)))
     ahead = found
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = ahead.withColumnRenamed("node", "src").join(links, ["site_id", "src"]).select("site_id", F.col("dst").alias("node")).distinct()
         ahead = cut(step.join(found.select("site_id", "node"), ["site_id", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if ahead.isEmpty():

@@ -1,6 +1,6 @@
 """Loops that must run to their end, on chains longer than any fixed number of rounds."""
 
-from pagemill.operators import content
+from pagemill.operators import content, graph
 
 
 def test_leaders_of_a_long_chain(spark):
@@ -10,3 +10,10 @@ def test_leaders_of_a_long_chain(spark):
     got = {r.id: r.leader for r in content.leaders(ids, pairs.coalesce(1)).collect()}
     # One pass in order: every second id leads and takes the next.
     assert got == {i: i - i % 2 for i in range(length)}
+
+
+def test_click_depth_of_a_long_chain(spark):
+    length = 55
+    links = spark.createDataFrame([("s", f"/{i}", f"/{i + 1}") for i in range(length)] + [("s", "/9", "/2")], "site_id string, src string, dst string").coalesce(1)
+    got = graph.click_depth(links, spark.createDataFrame([("s", "/0")], "site_id string, node string")).collect()
+    assert {r.node: r.depth for r in got} == {f"/{i}": i for i in range(length + 1)}
