@@ -246,6 +246,37 @@ INITIAL_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])((?:{_CAP}\. ?){{1,3}})((?:{_P
 FAMILY_INITIAL = re.compile(rf"(?<![\w@.+'\u2019-])({_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*), ({_CAP}\.)(?!\w)")
 
 
+#: Capitalised words that are no family name: function words, roles, places, days, nouns that begin sentences.
+_NO_NAME = frozenset(
+    """
+the this that these those and or but if in on at for please most both you our your it its we they he she my as to of by with from what when where why how all no not yes new see then there here after before
+der die das den dem des ein eine und oder aber wir sie er ich wenn bitte im bei für mit von zu nach auf alle neue hier dann ist hat ihr ihre
+les le la un une et ou mais si nous vous il elle ils elles dans sur pour avec par ce cette ces mon ma mes tous est ici puis
+los las el una y o pero nosotros usted ustedes él ella en con por para este esta estos su sus todos aquí es
+president minister speaker chairman secretary director manager professor doctor officer judge captain general universe doktor präsident präsidentin professorin ministerin minister kollege kollegin direktor direktorin kanzler
+président présidente ministre directeur directrice professeur docteur docteure maire presidente ministro ministra doctora profesor profesora alcalde directora
+street road avenue lane court close drive boulevard way place square park garden gardens university college school airport church hospital hotel museum station bridge river lake island county city town
+straße platz allee gasse weg kirche schule klinik universität flughafen bahnhof brücke rue calle plaza avenida iglesia hospital aeropuerto église hôpital gare
+monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
+montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember
+page pages site team support audit report index table section chapter figure version step plan note part inc ltd gmbh sa sl llc seite seiten abschnitt tabelle kapitel
+""".split()
+)
+#: Given names that are words as well; beside an unknown word they count only where something announces a name.
+_WORD_TOO = frozenset("mark rose grace frank jack iris ben kai finn leon rosa alba dolores mercedes pilar martin jean luz marc luc lutz horst heinz emil concepción paris victoria".split())
+#: A word that is often followed by a person, before an initial.
+_BEFORE_NAME = re.compile(r"(?:^|[\s(\"“„«])(?:by|with|from|of|to|and|for|asked?|told|mit|von|und|an|bei|für|par|avec|de|et|à|pour|con|por|y|a|para)\s$", re.I)
+_FRENCH = re.compile(r"\b(?:le|la|les|des|est|et|une|dans|pour|avec|chez)\b")
+
+
+def unknown_name(word: str, text: str) -> bool:
+    """Whether a capitalised word may be a family name no list holds: no common word, nor one that the text has in small letters."""
+    low = word.lower()
+    if len(word) < 2 or not word[0].isupper() or low in _NO_NAME or low in GIVEN or any(c.isdigit() or c == "_" for c in word):
+        return False
+    return low not in text or not re.search(rf"(?<!\w){re.escape(low)}(?!\w)", text)
+
+
 def family(word: str) -> bool:
     """Whether a word has the form of a family name."""
     return all(_FAMILY_NAME.match(part) for part in word.split("-"))
@@ -260,9 +291,11 @@ def _given_first(text: str, at: int) -> tuple[int, int] | None:
     shouted = first.isupper() and last.isupper() and len(last) > 2
     # An unknown family name counts where something announces a name.
     proper = first[:1].isupper() and not first.isupper() and last[:1].isupper() and not last.isupper()
-    if known or shouted or (proper and _NAME_CUE.search(text[max(0, m.start() - 24) : m.start()])):
+    before = text[max(0, m.start() - 24) : m.start()]
+    if known or shouted or (proper and _NAME_CUE.search(before)):
         return m.span()
-    return None
+    plain = proper and "-" not in first and first.lower() not in _WORD_TOO and not re.search(r"(?:\b(?:San|Santa|Saint|Sainte|Sankt|St)\.?[ -])$", before)
+    return m.span() if plain and not last.endswith(("'s", "’s")) and unknown_name(last, text) else None
 
 
 def _family_first(text: str, at: int) -> tuple[int, int] | None:
@@ -284,7 +317,19 @@ def _titled(text: str, at: int) -> tuple[int, int] | None:
         return m.span(1)
     if family(words[0]):
         return m.start(1), m.start(1) + len(words[0])
-    return None
+    if re.search(r"\d[A-Z]? (?:\w+ ){1,3}$", text[max(0, at - 40) : at]) and text.startswith("Dr", at):
+        return None  # Drive, in an address
+    # Without a known form the form of address has to do; in German, nouns stand in capitals behind a name too.
+    clean = [re.sub(r"['’]s?$|-$", "", w) for w in words]
+    if not words[0][0].isupper():
+        return (m.start(1), m.end(1) - len(words[-1]) + len(clean[-1])) if unknown_name(clean[-1], text) else None
+    given = words[0].lower() in GIVEN
+    if not given and not unknown_name(clean[0], text):
+        return None
+    both = len(words) > 1 and unknown_name(clean[-1], text) and clean[0] == words[0] and (given or not m[0].startswith(("Herr", "Frau")))
+    if both:
+        return m.start(1), m.end(1) - len(words[-1]) + len(clean[-1])
+    return m.start(1), m.start(1) + len(clean[0])
 
 
 #: Words that announce a name.
@@ -295,6 +340,16 @@ _NAME_CUE = re.compile(
 )
 
 
+_TITLES = frozenset("mr mrs ms miss mx dr prof sir madam herr herrn frau mme mlle madame monsieur sr sra srta señor señora señorita don doña dña".split())
+#: A given name of no list before a family name; the ends of family names are checked afterwards.
+UNLISTED_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])({_CAP}[^\W\d_A-Z]+) ({_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*)(?![\w@])")
+
+
+def _introduced(text: str, at: int) -> bool:
+    before = text[max(0, at - 24) : at]
+    return bool(_BEFORE_NAME.search(before) or _NAME_CUE.search(before))
+
+
 @cache
 def triggers():
     """One automaton that finds where a costly pattern is worth a try, in a lower-cased text."""
@@ -374,12 +429,18 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         for m in INITIAL_FIRST.finditer(text):
             if family(m[2].split(" ")[-1]):
                 names.append(m.span())
+            elif _introduced(text, m.start()) and unknown_name(m[2].split(" ")[-1], text):
+                # A French M. is a form of address.
+                names.append(m.span(2) if m[1].strip() == "M." and _FRENCH.search(text[max(0, m.start() - 80) : m.end() + 80]) else m.span())
         for m in MONSIEUR.finditer(text):
-            if family(m[1].split(" ")[-1]):
+            if family(m[1].split(" ")[-1]) or unknown_name(m[1].split(" ")[-1], text):
                 names = [n for n in names if n is None or n[1] <= m.start() or n[0] >= m.end(1)] + [m.span(1)]
         for m in FAMILY_INITIAL.finditer(text):
             if family(m[1]):
                 names.append(m.span())
+    for m in UNLISTED_FIRST.finditer(text):
+        if family(m[2]) and m[1].lower() not in _TITLES and _introduced(text, m.start()) and unknown_name(m[1], text):
+            names.append(m.span())
     # A name that follows a town without a stop ends the address.
     for n in filter(None, names):
         taken = [
