@@ -192,6 +192,10 @@ ID_NUMBER = re.compile(
     r"|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{0,2}\d{6,8}[0-9D]?|[A-Z]{1,2}\d{6,8}|\d{2}[A-Z]{2}\d{5}"
     r")(?![\w@/-]|\.\d)"
 )
+#: Passports and identity cards with letters between or before the digits, five digits in all; they count after _ID_CONTEXT only.
+MIXED_ID = re.compile(
+    r"(?<![\w.+/@#-])(?=(?:[A-Z]*\d){5})(?:\d{2}[A-Z]{2}\d{5}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}[0-9]?D?|[A-Z]{3}\d{6}[A-Z]?)(?![\w@/-]|\.\d)"
+)
 _ID_CONTEXT = re.compile(
     r"(?:social security|passport|national insurance|insurance number|tax|identity|id shown|id number|\bid card|personal number|ausweis|steuer|personalausweis|reisepass|versicherungsnummer|sozialversicherung|kundin|kunde"
     r"|sécurité sociale|numéro fiscal|passeport|carte d'identité|fiche client|documento|identidad|pasaporte|\bdni\b|\bnie\b|\bnif\b|seguridad social|ficha)",
@@ -425,6 +429,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 if _free(m.span(), taken) and not _NOT_PERSONAL.search(text[max(0, m.start() - 24) : m.start()]):
                     if kind == "phone" or _likely_id(text, m):
                         taken.append((*m.span(), kind))
+    for m in MIXED_ID.finditer(text):
+        before = text[max(0, m.start() - 24) : m.start()]
+        if _free(m.span(), taken) and not _NOT_PERSONAL.search(before) and _ID_CONTEXT.search(text[max(0, m.start() - 120) : m.start()]):
+            taken.append((*m.span(), "id_number"))
     if _INITIAL.search(text):
         for m in INITIAL_FIRST.finditer(text):
             if family(m[2].split(" ")[-1]):

@@ -32,3 +32,10 @@ def test_unlisted_given_name():
 )
 def test_common_words_are_no_names(text):
     assert names(text) == []
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Son passeport est 12AB34567.", "12AB34567"), ("Ausweis C01X00T47 liegt vor", "C01X00T47"), ("pasaporte AAB123456 del cliente", "AAB123456"), ("build 12AB34567 and sku AAB123456", None),
+])
+def test_identity_numbers_with_letters(text, want):
+    assert [text[a:b] for a, b, kind in personal.find(text) if kind == "id_number"] == ([want] if want else [])
