@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 
-#: Caps on what is kept of a page.
+#: The caps of the audited crawler on what is kept of a page; queries keep all (WHOLE).
 CAPS = {"html": 60_000, "text": 12_000, "headings": 60, "images": 120, "links": 300, "anchor": 120, "body_bytes": 512 * 1024}
+WHOLE: dict[str, int] = {}
 #: Entities in the order in which they are decoded.
 ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]
 _SPACE = r"[\s\p{Z}\x{FEFF}]+"
@@ -93,7 +94,7 @@ def images(html: Column) -> Column:
     )
 
 
-def links(html: Column, base: Column) -> Column:
+def links(html: Column, base: Column, anchor: int | None = None) -> Column:
     """Links but fragments, mail, telephone and script ones; internal if root-relative or of the page's origin."""
     found = tags(html, r"(?is)<a\b[^>]*>.*?</a>")
     opening = lambda a: F.regexp_extract(a, r"(?is)^<a\b[^>]*>", 0)
@@ -105,7 +106,7 @@ def links(html: Column, base: Column) -> Column:
     )
     kept = F.filter(rows, lambda x: (x["href"] != "") & ~x["href"].rlike("(?i)^(#|mailto:|tel:|javascript:)"))
     own = lambda x: x["href"].startswith("/") | F.coalesce(F.startswith(x["href"], urls.origin(base)), F.lit(False))
-    return F.transform(kept, lambda x: F.struct(x["href"].alias("href"), own(x).alias("internal"), F.substring(x["anchor"], 1, CAPS["anchor"]).alias("anchor"), x["nofollow"].alias("nofollow")))
+    return F.transform(kept, lambda x: F.struct(x["href"].alias("href"), own(x).alias("internal"), _first(x["anchor"], anchor).alias("anchor"), x["nofollow"].alias("nofollow")))
 
 
 def json_ld(html: Column) -> Column:
@@ -114,8 +115,13 @@ def json_ld(html: Column) -> Column:
     return F.filter(F.transform(found, lambda j: F.trim(j)), lambda j: F.try_parse_json(j).isNotNull())
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id and every field that html and url give; pages need page_id, url and html."""
+def _first(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substring(text, 1, most)
+
+
+def extracted(pages: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
+    """page_id and every field that html and url give; pages need page_id, url and html.  What ``caps`` does not name is kept whole."""
+    some = lambda items, name: F.slice(items, 1, caps[name]) if name in caps else items
     html = F.col("html")
     metas = tags(html, r"(?is)<meta\b[^>]*>")
     head_metas = tags(head(html), r"(?is)<meta\b[^>]*>")
@@ -130,12 +136,12 @@ def extracted(pages: DataFrame) -> DataFrame:
         "page_id", title(html).alias("title"), meta(metas, "description").alias("meta_description"), canonical(html).alias("canonical"),
         attr(F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0), r"\blang").alias("lang"), F.lower(meta(metas, "robots")).alias("meta_robots"),
         F.lower(meta(metas, "googlebot")).alias("meta_googlebot"), meta(metas, "viewport").alias("viewport"), meta(metas, "twitter:card").alias("twitter_card"),
-        F.transform(F.filter(found, lambda h: h["level"] == 1), lambda h: h["text"]).alias("h1s"), F.slice(found, 1, CAPS["headings"]).alias("headings"),
-        F.slice(pics, 1, CAPS["images"]).alias("images"), F.size(F.filter(pics, lambda i: i["width"].isNull() | i["height"].isNull())).alias("images_missing_dims"),
-        F.slice(links(html, F.col("url")), 1, CAPS["links"]).alias("links"), json_ld(html).alias("json_ld"),
+        F.transform(F.filter(found, lambda h: h["level"] == 1), lambda h: h["text"]).alias("h1s"), some(found, "headings").alias("headings"),
+        some(pics, "images").alias("images"), F.size(F.filter(pics, lambda i: i["width"].isNull() | i["height"].isNull())).alias("images_missing_dims"),
+        some(links(html, F.col("url"), caps.get("anchor")), "links").alias("links"), json_ld(html).alias("json_ld"),
         F.transform(alternates, lambda t: F.struct(attr(t, "hreflang").alias("lang"), attr(t, r"\bhref").alias("href"))).alias("hreflang"),
         F.map_from_entries(F.transform(og, lambda t: F.struct(F.lower(attr(t, r"\bproperty")), attr(t, r"\bcontent")))).alias("og"),
-        F.substring(seen, 1, CAPS["text"]).alias("text_content"), F.size(F.filter(F.split(seen, _SPACE), lambda w: w != "")).alias("word_count"),
+        _first(seen, caps.get("text")).alias("text_content"), F.size(F.filter(F.split(seen, _SPACE), lambda w: w != "")).alias("word_count"),
         F.octet_length("html").cast("bigint").alias("html_bytes"), F.struct(F.size(scripts).alias("scripts"), F.size(sheets).alias("stylesheets")).alias("render_blocking"),
     )
 

@@ -136,7 +136,6 @@ SCHEMA_REQUIRED: dict[str, list] = {
     "Review": ["author", "reviewRating"],
 }
 _SHELL = r"(?is)<(div|main)\b[^>]*\bid\s*=\s*[\"'](root|app|__next|__nuxt|svelte)[\"'][^>]*>\s*</\1>|<app-root\b[^>]*>\s*</app-root>"
-_HEAD_LIMIT = 200_000
 
 
 def flagged(pages: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def _n(c: Column) -> Column:
 
 def _head() -> Column:
     at = F.regexp_instr(F.col("html"), F.lit("(?i)</head>"))
-    return F.when(at > 1, F.substring(F.col("html"), F.lit(1), at - 1)).otherwise(F.substring("html", 1, _HEAD_LIMIT))
+    return F.when(at > 1, F.substring(F.col("html"), F.lit(1), at - 1)).otherwise(F.col("html"))
 
 
 def _og_problem() -> Column:

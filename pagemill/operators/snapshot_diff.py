@@ -196,16 +196,20 @@ def gate(pages: DataFrame, site: DataFrame, level: str = "critical") -> DataFram
     return both.groupBy("snapshot_id").agg((F.max(rank) >= LEVELS[level]).alias("fails"))
 
 
-def state_of(pages: DataFrame, snapshot_id: str) -> DataFrame:
-    """The page_state rows of a crawl: one a path of the requested address, of several the first in crawl order."""
+def state_of(pages: DataFrame, snapshot_id: str, whole: bool = False) -> DataFrame:
+    """The page_state rows of a crawl: one a path of the requested address, of several the first in crawl order.
+
+    Texts are cut as the audited snapshots cut them unless ``whole``.
+    """
     from pagemill.functions import text, urls
 
+    first_of = lambda c, most: (F.col(c) if isinstance(c, str) else c) if whole else F.substring(c, 1, most)
     asked = urls.path(F.coalesce("requested_url", "url"))
     moved = F.when(F.size(F.coalesce("redirected_from", F.array().cast("array<string>"))) > 0, urls.path(F.col("url")))
     rows = pages.where("url is not null").select(
-        F.lit(snapshot_id).alias("snapshot_id"), "site_id", asked.alias("path"), "ord", "page_id", "status", F.substring("title", 1, 200).alias("title"),
-        F.substring("meta_description", 1, 300).alias("description"), "canonical", text.meta_noindex(F.col("meta_robots"), F.lit("")).alias("noindex_meta"),
-        text.header_noindex(F.col("x_robots_tag")).alias("noindex_header"), F.substring(F.get("h1s", F.lit(0)), 1, 200).alias("h1"), moved.alias("redirected_to"),
+        F.lit(snapshot_id).alias("snapshot_id"), "site_id", asked.alias("path"), "ord", "page_id", "status", first_of("title", 200).alias("title"),
+        first_of("meta_description", 300).alias("description"), "canonical", text.meta_noindex(F.col("meta_robots"), F.lit("")).alias("noindex_meta"),
+        text.header_noindex(F.col("x_robots_tag")).alias("noindex_header"), first_of(F.get("h1s", F.lit(0)), 200).alias("h1"), moved.alias("redirected_to"),
     )
     first = F.min_by(F.struct(*PAGE_FIELDS), F.struct(F.coalesce("ord", F.lit(1 << 62)), "page_id"))
     return rows.where("path is not null").groupBy("snapshot_id", "site_id", "path").agg(first.alias("s")).select("snapshot_id", "site_id", "path", "s.*")

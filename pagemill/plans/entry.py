@@ -95,19 +95,19 @@ def _hash(pages: DataFrame) -> DataFrame:
 
 
 def _fields(field: str) -> Query:
-    return _on("pages", call=lambda p: extract.extracted(p).select("page_id", field).distinct())
+    return _on("pages", call=lambda p: extract.extracted(p, extract.WHOLE).select("page_id", field).distinct())
 
 
 def _headings(pages: DataFrame) -> DataFrame:
-    return extract.extracted(pages).select("page_id", F.posexplode("headings").alias("pos", "h")).select("page_id", "pos", "h.level", "h.text").distinct()
+    return extract.extracted(pages, extract.WHOLE).select("page_id", F.posexplode("headings").alias("pos", "h")).select("page_id", "pos", "h.level", "h.text").distinct()
 
 
 def _links(pages: DataFrame) -> DataFrame:
-    return extract.extracted(pages).select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "l.href", "l.internal", "l.anchor").distinct()
+    return extract.extracted(pages, extract.WHOLE).select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "l.href", "l.internal", "l.anchor").distinct()
 
 
 def _images(pages: DataFrame) -> DataFrame:
-    return extract.extracted(pages).select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.src", "i.alt", "i.width", "i.height").distinct()
+    return extract.extracted(pages, extract.WHOLE).select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.src", "i.alt", "i.width", "i.height").distinct()
 
 
 def _rule(rule: str) -> Query:
@@ -216,7 +216,7 @@ def queries() -> dict[str, Query]:
         "regression_gate": on("site_snapshot", "page_state", call=lambda s, p: snapshot_diff.gate(snapshot_diff.page_regressions(s, p), snapshot_diff.site_regressions(s))),
         "rule_link_opportunities": on("pages", call=_opportunities),
         "rule_host_variants": on("site_files", call=_host_rules),
-        "crawl_state": on("pages", call=lambda p: snapshot_diff.state_of(p, "crawl")),
+        "crawl_state": on("pages", call=lambda p: snapshot_diff.state_of(p, "crawl", whole=True)),
         "fix_templates": lambda s, d: fixes.templates(tune(s)),
         "rule_catalog": lambda s, d: scoring.catalog(tune(s)),
         "vitals_ttfb": on("pages", call=lambda p: vitals.measure(p.select("site_id", "page_id", "response_time_ms").distinct(), ["site_id"], "response_time_ms", "experimental_time_to_first_byte")),
