@@ -16,7 +16,7 @@ IMPACT = {"critical": 12, "high": 7, "medium": 4, "low": 2}
 EFFORT = {"low": 1.0, "medium": 0.7, "high": 0.45}
 RISK = {"low": 1.0, "medium": 0.8, "high": 0.55}
 GRADES = [(90, "A"), (80, "B"), (70, "C"), (60, "D"), (50, "E")]
-#: Most findings of a rule that count as affected.
+#: Most findings of a rule that the audited program counts as affected; queries count all.
 CAPS = {
     **dict.fromkeys(
         "content-keyword-alignment content-readability content-keyword-stuffing schema-invalid indexing-redirect-chain perf-mixed-content img-broken "
@@ -38,13 +38,13 @@ def _lookup(column: str, table: dict, default: object = None) -> Column:
     return out
 
 
-def issues(findings: DataFrame) -> DataFrame:
-    """(site_id, rule_id, category, impact, effort, risk, confidence, affected): a row a site and rule, capped as CAPS says.
+def issues(findings: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
+    """(site_id, rule_id, category, impact, effort, risk, confidence, affected): a row a site and rule, capped as ``caps`` says.
 
     A page counts once a rule; counts are combined before the shuffle.
     """
     counts = findings.groupBy("site_id", "rule_id").agg(F.count("*").alias("n"))
-    capped = counts.withColumn("affected", F.least("n", _lookup("rule_id", CAPS, 1 << 40).cast("bigint"))).drop("n")
+    capped = counts.withColumn("affected", F.least("n", _lookup("rule_id", caps, 1 << 40).cast("bigint"))).drop("n")
     return capped.join(F.broadcast(catalog(findings.sparkSession)), "rule_id").select("site_id", "rule_id", "category", "impact", "effort", "risk", "confidence", "affected")
 
 

@@ -74,7 +74,7 @@ def _ok_pages(pages: DataFrame) -> DataFrame:
 
 
 def _cheap_issues(pages: DataFrame) -> DataFrame:
-    return scoring.issues(rules.page_findings(pages))
+    return scoring.issues(rules.page_findings(pages), {})
 
 
 def _event_vitals(ev: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def queries() -> dict[str, Query]:
         "category_scores": on("pages", call=lambda p: scoring.category_scores(_cheap_issues(p), _ok_pages(p))),
         "overall_score": on("pages", call=lambda p: scoring.overall(scoring.category_scores(_cheap_issues(p), _ok_pages(p)))),
         "issue_priorities": on("pages", call=lambda p: scoring.priorities(_cheap_issues(p))),
-        "full_audit": on("pages", "site_files", "sitemap_urls", "probes", call=lambda p, s, m, r: scoring.issues(all_findings(p, s, m, r))),
+        "full_audit": on("pages", "site_files", "sitemap_urls", "probes", call=lambda p, s, m, r: scoring.issues(all_findings(p, s, m, r), {})),
         "report_markdown": on("pages", call=lambda p: sinks.issue_markdown(_cheap_issues(p))),
         "report_html": on("pages", call=lambda p: sinks.issue_html(_cheap_issues(p))),
         "page_regressions": on("site_snapshot", "page_state", call=snapshot_diff.page_regressions),

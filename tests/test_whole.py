@@ -17,3 +17,10 @@ def test_queries_keep_whole_pages(spark, page_table, tmp_path):
     state = {r.path: r for r in query["crawl_state"](spark, folder).collect()}["/1"]
     assert (len(state.title), len(state.description), len(state.h1)) == (250, 350, 250)
     assert [r.url for r in query["rule_indexing_meta_refresh"](spark, folder).collect()] == ["/2"]
+
+
+def test_issues_count_every_affected_page(spark, page_table, tmp_path):
+    rows = [dict(page_id=n, site_id="s", ord=n, url=f"https://x.example/p{n}", status=200, json_ld=['{"@type":"Review"}']) for n in range(90)]
+    page_table(rows).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.rule_id: r.affected for r in entry.queries()["page_issues"](spark, str(tmp_path)).collect()}
+    assert got["schema-invalid"] == 90
