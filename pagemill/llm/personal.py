@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -19,46 +20,21 @@ from pyspark.sql import DataFrame
 #: Kinds and their placeholders.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-#: Given names in the four languages.
-GIVEN = frozenset(
-    """
-nora lena oscar simon ruth irene clara mara felix alice owen hugh jonas peter james john robert michael william david richard thomas
-charles mary patricia jennifer linda elizabeth susan jessica sarah karen emma olivia ava sophia isabella mia amelia harper evelyn noah liam
-lucas henry jack daniel matthew samuel joseph george edward frank walter arthur albert anna maria laura julia helen margaret martha rose
-grace ella lucy emily kate victor martin paul mark steven kevin brian jason ryan eric adam nathan
-sören käthe ulla wiebke jörg greta anke jürgen frieda lutz björn heiko hans karl klaus dieter uwe jens sven lars holger stefan andreas
-matthias wolfgang günter heinz horst werner gerhard ute petra sabine monika karin heike katja silke birgit ingrid renate ilse gisela
-ursula brigitte helga anja tanja nadine steffi katrin jutta rolf ralf bernd gerd detlef kai finn ben leon luca emil anton moritz
-jeanne anaïs marc inès élodie hugo chloé noël luc léa rémi pierre jean jacques michel philippe nicolas julien antoine louis françois
-rené andré gérard alain bernard christophe laurent olivier sébastien guillaume mathieu vincent thierry yves hélène céline camille manon
-sophie isabelle nathalie sylvie catherine valérie sandrine aurélie mathilde juliette margaux amélie zoé clémence lucie louise gaëlle benoît
-marta nuria íñigo inés elvira andrés begoña josé tomás lucía carlos juan luis pedro javier miguel ángel antonio manuel francisco rafael
-fernando alejandro diego pablo álvaro sergio jorge raúl rubén iván óscar carmen pilar isabel dolores teresa rosa ana elena cristina
-beatriz silvia raquel sonia mónica alba paula daniela valeria sofía martina blanca rocío esther mercedes concepción ramón ignacio
-""".split()
-)
-#: Stems and endings of family names.
-_FAMILY = (
-    (
-        "quill thorp vel holt brand wex marn dray hart black white ash wood brook clif stan hol whit brad har win el ches wal",
-        "mere wick combe low dell hurst sby strom ton ford ley well field man son worth ham bury stead",
-    ),
-    (
-        "lind brück kross feld stein weid grau öster wald berg hof schön neu alt roth schwarz bach",
-        "mann bühl wald egg hagen dorfer quist lich berg bauer hauser meier müller mayer stein bach er",
-    ),
-    ("mont roch beau tour val cler lann fauv lam dup mar bel", "tonne cey dèche quin vigne rière bault mareux bert ont tin and el lin"),
-    ("quint olm torr esp alb mon ser vald mart gonz rodr fern gut ramír sánch", "ueño alba emar andía ezuela ona írez ado ínez ález íguez ández iérrez ez"),
-)
+#: The file of given names that counts, by region; a parameter.
+GIVEN_NAMES = Path(__file__).with_name("given_names.txt")
+GIVEN = frozenset(w for line in GIVEN_NAMES.read_text("utf-8").splitlines() if not line.startswith("#") for w in line.split())
 
 _L = r"[^\W\d_]"
 _CAP = "[A-ZÄÖÜÀÁÂÇÈÉÊËÌÍÎÏÑÒÓÔÙÚÛ]"
 
 #: The transducers' alphabet: bracketed or spaced words for signs.
 _AT = re.compile(
-    r"(?<=\w)\s+@\s+(?=[\w-]+\.\w)|\s*[(\[{<]\s*(?:at|AT|ät|arroba|arobase|chez|klammeraffe|@)\s*[)\]}>]\s*|(?<=[\w])\s+(?:at|AT|arroba|arobase)\s+(?=[\w-]+\s*(?:\.|[(\[{<]\s*(?:dot|punkt|punto|point)|\s(?:dot|punkt|punto|point)\s))"
+    r"(?<=\w)\s+@\s+(?=[\w-]+\.\w)|\s*[(\[{<]\s*(?:at|AT|ät|arroba|arobase|chez|klammeraffe|@)\s*[)\]}>]\s*|(?<=[\w])\s+(?:at|AT|arroba|arobase)\s+(?=(?:[\w-]+(?: (?:dot|DOT|punkt|punto|point) |\.))*[\w-]+\s*(?:\.|[(\[{<]\s*(?:dot|punkt|punto|point)|\s(?:dot|DOT|punkt|punto|point)\s))"
 )
 _DOT = re.compile(r"\s*[(\[{<]\s*(?:dot|DOT|punkt|punto|point|\.)\s*[)\]}>]\s*|(?<=[a-zA-Z0-9-])\s+(?:dot|DOT)\s+(?=[a-zA-Z])")
+#: "point" and the like are signs only behind the sign of an address.
+_POINT = re.compile(r" (?:punkt|punto|point) (?=[a-z]{2,10}\b)")
+_IN_DOMAIN = re.compile(r"@[\w.-]+$")
 #: Digits in words.
 _DIGITS = {
     w: str(i)
@@ -70,8 +46,26 @@ _DIGITS = {
     )
     for i, w in enumerate(words.split())
 }
-_SPELLED = re.compile(rf"\b(?:{'|'.join(sorted(_DIGITS, key=len, reverse=True))})(?:[\s-]+(?:{'|'.join(sorted(_DIGITS, key=len, reverse=True))})\b){{5,}}", re.I)
+#: Words beside the digits in a number read aloud; they count inside a run of digit words only.
+_REPEATS = {"double": 2, "triple": 3, "doppel": 2, "doble": 2}
+_DIGITS_TOO = {"oh": "0", "o": "0", "nought": "0", "nil": "0", "zwo": "2"}
+_digit_word = "|".join(sorted(_DIGITS, key=len, reverse=True))
+_spoken = "|".join(sorted([*_DIGITS, *_DIGITS_TOO, *(f"(?:{r})[\\s-]+(?:{_digit_word}|oh|o)" for r in _REPEATS)], key=len, reverse=True))
+_SPELLED = re.compile(rf"\b(?:oh\s+)?(?:plus\s+)?(?:(?:double|triple)[\s-]+)?(?:{_digit_word})(?:(?:[\s-]|,\s)+(?:{_spoken})\b){{4,}}", re.I)
 _WORD = re.compile(r"\w+")
+
+
+def _read_aloud(run: str) -> str:
+    """The digits of a number in words."""
+    out, times = "", 1
+    for w in _WORD.findall(run.lower()):
+        if w in _REPEATS:
+            times = _REPEATS[w]
+        else:
+            out += "+" if w == "plus" else (_DIGITS.get(w) or _DIGITS_TOO[w]) * times
+            times = 1
+    return out
+
 _IGNORABLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 #: Letters of other scripts that stand for Latin ones in addresses.
 _DOUBLES = dict(zip("аеорсухіѕјοαρν", "aeopcyxisjoapv"))
@@ -81,6 +75,8 @@ class Normal(NamedTuple):
     text: str
     #: Source offset of every character, and one more for the end; None when nothing was changed.
     origin: list[int] | None
+    #: Places of numbers that were written in words.
+    spoken: tuple[tuple[int, int], ...] = ()
 
     def back(self, start: int, end: int) -> tuple[int, int]:
         if self.origin is None:
@@ -132,9 +128,16 @@ def normalise(text: str) -> Normal:
     if "sign" in seen or _AT_WORD.search(text):
         text, origin = _rewrite(text, origin, _AT, lambda m: "@")
         text, origin = _rewrite(text, origin, _DOT, lambda m: ".")
-    if seen.count("digit") >= 5:
-        text, origin = _rewrite(text, origin, _SPELLED, lambda m: "".join(_DIGITS[w.lower()] for w in _WORD.findall(m[0])))
-    return Normal(text, origin)
+        text, origin = _rewrite(text, origin, _POINT, lambda m: "." if _IN_DOMAIN.search(m.string[max(0, m.start() - 80) : m.start()]) else None)
+    spoken: list[tuple[int, int]] = []
+    if seen.count("digit") >= 4:
+        shift = 0
+        for m in _SPELLED.finditer(text):
+            size = len(_read_aloud(m[0]))
+            spoken.append((m.start() + shift, m.start() + shift + size))
+            shift += size - len(m[0])
+        text, origin = _rewrite(text, origin, _SPELLED, lambda m: _read_aloud(m[0]))
+    return Normal(text, origin, tuple(spoken))
 
 
 @cache
@@ -177,7 +180,7 @@ PHONE = re.compile(
     r"|(?:\+|00)(?!1|33|34|44|49)[2-9]\d{0,2}[ .-]?(?:\(0\)[ .-]?)?\d{1,4}(?:[ ./-]?\d{2,8}){1,4}"
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}"
     r"|020 \d{4} \d{4}|0[1-9](?:[ .-]?\d{2}){4}"
-    r"|\(0\d{2,4}\) ?\d{3,6}(?:[ -]\d{2,4})?|0\d{2,4}[ /-]\d{3,6}(?:[ -]\d{1,4})?"
+    r"|\(0\d{2,4}\) ?\d{3,6}(?:[ -]\d{2,4})?|0\d{2,4} ?/ ?\d{3,4}(?:[ -]?\d{2,4}){1,2}|0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{1,4})?"
     r"|0\d{9,10}|[2-9]\d{2}[2-9]\d{6}"
     r"|[5-9]\d{2}(?:[ .-]?\d{3}){2}|[5-9]\d{2}(?:[ .-]?\d{2}){3}"
     r")(?![\w@/-]|\.\d)"
@@ -233,23 +236,9 @@ _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam|Herr|Herrn|Frau|Mme|Mlle|Madam
 _PART = rf"(?:(?:von der|von dem|von|van der|van|zu|zum|de la|de los|de las|del|de|du|des|la|le|d['\u2019]|al) )"
 _F = rf"{_L}[\w'\u2019]+(?:-{_L}[\w'\u2019]+)*"
 AFTER_TITLE = re.compile(rf"(?<!\w){_TITLE}\.? (?:(?:Dr|Prof)\.? )?({_CAP}[\w'\u2019-]+(?: {_CAP}\.)?(?: {_PART}?{_CAP}[\w'\u2019-]+)?|{_PART}{_CAP}[\w'\u2019-]+)")
-#: The French form of address that looks like an initial.
-MONSIEUR = re.compile(rf"(?<!\w)M\. ((?:{_PART})?{_CAP}[\w'’-]+) (?:habite|rappellera|demeure|vit|souhaite|demande|appellera)\b")
-
-
-def _family_stems() -> re.Pattern:
-    sides = [rf"(?:{'|'.join(a.split())})(?:{'|'.join(sorted(b.split(), key=len, reverse=True))})" for a, b in _FAMILY]
-    return re.compile(rf"(?:{'|'.join(sides)})$", re.I)
-
-
-_FAMILY_NAME = _family_stems()
-_given = "|".join(sorted(GIVEN, key=len, reverse=True))
-GIVEN_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])({_given})((?:[- ](?:{_given}))?(?: {_L}\.)? (?:{_PART})?)({_F})(?![\w@])", re.I)
-FAMILY_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])((?:{_PART})?{_F}), ({_given})(?: {_L}\.)?(?![\w@-])", re.I)
 INITIAL_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])((?:{_CAP}\. ?){{1,3}})((?:{_PART})?{_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*)(?![\w@])")
 FAMILY_INITIAL = re.compile(rf"(?<![\w@.+'\u2019-])({_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*), ({_CAP}\.)(?!\w)")
 
-
 #: Capitalised words that are no family name: function words, roles, places, days, nouns that begin sentences.
 _NO_NAME = frozenset(
     """
@@ -267,10 +256,13 @@ page pages site team support audit report index table section chapter figure ver
 """.split()
 )
 #: Given names that are words as well; beside an unknown word they count only where something announces a name.
-_WORD_TOO = frozenset("mark rose grace frank jack iris ben kai finn leon rosa alba dolores mercedes pilar martin jean luz marc luc lutz horst heinz emil concepción paris victoria".split())
+_WORD_TOO = frozenset(
+    """mark max ray bob ed ned ted lily daisy hazel will rose grace frank jack iris ben kai finn leon rosa alba dolores mercedes pilar martin jean luz marc luc lutz horst heinz emil concepción paris victoria mason harper heather holly virginia
+georgia aurora consuelo esperanza asunción soledad remedios rosario milagros nieves violeta gema gloria jesús ángel domingo ama young marine
+lies rune lasse norma lola sakura grant""".split())
 #: A word that is often followed by a person, before an initial.
-_BEFORE_NAME = re.compile(r"(?:^|[\s(\"“„«])(?:by|with|from|of|to|and|for|asked?|told|mit|von|und|an|bei|für|par|avec|de|et|à|pour|con|por|y|a|para)\s$", re.I)
-_FRENCH = re.compile(r"\b(?:le|la|les|des|est|et|une|dans|pour|avec|chez)\b")
+_BEFORE_NAME = re.compile(r"(?:^|[\s(\"“„«])(?:by|with|from|of|to|and|or|for|asked?|told|oder|ou|o|mit|von|und|an|bei|für|par|avec|de|et|à|pour|con|por|y|a|para)\s$", re.I)
+_FRENCH = re.compile(r"\b(?:le|des|du|est|une|dans|pour|avec|chez|ce|nous|vous|habite|demeure|signale|rappellera|boulevard|rue)\b")
 
 
 def unknown_name(word: str, text: str) -> bool:
@@ -278,53 +270,136 @@ def unknown_name(word: str, text: str) -> bool:
     low = word.lower()
     if len(word) < 2 or not word[0].isupper() or low in _NO_NAME or low in GIVEN or any(c.isdigit() or c == "_" for c in word):
         return False
-    return low not in text or not re.search(rf"(?<!\w){re.escape(low)}(?!\w)", text)
+    return low not in text or not re.search(rf"(?<![\w.@+-]){re.escape(low)}(?![\w@+-]|\.\w)", text)
+
+
+#: What stands right before a name: labels, verbs and greetings that announce a person.
+_NAME_CUE = re.compile(
+    r"(?:\b(?:contact (?:is|person)|spoke (?:with|to)|talked (?:with|to)|met with|owner|writer|author|reviewer|assignee|goes to|done for|ping|ask(?:ed)? for|signed(?: by)?|(?:written|reported|prepared|reviewed|checked|approved|edited|taken|sent|made|drawn up) by|on behalf of"
+    r"|(?:to|could you|can you|will you|please) (?:ring|phone|call|email|tell|ask|remind|invite|thank|meet|notify|contact|see)|(?:manager|accountant|lawyer|doctor|teacher|neighbour|colleague|director|assistant|agent) (?:is|was)"
+    r"|my name is|i am|i'm|this is|dear|hi|hello|attn\.?|patient|customer|client|tenant|applicant|employee"
+    r"|ansprechpartner(?:in)? ist|geht an|kundin|kunde|mein name ist|ich bin|gez\.|gezeichnet|verfasst von|autor(?:in)?|liebe[r]?|patientin|mieter(?:in)?"
+    r"|contact est|vu avec|va à|je m['\u2019]appelle|je suis|signé|auteur|autrice|rédigé par|cher|chère|bonjour|patiente|cliente"
+    r"|contacto es|hablado con|va a|me llamo|soy|firmado|autora|escrito por|estimad[oa]|querid[oa]|hola|paciente),?"
+    r"|\b(?:from|to|cc|name|contact|owner|author|customer|client|von|an|kontakt|de|à|ficha|nombre|nom|para)\"? ?[:=] ?\"?)\s*$",
+    re.I,
+)
+#: Closing words of a letter; the line after them is a name.
+_SIGN_OFF = re.compile(
+    r"\b(?:regards|sincerely|yours|cheers|thanks|thank you|best|grüße|grüßen|gruß|grüssen|cordialement|salutations|merci|bien à vous|saludos|atentamente|gracias|un abrazo)\b[^\n]{0,20}[,.!]?\s*\n\s*$", re.I
+)
+#: What people do in the words right after their name.
+_ACTS = re.compile(
+    r",?\s(?:\(|has |have |had |is |was |will |hat |ist |war |wird |a |est |était |va |ha |es |está |estaba )?\s?(?:said|says|wrote|writes|asked|asks|called|calls|replied|replies|reports?|reported|lives?|lived|works?|worked|signed|joined|told|rang|moved|thinks|confirmed|confirms|phoned|sent|sends|reachable|left"
+    r"|sagt|sagte|schrieb|schreibt|meldet|meldete|fragt|fragte|rief|ruft|wohnt|arbeitet|zog|bestätigt|erreichbar|berichtet|unterschrieb|besprochen|gesprochen|getroffen"
+    r"|dit|écrit|signale|signalé|demande|demandé|appelle|appelé|rappellera|habite|travaille|confirme|joignable|répond|répondu|déménagé"
+    r"|dice|dijo|escribió|escribe|avisa|avisó|llamó|llama|pregunta|preguntó|vive|trabaja|confirma|confirmó|respondió|firmó)\b",
+    re.I,
+)
+_FIELD_END = re.compile(r"\s?[<(|;/]|\",")
+
+
+def _announced(text: str, at: int) -> bool:
+    """Whether a label, a verb of contact or a closing word stands right before a place."""
+    before = text[max(0, at - 60) : at]
+    return bool(_NAME_CUE.search(before) or (before.endswith("\n") and _SIGN_OFF.search(before)))
+
+
+def _introduced(text: str, at: int) -> bool:
+    """Whether a preposition or anything stronger stands right before a place."""
+    return bool(_BEFORE_NAME.search(text[max(0, at - 24) : at])) or _announced(text, at)
+
+
+def _begins(text: str, at: int) -> bool:
+    """Whether a sentence, line or list field begins at a place."""
+    before = text[max(0, at - 3) : at].rstrip(" \"“„«(*")
+    return at == 0 or not before or (before[-1] in ".!?\n:;|>•)" or before[-1].isdigit())
+
+
+def _acts(text: str, end: int) -> bool:
+    return bool(_ACTS.match(text, end) or _FIELD_END.match(text, end))
 
 
-def family(word: str) -> bool:
-    """Whether a word has the form of a family name."""
-    return all(_FAMILY_NAME.match(part) for part in word.split("-"))
+_SAINT = re.compile(r"(?:\b(?:San|Santa|Saint|Sainte|Sankt|St)\.?[ -])$")
+_AFTER_GIVEN = re.compile(rf"((?: {_L}\.)? (?:{_PART})?)({_F})(?![\w@])")
+_SECOND_GIVEN = re.compile(rf"[- ]({_L}[\w\u2019']*)")
 
 
-def _given_first(text: str, at: int) -> tuple[int, int] | None:
-    m = GIVEN_FIRST.match(text, at)
+def _given_first(text: str, at: int, end: int) -> tuple[int, int] | None:
+    """A listed given name, perhaps a second one or an initial, and a family name."""
+    first = text[at:end]
+    second = _SECOND_GIVEN.match(text, end)
+    if second and second[1].lower() in GIVEN and text[second.start()] in "- ":
+        longer = _AFTER_GIVEN.match(text, second.end())
+        if longer and _belongs(text, at, first, longer):
+            return at, longer.end()
+    m = _AFTER_GIVEN.match(text, end)
+    return (at, m.end()) if m and _belongs(text, at, first, m) else None
+
+
+def _belongs(text: str, at: int, first: str, m: re.Match) -> bool:
+    """Whether a word after a given name is its family name."""
+    last = m[2]
+    if first.isupper() and len(first) > 1:
+        return last.isupper() and len(last) > 2 and last.lower() not in _NO_NAME and (first.lower() not in _WORD_TOO or _introduced(text, at) or (_begins(text, at) and _acts(text, m.end())))
+    if first[0].islower():
+        # Small letters all through: something must announce the person, or the person must act.
+        small = last[0].islower() and len(last) > 2 and last not in _NO_NAME and last not in _SMALL
+        return small and (_announced(text, at) or (_begins(text, at) or _introduced(text, at)) and _acts(text, m.end()))
+    if not last[0].isupper() or last.isupper():
+        return False
+    if _announced(text, at):
+        return last.lower() not in _NO_NAME
+    if first.lower() in _WORD_TOO or _SAINT.search(text[max(0, at - 8) : at]):
+        return (_introduced(text, at) or _begins(text, at)) and unknown_name(last, text) and _acts(text, m.end())
+    return not last.endswith(("'s", "\u2019s")) and (last.lower() in GIVEN or unknown_name(last, text))
+
+
+def _family_first(text: str, at: int, end: int) -> tuple[int, int] | None:
+    """A family name and a comma before the given name at ``at``."""
+    if text[max(0, at - 2) : at] != ", ":
+        return None
+    m = _LAST_BEFORE.search(text, max(0, at - 80), at)
     if not m:
         return None
-    first, last = m[1], m[3]
-    known = family(last)
-    shouted = first.isupper() and last.isupper() and len(last) > 2
-    # An unknown family name counts where something announces a name.
-    proper = first[:1].isupper() and not first.isupper() and last[:1].isupper() and not last.isupper()
-    before = text[max(0, m.start() - 24) : m.start()]
-    if known or shouted or (proper and _NAME_CUE.search(before)):
-        return m.span()
-    plain = proper and "-" not in first and first.lower() not in _WORD_TOO and not re.search(r"(?:\b(?:San|Santa|Saint|Sainte|Sankt|St)\.?[ -])$", before)
-    return m.span() if plain and not last.endswith(("'s", "’s")) and unknown_name(last, text) else None
-
-
-def _family_first(text: str, at: int) -> tuple[int, int] | None:
-    """A family name and a comma before the given name at ``at``."""
-    for m in FAMILY_FIRST.finditer(text, max(0, at - 60), min(len(text), at + 40)):
-        if m.start(2) == at:
-            last = m[1].split(" ")[-1]
-            if family(last) or (last.isupper() and m[2].isupper() and len(last) > 2):
-                return m.span()
-    return None
+    first, last, start = text[at:end], m[1], m.start()
+    rest = re.compile(rf"(?: {_L}\.)?(?![\w@-])").match(text, end)
+    if not rest:
+        return None
+    word = last.split(" ")[-1]
+    if first.isupper() and len(first) > 1:
+        fits = word.isupper() and len(word) > 2
+    elif first[0].islower():
+        fits = word[0].islower() and word not in _SMALL and _announced(text, start)
+    else:
+        fits = word[0].isupper() and not word.isupper() and unknown_name(word, text)
+    double = _TWO_LASTS.search(text, max(0, at - 100), at)
+    if fits and double and not _announced(text, start) and unknown_name(double[1], text) and (_begins(text, double.start()) or _announced(text, double.start())):
+        start = double.start()
+    settled = _announced(text, start) or _introduced(text, start) or (_begins(text, start) or start == 0) and _acts(text, rest.end()) or bool(_FIELD_END.match(text, rest.end()))
+    return (start, rest.end()) if fits and settled else None
+
+
+_LAST_BEFORE = re.compile(rf"(?<![\w@.+'\u2019-])((?:{_PART})?{_F}), $")
+_TWO_LASTS = re.compile(rf"(?<![\w@.+'\u2019-])({_CAP}{_L}+) {_CAP}{_L}+, $")
+#: Words in small letters that follow a given name and are no family name.
+_SMALL = frozenset(
+    """and or but who has have had is was were will would can could said says wrote asked called told lives works also not from with at in on for to
+und oder aber der die das hat ist war wird kann sagt schrieb fragt meldet wohnt auch nicht von mit bei zu et ou mais qui est était sera peut dit écrit demande habite aussi pas avec chez
+y o pero que es está era será puede dijo escribe avisa vive también no con en""".split()
+)
 
 
 def _titled(text: str, at: int) -> tuple[int, int] | None:
+    """The name after a form of address."""
     m = AFTER_TITLE.match(text, at)
     if not m:
         return None
     words = m[1].split(" ")
-    if family(words[-1]):
-        return m.span(1)
-    if family(words[0]):
-        return m.start(1), m.start(1) + len(words[0])
-    if re.search(r"\d[A-Z]? (?:\w+ ){1,3}$", text[max(0, at - 40) : at]) and text.startswith("Dr", at):
+    if re.search(r"\d[A-Z]? (?:[A-Z]\w+ ){1,3}$", text[max(0, at - 40) : at]) and text.startswith("Dr", at):
         return None  # Drive, in an address
-    # Without a known form the form of address has to do; in German, nouns stand in capitals behind a name too.
-    clean = [re.sub(r"['’]s?$|-$", "", w) for w in words]
+    # In German, nouns stand in capitals behind a name too.
+    clean = [re.sub(r"['\u2019]s?$|-$", "", w) for w in words]
     if not words[0][0].isupper():
         return (m.start(1), m.end(1) - len(words[-1]) + len(clean[-1])) if unknown_name(clean[-1], text) else None
     given = words[0].lower() in GIVEN
@@ -336,22 +411,37 @@ def _titled(text: str, at: int) -> tuple[int, int] | None:
     return m.start(1), m.start(1) + len(clean[0])
 
 
-#: Words that announce a name.
-_NAME_CUE = re.compile(
-    r"(?:contact is|spoke with|from:|owner|name=|\"contact\":\"|writer|goes to|done for|ping|ansprechpartner ist|von:|geht an|kundin|kunde|contact est|vu avec|de :|de:|client :|va à"
-    r"|contacto es|hablado con|ficha:|va a)\s*$",
-    re.I,
-)
-
-
 _TITLES = frozenset("mr mrs ms miss mx dr prof sir madam herr herrn frau mme mlle madame monsieur sr sra srta señor señora señorita don doña dña".split())
-#: A given name of no list before a family name; the ends of family names are checked afterwards.
-UNLISTED_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])({_CAP}[^\W\d_A-Z]+) ({_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*)(?![\w@])")
+#: A given name of no list before a family name of no list.
+UNLISTED_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])({_CAP}[^\W\d_A-Z]+(?:-{_CAP}[^\W\d_A-Z]+)?) ({_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*)(?![\w@])")
 
 
-def _introduced(text: str, at: int) -> bool:
-    before = text[max(0, at - 24) : at]
-    return bool(_BEFORE_NAME.search(before) or _NAME_CUE.search(before))
+def _initials(text: str) -> Iterator[tuple[int, int]]:
+    """Initials beside a family name, on either side."""
+    for m in INITIAL_FIRST.finditer(text):
+        last = m[2].split(" ")[-1]
+        start, end = m.span()
+        if not unknown_name(last, text) and last.lower() not in GIVEN:
+            continue
+        if m[1].strip() == "M." and _FRENCH.search(text[max(0, start - 80) : end + 80]) and text[max(0, start - 2) : start].strip() not in (":", "=", '"') and not _SIGN_OFF.search(text[max(0, start - 60) : start]):
+            yield m.span(2)  # Monsieur
+        elif _introduced(text, start) or (_begins(text, start) and _acts(text, end)):
+            yield start, end
+    for m in FAMILY_INITIAL.finditer(text):
+        if unknown_name(m[1], text) and (_introduced(text, m.start()) or _FIELD_END.match(text, m.end()) or (_begins(text, m.start()) and _acts(text, m.end()))):
+            yield m.span()
+
+
+def _unlisted(text: str) -> Iterator[tuple[int, int]]:
+    """Two capitalised words of no list where something announces a person, or a person acts."""
+    at = 0
+    while m := UNLISTED_FIRST.search(text, at):
+        at = m.end(1)
+        if m[1].lower() in _TITLES or m[1].lower() in GIVEN or m[2].endswith(("'s", "\u2019s")) or not unknown_name(m[2], text) or not unknown_name(m[1], text):
+            continue
+        start, end = m.span()
+        if _announced(text, start) or ((_begins(text, start) or _introduced(text, start)) and _ACTS.match(text, end)):
+            yield start, end
 
 
 @cache
@@ -379,13 +469,38 @@ def triggers():
     return found
 
 
-def _address(pattern: re.Pattern, text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
-    for m in pattern.finditer(text, max(0, start), min(len(text), end)):
+def _address(pattern: re.Pattern, text: str, start: int, last: int) -> Iterator[tuple[int, int, str]]:
+    """Addresses that begin between two places; an address may be as long as its pattern allows."""
+    at = max(0, start)
+    while at <= last and (m := pattern.search(text, at)) and m.start() <= last:
         yield m.start(), m.start() + len(m[0].rstrip(" .,")), "address"
+        at = m.end()
+
+
+def _words_back(text: str, at: int, words: int) -> int:
+    """Where the stretch of so many words before a place begins."""
+    for _ in range(words):
+        at = text.rfind(" ", 0, max(0, at))
+        if at < 0:
+            return 0
+    return at + 1
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the items of a normalised text, none inside another."""
+_SENTENCE = re.compile(r"[.!?]\s|\n")
+
+
+def _context(text: str, at: int, least: int = 120) -> str:
+    """What stands before a place: its sentence and the one before, at least so many characters."""
+    start = max(0, at - least)
+    if start:
+        back = text.rfind("\n", 0, start) + 1
+        ends = [m.end() for m in _SENTENCE.finditer(text, back, at)]
+        start = min(start, ends[-2] if len(ends) > 1 else back)
+    return text[start:at]
+
+
+def detect(text: str, spoken: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the items of a normalised text, none inside another; ``spoken`` numbers stood in words."""
     found: list[tuple[int, int, str]] = []
     names: list[tuple[int, int] | None] = []
     low = text.lower()
@@ -397,25 +512,27 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         if kind == "given":
             if (at and (low[at - 1].isalnum() or low[at - 1] in "@.+_-")) or (end < size and low[end].isalnum()):
                 continue
-            names += [_given_first(text, at), _family_first(text, at)]
+            names += [_given_first(text, at, end), _family_first(text, at, end)]
         elif kind == "title":
             if (at and low[at - 1].isalnum()) or not text[at].isupper() or (end < size and low[end] not in " ."):
                 continue
             names.append(_titled(text, at))
         elif kind == "en":
-            if text[at + 1].isupper() and (end == size or not low[end].isalnum()) and any(c.isdigit() for c in text[max(0, at - 60) : at]):
-                found += _address(ADDRESS_EN, text, at - 70, end + 70)
+            if text[at + 1].isupper() and (end == size or not low[end].isalnum()):
+                start = _words_back(text, at, 6)
+                if any(c.isdigit() for c in text[start:at]):
+                    found += _address(ADDRESS_EN, text, start, at)
         elif kind == "fr":
             if text[max(0, at - 4) : at].strip(" ,")[-1:].isalnum() and any(c.isdigit() for c in text[max(0, at - 12) : at]):
-                found += _address(ADDRESS_FR, text, at - 14, end + 110)
+                found += _address(ADDRESS_FR, text, at - 14, at)
         elif kind == "es":
             if text[at].isupper() and (not at or not low[at - 1].isalnum()):
-                found += _address(ADDRESS_ES, text, at, end + 140)
+                found += _address(ADDRESS_ES, text, at, at)
         elif kind == "de":
             if end < size and text[end].isdigit():
-                found += _address(ADDRESS_DE, text, at - 40, end + 60)
+                found += _address(ADDRESS_DE, text, _words_back(text, at, 4), at)
         elif text[at].isupper() and (not at or not low[at - 1].isalnum()) and end < size and text[end].isupper():
-            found += _address(ADDRESS_DE, text, at, end + 100)
+            found += _address(ADDRESS_DE, text, at, at)
     if "@" in text:
         for m in EMAIL.finditer(text):
             if m[0].rsplit(".", 1)[1].lower() not in _FILES:
@@ -431,24 +548,14 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                         taken.append((*m.span(), kind))
     for m in MIXED_ID.finditer(text):
         before = text[max(0, m.start() - 24) : m.start()]
-        if _free(m.span(), taken) and not _NOT_PERSONAL.search(before) and _ID_CONTEXT.search(text[max(0, m.start() - 120) : m.start()]):
+        if _free(m.span(), taken) and not _NOT_PERSONAL.search(before) and _ID_CONTEXT.search(_context(text, m.start())):
             taken.append((*m.span(), "id_number"))
+    for a, b in spoken:
+        if 7 <= b - a <= 16 and _free((a, b), taken) and not _NOT_PERSONAL.search(text[max(0, a - 24) : a]):
+            taken.append((a, b, "id_number" if b - a >= 8 and _ID_CONTEXT.search(text[max(0, a - 60) : a]) else "phone"))
     if _INITIAL.search(text):
-        for m in INITIAL_FIRST.finditer(text):
-            if family(m[2].split(" ")[-1]):
-                names.append(m.span())
-            elif _introduced(text, m.start()) and unknown_name(m[2].split(" ")[-1], text):
-                # A French M. is a form of address.
-                names.append(m.span(2) if m[1].strip() == "M." and _FRENCH.search(text[max(0, m.start() - 80) : m.end() + 80]) else m.span())
-        for m in MONSIEUR.finditer(text):
-            if family(m[1].split(" ")[-1]) or unknown_name(m[1].split(" ")[-1], text):
-                names = [n for n in names if n is None or n[1] <= m.start() or n[0] >= m.end(1)] + [m.span(1)]
-        for m in FAMILY_INITIAL.finditer(text):
-            if family(m[1]):
-                names.append(m.span())
-    for m in UNLISTED_FIRST.finditer(text):
-        if family(m[2]) and m[1].lower() not in _TITLES and _introduced(text, m.start()) and unknown_name(m[1], text):
-            names.append(m.span())
+        names += _initials(text)
+    names += _unlisted(text)
     # A name that follows a town without a stop ends the address.
     for n in filter(None, names):
         taken = [
@@ -470,10 +577,16 @@ def _digits(s: str) -> int:
 _SURE_ID = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[XYZ]-?\d{7,8}-?[A-Z]|\d{8}-?[A-Z]|\d{2} \d{3} \d{3} \d{3}")
 
 
+#: What announces a phone number.
+_PHONE_CUE = re.compile(r"(?:\b(?:tel|tél|téléphone|phone|mobile|cell|fax|call|ring|whatsapp|telefon|handy|mobil|rückruf|anruf|appel|portable|teléfono|móvil|llamar?|llame)\b)[^\d\n]{0,16}$", re.I)
+
+
 def _likely_id(text: str, m: re.Match) -> bool:
+    if _PHONE_CUE.search(text[max(0, m.start() - 40) : m.start()]) and m[0].isdigit():
+        return False
     if _SURE_ID.fullmatch(m[0]) or (_digits(m[0]) in (13, 15) and m[0][0] in "12"):
         return True
-    return bool(_ID_CONTEXT.search(text[max(0, m.start() - 120) : m.start()]))
+    return bool(_ID_CONTEXT.search(_context(text, m.start())))
 
 
 def _free(span: tuple, taken: list[tuple[int, int, str]]) -> bool:
@@ -494,7 +607,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     normal = normalise(text)
-    return [(*normal.back(a, b), kind) for a, b, kind in detect(normal.text)]
+    return [(*normal.back(a, b), kind) for a, b, kind in detect(normal.text, normal.spoken)]
 
 
 def redact(text: str | None) -> str | None:
