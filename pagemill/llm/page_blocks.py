@@ -34,7 +34,7 @@ NUMBERS = 14
 
 
 class Block:
-    """One leaf: kind, number among p and li (or -1), path tokens, container serial, raw text, link text and counts."""
+    """One leaf: kind, number among p and li (or -1), distinct path tokens, container serial, raw text, link text and counts."""
 
     __slots__ = ("kind", "no", "path", "box", "text", "linked", "links", "raw")
 
@@ -96,7 +96,8 @@ def blocks(html: str | None) -> list[Block]:
             serial += 1
             own = _NAMES.findall(m[4]) if m[4] else []
             tokens = (name, *(f"{name}.{t}" for names in own for t in names.lower().split() if not _GENERATED.search(t)))
-            stack.append((name, (stack[-1][1] + tokens)[-12:], serial))
+            above = stack[-1][1]
+            stack.append((name, above + tuple(t for k, t in enumerate(tokens) if t not in above and t not in tokens[:k]), serial))
             block = None
         elif name == "a":
             in_link = True

@@ -1,8 +1,9 @@
-"""python -m pagemill.llm.train_blocks FOLDER [PAGES]: fit the block labeller and write its weights.
+"""python -m pagemill.llm.train_blocks FOLDER [PAGES [INVENTED]]: fit the block labeller and write its weights.
 
-The labels are made here, from structure and a few phrases, on a bounded sample of pages (PAGES, 10,000 by default, the
-lowest hashes of page_id).  Half of the sampled pages lose all class names while fitting, so that the labeller reads
-words and layout too.  The operator never uses these labels; it only reads the weights.
+The labeller is fitted on INVENTED pages of many layouts, whose main body is known (page_layouts), and on a bounded
+sample of the folder's pages (the PAGES lowest hashes of page_id), whose labels are made here from structure and a few
+phrases.  Half of the latter lose all class names while fitting, so that the labeller reads words and layout too.  The
+operator never uses these labels; it only reads the weights.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import numpy as np
 
 from pagemill.llm import block_model as M
 from pagemill.llm import page_blocks as B
+from pagemill.llm import page_layouts
 
-SAMPLE_PAGES = 10_000
+SAMPLE_PAGES, INVENTED_PAGES = 6_000, 8_000
 #: Phrases of author boxes and cookie notices in the languages of the pages.
 AUTHOR = re.compile(r"\b(writes for|schreibt für|écrit pour|escribe para)\b|^(By|Von|Par|Por) [A-Z]\S+ [A-Z]\S+$", re.I)
 COOKIES = re.compile(r"\bcookies?\b", re.I)
@@ -99,16 +101,28 @@ def _nameless(page: list[B.Block]) -> list[B.Block]:
     return out
 
 
-def fit(pages: list[list[B.Block]], epochs: int = 7, batch: int = 32, rate: float = 4e-3, seed: int = 3) -> dict:
+def invented(seeds: range) -> list[tuple[list[B.Block], np.ndarray]]:
+    """Blocks and labels of invented pages; the signs that carry the labels are taken out."""
+    out = []
+    for seed in seeds:
+        page = B.blocks(page_layouts.page(seed))
+        label = np.array(["\ue001" in b.text for b in page], np.float32)
+        for b in page:
+            b.text = b.text.replace("\ue000", "").replace("\ue001", "")
+        out.append((page, label))
+    return out
+
+
+def fit(pages: list[list[B.Block]], more: list[tuple[list[B.Block], np.ndarray]], epochs: int = 7, batch: int = 32, rate: float = 4e-3, seed: int = 3) -> dict:
     rng = np.random.default_rng(seed)
     w = M.fresh()
-    taught = [teach(p) for p in pages]
-    read = [(B.read(p), B.read(_nameless(p))) for p in pages]
+    taught = [teach(p) for p in pages] + [y for _, y in more]
+    read = [(B.read(p), B.read(_nameless(p))) for p in pages] + [(B.read(p),) * 2 for p, _ in more]
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     step = 0
     for epoch in range(epochs):
-        order, losses, t0 = rng.permutation(len(pages)), [], time.time()
+        order, losses, t0 = rng.permutation(len(read)), [], time.time()
         for at in range(0, len(order), batch):
             group = order[at : at + batch]
             chosen = [read[k][int(rng.random() < 0.5)] for k in group]
@@ -147,25 +161,29 @@ def fit(pages: list[list[B.Block]], epochs: int = 7, batch: int = 32, rate: floa
     return w
 
 
-def measure(pages: list[list[B.Block]]) -> tuple[int, int, int]:
-    """Numbered blocks that agree with the rules, that are missed, that are too many."""
+def measure(pages: list[list[B.Block]], labels: list[np.ndarray]) -> tuple[int, int, int]:
+    """Numbered blocks that agree with the labels, that are missed, that are too many."""
     hit = missed = extra = 0
-    for page, logit in zip(pages, M.label([B.read(p) for p in pages])):
-        for b, x, y in zip(page, logit, teach(page)):
+    for page, logit, label in zip(pages, M.label([B.read(p) for p in pages]), labels):
+        for b, x, y in zip(page, logit, label):
             if b.no >= 0:
                 hit, missed, extra = hit + (x > 0 and y > 0), missed + (x <= 0 and y > 0), extra + (x > 0 and y <= 0)
     return hit, missed, extra
 
 
-def main(folder: str, most: int = SAMPLE_PAGES) -> None:
+def main(folder: str, most: int = SAMPLE_PAGES, made: int = INVENTED_PAGES) -> None:
     sampled = [(s, p) for s, p in ((s, B.blocks(h)) for s, h in pages_of(folder, most)) if p]
-    known = shared_words(sampled)
+    more = invented(range(made))
+    # An invented page is a site of its own.
+    known = shared_words(sampled + [(f"invented {i}", p) for i, (p, _) in enumerate(more)])
     B.know(known)
-    print(len(sampled), "pages,", len(known), "known words", flush=True)
+    print(len(sampled), "pages,", len(more), "invented,", len(known), "known words", flush=True)
     pages = [p for _, p in sampled]
-    w = fit(pages)
+    w = fit(pages, more)
     np.savez_compressed(M.WEIGHTS, known=known, **{k: v.astype(np.float16) for k, v in w.items()})
-    print("hit, missed, extra:", measure(pages[:1000]))
+    held = invented(range(1_000_000, 1_000_500))
+    print("pages: hit, missed, extra:", measure(pages[:1000], [teach(p) for p in pages[:1000]]))
+    print("invented, other seeds: hit, missed, extra:", measure([p for p, _ in held], [y for _, y in held]))
 
 
 if __name__ == "__main__":
