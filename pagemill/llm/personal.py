@@ -52,6 +52,7 @@ _DIGITS_TOO = {"oh": "0", "o": "0", "nought": "0", "nil": "0", "zwo": "2"}
 _digit_word = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _spoken = "|".join(sorted([*_DIGITS, *_DIGITS_TOO, *(f"(?:{r})[\\s-]+(?:{_digit_word}|oh|o)" for r in _REPEATS)], key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:oh\s+)?(?:plus\s+)?(?:(?:double|triple)[\s-]+)?(?:{_digit_word})(?:(?:[\s-]|,\s)+(?:{_spoken})\b){{4,}}", re.I)
+_BEFORE_DIGIT = re.compile(r"\b(?:oh|plus|double|triple)\s+$", re.I)
 _WORD = re.compile(r"\w+")
 
 
@@ -84,10 +85,51 @@ class Normal(NamedTuple):
         return self.origin[start], self.origin[end - 1] + 1
 
 
-def _rewrite(text: str, origin: list[int] | None, pattern: re.Pattern, to) -> tuple[str, list[int] | None]:
-    """Replaces matches; the characters of a replacement point at the match, the last one at its end."""
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _near(text: str, pattern: re.Pattern, seen: list) -> Iterator[re.Match]:
+    """Matches of a pattern that begins with white space or where one of the hints begins."""
+    done = 0
+    for last, (length, kind) in seen:
+        start = max(done, last + 1 - length)
+        if kind != "digit":
+            while start > done and text[start - 1].isspace():
+                start -= 1
+            m = pattern.match(text, start)
+            if m:
+                yield m
+                done = m.end()
+
+
+def _spelled(text: str, seen: list) -> Iterator[re.Match]:
+    """Numbers in words, each looked for from a digit word."""
+    done = 0
+    for last, (length, kind) in seen:
+        start = max(0, last + 1 - length)
+        if kind != "digit" or start < done:
+            continue
+        start += not text[start].isalpha()
+        while ahead := _BEFORE_DIGIT.search(text, max(done, start - 8), start):
+            start = ahead.start()
+        m = _SPELLED.match(text, start)
+        if m:
+            yield m
+            done = m.end()
+
+
+def _hinted(text: str) -> list:
+    """(last place, (length, kind)) of the hints; a blank stands before the text and after it."""
+    return [(last - 1, found) for last, found in hints().iter(f" {_lower(text)} ")]
+
+
+def _rewrite(text: str, origin: list[int] | None, pattern, to, seen: list | None = None) -> tuple[str, list[int] | None]:
+    """Replaces matches, near the hints if given; the characters of a replacement point at the match, the last one at its end."""
     out, places, at = [], [], 0
-    for m in pattern.finditer(text):
+    for m in pattern if not isinstance(pattern, re.Pattern) else pattern.finditer(text) if seen is None else _near(text, pattern, seen):
         new = to(m)
         if new is None:
             continue
@@ -124,19 +166,20 @@ def normalise(text: str) -> Normal:
             text, origin = _rewrite(text, origin, _WIDE, _plain)
         if _MIXED.search(text):
             text, origin = _rewrite(text, origin, _MIXED, _latin)
-    seen = [kind for _, kind in hints().iter(text.lower())]
-    if "sign" in seen or _AT_WORD.search(text):
-        text, origin = _rewrite(text, origin, _AT, lambda m: "@")
-        text, origin = _rewrite(text, origin, _DOT, lambda m: ".")
+    seen = _hinted(text)
+    if any(kind == "sign" for _, (_, kind) in seen) or _AT_WORD.search(text):
+        text, origin = _rewrite(text, origin, _AT, lambda m: "@", seen)
+        seen = _hinted(text)
+        text, origin = _rewrite(text, origin, _DOT, lambda m: ".", seen)
         text, origin = _rewrite(text, origin, _POINT, lambda m: "." if _IN_DOMAIN.search(m.string[max(0, m.start() - 80) : m.start()]) else None)
     spoken: list[tuple[int, int]] = []
-    if seen.count("digit") >= 4:
-        shift = 0
-        for m in _SPELLED.finditer(text):
+    if sum(kind == "digit" for _, (_, kind) in seen) >= 4:
+        seen, shift = _hinted(text), 0
+        for m in _spelled(text, seen):
             size = len(_read_aloud(m[0]))
             spoken.append((m.start() + shift, m.start() + shift + size))
             shift += size - len(m[0])
-        text, origin = _rewrite(text, origin, _SPELLED, lambda m: _read_aloud(m[0]))
+        text, origin = _rewrite(text, origin, _spelled(text, seen), lambda m: _read_aloud(m[0]))
     return Normal(text, origin, tuple(spoken))
 
 
@@ -146,16 +189,15 @@ def hints():
     import ahocorasick
 
     found = ahocorasick.Automaton()
+    keys = {}
     for word in _DIGITS:
-        found.add_word(f" {word} ", "digit")
-        found.add_word(f"-{word} ", "digit")
-        found.add_word(f" {word}-", "digit")
+        keys |= dict.fromkeys((f" {word} ", f"-{word} ", f" {word}-", f" {word},"), "digit")
     for opening, closing in ("()", "[]", "{}", "<>"):
-        for word in "at ät arroba arobase dot punkt punto point @ .".split():
-            found.add_word(f"{opening}{word}{closing}", "sign")
-            found.add_word(f"{opening} {word} {closing}", "sign")
-    for word in (" dot ", " arroba ", " arobase ", " @ "):
-        found.add_word(word, "sign")
+        for word in "at ät arroba arobase chez klammeraffe dot punkt punto point @ .".split():
+            keys |= dict.fromkeys((f"{opening}{word}{closing}", f"{opening} {word} {closing}"), "sign")
+    keys |= dict.fromkeys((" dot ", " arroba ", " arobase ", " @ "), "sign") | {" at ": "at"}
+    for key, kind in keys.items():
+        found.add_word(key, (len(key), kind))
     found.make_automaton()
     return found
 
@@ -199,11 +241,12 @@ ID_NUMBER = re.compile(
 MIXED_ID = re.compile(
     r"(?<![\w.+/@#-])(?=(?:[A-Z]*\d){5})(?:\d{2}[A-Z]{2}\d{5}|[CFGHJKLMNPRTVWXYZ][0-9CFGHJKLMNPRTVWXYZ]{8}[0-9]?D?|[A-Z]{3}\d{6}[A-Z]?)(?![\w@/-]|\.\d)"
 )
-_ID_CONTEXT = re.compile(
-    r"(?:social security|passport|national insurance|insurance number|tax|identity|id shown|id number|\bid card|personal number|ausweis|steuer|personalausweis|reisepass|versicherungsnummer|sozialversicherung|kundin|kunde"
-    r"|sécurité sociale|numéro fiscal|passeport|carte d'identité|fiche client|documento|identidad|pasaporte|\bdni\b|\bnie\b|\bnif\b|seguridad social|ficha)",
-    re.I,
-)
+#: What announces an identity number.
+_ID_WORDS = (
+    "social security|passport|national insurance|insurance number|tax|identity|id shown|id number|id card|personal number|ausweis|steuer|reisepass|versicherungsnummer|sozialversicherung|kundin|kunde"
+    "|sécurité sociale|numéro fiscal|passeport|carte d'identité|fiche client|documento|identidad|pasaporte|dni|nie|nif|seguridad social|ficha"
+).split("|")
+_ID_CONTEXT = re.compile("|".join(rf"\b{w}\b" if w in ("dni", "nie", "nif") else rf"\b{w}" if w == "id card" else w for w in _ID_WORDS), re.I)
 
 _NUM = r"\d{1,4}(?:\s?[A-Za-z](?![A-Za-z])|\s(?:bis|ter|quater)\b)?"
 _NAMEWORD = rf"(?:{_CAP}(?:{_L}|['’-])*)"
@@ -236,8 +279,8 @@ _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam|Herr|Herrn|Frau|Mme|Mlle|Madam
 _PART = rf"(?:(?:von der|von dem|von|van der|van|zu|zum|de la|de los|de las|del|de|du|des|la|le|d['\u2019]|al) )"
 _F = rf"{_L}[\w'\u2019]+(?:-{_L}[\w'\u2019]+)*"
 AFTER_TITLE = re.compile(rf"(?<!\w){_TITLE}\.? (?:(?:Dr|Prof)\.? )?({_CAP}[\w'\u2019-]+(?: {_CAP}\.)?(?: {_PART}?{_CAP}[\w'\u2019-]+)?|{_PART}{_CAP}[\w'\u2019-]+)")
-INITIAL_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])((?:{_CAP}\. ?){{1,3}})((?:{_PART})?{_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*)(?![\w@])")
-FAMILY_INITIAL = re.compile(rf"(?<![\w@.+'\u2019-])({_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*), ({_CAP}\.)(?!\w)")
+INITIAL_FIRST = re.compile(rf"({_CAP}(?<![\w@.+'\u2019-].)\. ?(?:{_CAP}\. ?){{0,2}})((?:{_PART})?{_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*)(?![\w@])")
+FAMILY_INITIAL = re.compile(rf"({_CAP}(?<![\w@.+'\u2019-].)[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*), ({_CAP}\.)(?!\w)")
 
 #: Capitalised words that are no family name: function words, roles, places, days, nouns that begin sentences.
 _NO_NAME = frozenset(
@@ -413,7 +456,7 @@ def _titled(text: str, at: int) -> tuple[int, int] | None:
 
 _TITLES = frozenset("mr mrs ms miss mx dr prof sir madam herr herrn frau mme mlle madame monsieur sr sra srta señor señora señorita don doña dña".split())
 #: A given name of no list before a family name of no list.
-UNLISTED_FIRST = re.compile(rf"(?<![\w@.+'\u2019-])({_CAP}[^\W\d_A-Z]+(?:-{_CAP}[^\W\d_A-Z]+)?) ({_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*)(?![\w@])")
+UNLISTED_FIRST = re.compile(rf"({_CAP}(?<![\w@.+'\u2019-].)[^\W\d_A-Z]+(?:-{_CAP}[^\W\d_A-Z]+)?) ({_CAP}[\w'\u2019]+(?:-{_CAP}[\w'\u2019]+)*)(?![\w@])")
 
 
 def _initials(text: str) -> Iterator[tuple[int, int]]:
@@ -463,6 +506,7 @@ def triggers():
     for w in _DE_AHEAD.lower().split("|"):
         words[f"{w} "] = "de ahead"
     words |= {" straße ": "de", " weg ": "de"}
+    words |= {w: "id" for w in _ID_WORDS if w not in words}
     for word, kind in words.items():
         found.add_word(word, (len(word), kind))
     found.make_automaton()
@@ -499,17 +543,34 @@ def _context(text: str, at: int, least: int = 120) -> str:
     return text[start:at]
 
 
+def _emails(text: str) -> Iterator[tuple[int, int, str]]:
+    """Addresses, each looked for from its sign backwards."""
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start and (text[start - 1].isalnum() or text[start - 1] in "._%+'-"):
+            start -= 1
+        m = None
+        while start < at and not m:
+            m = EMAIL.match(text, start)
+            start += 1
+        if m and m[0].rsplit(".", 1)[1].lower() not in _FILES:
+            yield *m.span(), "email"
+        at = text.find("@", at + 1)
+
+
 def detect(text: str, spoken: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the items of a normalised text, none inside another; ``spoken`` numbers stood in words."""
     found: list[tuple[int, int, str]] = []
     names: list[tuple[int, int] | None] = []
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = _lower(text)
     size = len(text)
+    named = False
     for last, (length, kind) in triggers().iter(low):
         at, end = last + 1 - length, last + 1
-        if kind == "given":
+        if kind == "id":
+            named = True
+        elif kind == "given":
             if (at and (low[at - 1].isalnum() or low[at - 1] in "@.+_-")) or (end < size and low[end].isalnum()):
                 continue
             names += [_given_first(text, at, end), _family_first(text, at, end)]
@@ -533,10 +594,7 @@ def detect(text: str, spoken: tuple[tuple[int, int], ...] = ()) -> list[tuple[in
                 found += _address(ADDRESS_DE, text, _words_back(text, at, 4), at)
         elif text[at].isupper() and (not at or not low[at - 1].isalnum()) and end < size and text[end].isupper():
             found += _address(ADDRESS_DE, text, at, at)
-    if "@" in text:
-        for m in EMAIL.finditer(text):
-            if m[0].rsplit(".", 1)[1].lower() not in _FILES:
-                found.append((*m.span(), "email"))
+    found += _emails(text)
     taken = _outermost(found)
     done = 0
     for run in _NUMBER_RUN.finditer(text):
@@ -546,7 +604,7 @@ def detect(text: str, spoken: tuple[tuple[int, int], ...] = ()) -> list[tuple[in
                 if _free(m.span(), taken) and not _NOT_PERSONAL.search(text[max(0, m.start() - 24) : m.start()]):
                     if kind == "phone" or _likely_id(text, m):
                         taken.append((*m.span(), kind))
-    for m in MIXED_ID.finditer(text):
+    for m in MIXED_ID.finditer(text) if named else ():
         before = text[max(0, m.start() - 24) : m.start()]
         if _free(m.span(), taken) and not _NOT_PERSONAL.search(before) and _ID_CONTEXT.search(_context(text, m.start())):
             taken.append((*m.span(), "id_number"))
