@@ -50,6 +50,12 @@ def _p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(tune(spark), folder, "pages"))
 
 
+def _p6_links(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.near_copies import near_links
+
+    return near_links(table(tune(spark), folder, "pages"))
+
+
 def _p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     from pagemill.llm.packing import packed
 
@@ -99,6 +105,7 @@ def queries() -> dict:
         "p4_found": _p4_found,
         "p6_found": _p6_found,
         "p6_groups": _p6_groups,
+        "p6_links": _p6_links,
         "p7_packed": _p7_packed,
         "p7_filling": _p7_filling,
         "p8_mixed": _p8_mixed,

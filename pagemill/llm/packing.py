@@ -30,14 +30,18 @@ class Pattern(NamedTuple):
 
 
 class _Sizes:
-    """A multiset of sizes with the distinct ones in order."""
+    """A multiset of sizes: counts, the distinct sizes in order, and a table of the counts by size."""
 
     def __init__(self, histogram: dict[int, int]):
         self.count = {s: n for s, n in histogram.items() if n > 0}
         self.order = sorted(self.count)
+        self.table = np.zeros(self.order[-1] + 2 if self.order else 1, np.int64)
+        for s, n in self.count.items():
+            self.table[s] = n
 
     def take(self, size: int, n: int) -> None:
         left = self.count[size] - n
+        self.table[size] = left
         if left:
             self.count[size] = left
         else:
@@ -48,6 +52,7 @@ class _Sizes:
         if size not in self.count:
             insort(self.order, size)
         self.count[size] = self.count.get(size, 0) + n
+        self.table[size] = self.count[size]
 
     def at_most(self, bound: int) -> int | None:
         i = bisect_right(self.order, bound)
@@ -73,21 +78,25 @@ def _smallest(sizes: _Sizes, large: int, n: int) -> list[int]:
     return out
 
 
+def _pair(sizes: _Sizes, room: int) -> tuple[int, int]:
+    """Two items of the largest sum that fits into ``room``, the larger first; (0, 0) if no two fit."""
+    order = np.flatnonzero(sizes.table[: max(0, room) + 1])
+    # Beside each item the largest that fits and is not larger; an item that stands once needs a smaller one.
+    at = np.searchsorted(order, np.minimum(order, room - order), "right") - 1
+    at -= (at >= 0) & (order[at] == order) & (sizes.table[order] < 2)
+    sums = np.where(at >= 0, order + order[at], 0)
+    if not len(sums) or sums.max() == 0:
+        return 0, 0
+    best = len(sums) - 1 - int(np.argmax(sums[::-1]))
+    return int(order[best]), int(order[at[best]])
+
+
 def _best_pair(sizes: _Sizes, large: int, room: int) -> int:
     """The largest sum of two items that fit into ``room`` beside one of size ``large``; 0 if none do."""
-    order, best = sizes.order, 0
-    i, j = 0, bisect_right(order, room) - 1
-    while i <= j:
-        a, b = order[i], order[j]
-        free_a, free_b = sizes.count[a] - (a == large), sizes.count[b] - (b == large)
-        if a + b > room or free_b < 1:
-            j -= 1
-        elif free_a < 1 or (a == b and free_a < 2):
-            i += 1
-        else:
-            best = max(best, a + b)
-            i += 1
-    return best
+    sizes.table[large] -= 1
+    found = sum(_pair(sizes, room))
+    sizes.table[large] += 1
+    return found
 
 
 def reduce_dominated(sizes: _Sizes, capacity: int) -> list[Pattern]:
@@ -126,21 +135,70 @@ def reduce_dominated(sizes: _Sizes, capacity: int) -> list[Pattern]:
     return fixed
 
 
+def _exactly(sizes: _Sizes, order: np.ndarray, goal: int) -> dict[int, int] | None:
+    """One, two or three items whose sum is ``goal``, the largest first; None if there are none."""
+    table = sizes.table
+
+    def has(*items: int) -> bool:
+        return all(table[s] >= items.count(s) for s in items)
+
+    if goal < len(table) and table[goal]:
+        return {goal: 1}
+    rest = goal - order
+    fits = (rest > 0) & (rest <= order) & (table[np.clip(rest, 0, len(table) - 1)] > 0)
+    for i in np.flatnonzero(fits)[::-1]:
+        a, b = int(order[i]), int(rest[i])
+        if has(a, b):
+            return {a: 1, b: 1} if a != b else {a: 2}
+    for a in order[::-1]:
+        a = int(a)
+        if 3 * a < goal:
+            break
+        second = order[: np.searchsorted(order, min(a, goal - a - 1), "right")]
+        third = goal - a - second
+        fits = (third > 0) & (third <= second)
+        fits[fits] = table[third[fits]] > 0
+        for i in np.flatnonzero(fits)[::-1]:
+            items = (a, int(second[i]), int(third[i]))
+            if has(*items):
+                return {s: items.count(s) for s in items}
+    return None
+
+
 def _fullest(sizes: _Sizes, room: int) -> dict[int, int]:
-    """Items whose sum is the largest that fits into ``room``, the larger ones first; bit k of a set is the sum k."""
-    order = sizes.order[: bisect_right(sizes.order, room)]
-    reach, mask = [1], (1 << (room + 1)) - 1
-    for s in order:
+    """Items whose sum is the largest that fits into ``room``.
+
+    No sum exceeds the largest multiple of the sizes' common divisor.  Up to three items that reach it are looked for
+    in the table of sizes; else all sums are built, bit k of a set being the sum k, until it is reached.
+    """
+    order = np.flatnonzero(sizes.table[: room + 1])
+    if not len(order):
+        return {}
+    least = _smallest(sizes, 0, 3)
+    if len(least) < 3 or sum(least) > room:
+        # No three fit: one or two do best.
+        one, pair = int(order[-1]), _pair(sizes, room)
+        return {one: 1} if one >= sum(pair) else {pair[0]: 1, pair[1]: 1} if pair[0] != pair[1] else {pair[0]: 2}
+    goal = room - room % int(np.gcd.reduce(order))
+    few = _exactly(sizes, order, goal)
+    if few is not None:
+        return few
+    reach, mask = [1], (1 << (goal + 1)) - 1
+    used: list[int] = []
+    for s in order.tolist():
         bits, left, step = reach[-1], min(sizes.count[s], room // s), 1
         while left > 0:
             n = min(step, left)
             bits |= (bits << (s * n)) & mask
             left, step = left - n, step * 2
         reach.append(bits)
+        used.append(s)
+        if bits >> goal & 1:
+            break
     goal = reach[-1].bit_length() - 1
     out: dict[int, int] = {}
-    for i in range(len(order) - 1, -1, -1):
-        s = order[i]
+    for i in range(len(used) - 1, -1, -1):
+        s = used[i]
         for n in range(min(sizes.count[s], goal // s), 0, -1):
             if reach[i] >> (goal - s * n) & 1:
                 out[s] = n
