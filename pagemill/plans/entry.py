@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import robots, text, urls
 from pagemill.operators import content, extract, fixes, geo, graph, retrieval, rules, scoring, sinks, site_rules, snapshot_diff, vitals
-from pagemill.session import tune
+from pagemill.session import cut, tune
 from pagemill.sources import site_texts
 from pagemill.sources.tables import table
 from pagemill.streaming import events
@@ -55,11 +55,13 @@ def _page_rank(pages: DataFrame) -> DataFrame:
 def all_findings(pages: DataFrame, site_files: DataFrame, sitemap: DataFrame, probes: DataFrame, clusters: bool = True) -> DataFrame:
     """(site_id, rule_id, url, note) of every rule that the tables can decide."""
     cols = ["site_id", "rule_id", "url", "note"]
+    # Rules over several pages share one narrow table, written once.
+    slim = cut(pages.select(*_SLIM))
     parts = [
-        rules.page_findings(pages), rules.shared_values(pages, "title", "meta-title-duplicate"), rules.shared_values(pages, "meta_description", "meta-description-duplicate"),
-        site_rules.site_findings(site_files), site_rules.robots_format(site_files), site_rules.robots_blocks(site_files, pages), site_rules.probe_findings(probes, site_files),
-        site_rules.canonical_findings(pages, site_files), site_rules.noindex_findings(pages, site_files, sitemap), site_rules.sitemap_findings(pages, site_files, sitemap),
-        site_rules.hreflang_findings(pages), site_rules.home_schema(pages, site_files), graph.link_findings(pages, site_files), content.content_findings(pages),
+        rules.page_findings(pages), rules.shared_values(slim, "title", "meta-title-duplicate"), rules.shared_values(slim, "meta_description", "meta-description-duplicate"),
+        site_rules.site_findings(site_files), site_rules.robots_format(site_files), site_rules.robots_blocks(site_files, slim), site_rules.probe_findings(probes, site_files),
+        site_rules.canonical_findings(slim, site_files), site_rules.noindex_findings(slim, site_files, sitemap), site_rules.sitemap_findings(slim, site_files, sitemap),
+        site_rules.hreflang_findings(slim), site_rules.home_schema(slim, site_files), graph.link_findings(slim, site_files), content.content_findings(pages),
     ]
     if clusters:
         parts.append(content.duplicate_findings(pages))
@@ -69,6 +71,21 @@ def all_findings(pages: DataFrame, site_files: DataFrame, sitemap: DataFrame, pr
     return out
 
 
+#: Columns that rules over several pages read; the html and the text are read where they are needed only.
+_SLIM = (
+    "page_id site_id ord url requested_url redirected_from status title meta_description canonical meta_robots meta_googlebot x_robots_tag h1s links hreflang json_ld word_count depth discovered_via"
+).split()
+
+
+def _audit(pages: DataFrame, site_files: DataFrame, sitemap: DataFrame, probes: DataFrame) -> DataFrame:
+    """The issues of a whole audit, written once, since scores read them more than once."""
+    return cut(scoring.issues(all_findings(pages, site_files, sitemap, probes), {}))
+
+
+def _scores(pages: DataFrame, site_files: DataFrame, sitemap: DataFrame, probes: DataFrame) -> DataFrame:
+    return scoring.category_scores(_audit(pages, site_files, sitemap, probes), _ok_pages(pages))
+
+
 def _ok_pages(pages: DataFrame) -> DataFrame:
     return pages.where("status between 200 and 299").groupBy("site_id").agg(F.count_distinct("page_id").alias("pages"))
 
@@ -146,6 +163,10 @@ def _host_rules(site_files: DataFrame) -> DataFrame:
     return site_rules.host_findings(_variants(site_files), site_files)
 
 
+#: The tables of a whole audit.
+_TABLES = ("pages", "site_files", "sitemap_urls", "probes")
+
+
 def queries() -> dict[str, Query]:
     on = _on
     single = {f"rule_{r.replace('-', '_')}": _rule(r) for r in rules.page_rules_ids()}
@@ -204,12 +225,14 @@ def queries() -> dict[str, Query]:
         "geo_score": on("pages", "site_files", call=lambda p, s: geo.score(geo.checks(p, s))),
         "llms_lines": on("pages", "site_files", call=geo.llms_lines),
         "page_issues": on("pages", call=_cheap_issues),
-        "category_scores": on("pages", call=lambda p: scoring.category_scores(_cheap_issues(p), _ok_pages(p))),
-        "overall_score": on("pages", call=lambda p: scoring.overall(scoring.category_scores(_cheap_issues(p), _ok_pages(p)))),
-        "issue_priorities": on("pages", call=lambda p: scoring.priorities(_cheap_issues(p))),
-        "full_audit": on("pages", "site_files", "sitemap_urls", "probes", call=lambda p, s, m, r: scoring.issues(all_findings(p, s, m, r), {})),
-        "report_markdown": on("pages", call=lambda p: sinks.issue_markdown(_cheap_issues(p))),
-        "report_html": on("pages", call=lambda p: sinks.issue_html(_cheap_issues(p))),
+        "content_findings": on("pages", call=content.content_findings),
+        "duplicate_findings": on("pages", call=content.duplicate_findings),
+        "full_audit": on(*_TABLES, call=lambda p, s, m, r: scoring.issues(all_findings(p, s, m, r), {})),
+        "category_scores": on(*_TABLES, call=_scores),
+        "overall_score": on(*_TABLES, call=lambda *t: scoring.overall(_scores(*t))),
+        "issue_priorities": on(*_TABLES, call=lambda *t: scoring.priorities(_audit(*t))),
+        "report_markdown": on(*_TABLES, call=lambda *t: sinks.issue_markdown(_audit(*t))),
+        "report_html": on(*_TABLES, call=lambda *t: sinks.issue_html(_audit(*t))),
         "page_regressions": on("site_snapshot", "page_state", call=snapshot_diff.page_regressions),
         "site_regressions": on("site_snapshot", call=snapshot_diff.site_regressions),
         "issue_deltas": on("site_snapshot", "snapshot_issue", call=snapshot_diff.issue_deltas),

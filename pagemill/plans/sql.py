@@ -4,7 +4,7 @@ from pagemill.functions.robots import BOTS, KNOWN
 from pagemill.functions.text import STOPWORDS
 from pagemill.functions.urls import UTILITY_SEGMENTS
 from pagemill.operators.rules import GENERIC_ANCHORS, MALFORMED, SCHEMA_REQUIRED
-from pagemill.operators.scoring import CAPS, CATEGORIES, EFFORT, IMPACT, PENALTY, RISK
+from pagemill.operators.scoring import CATEGORIES, EFFORT, IMPACT, PENALTY, RISK
 from pagemill.operators.site_rules import LANGUAGES, REGIONS
 
 
@@ -199,7 +199,7 @@ def _shared(column: str, rule: str) -> str:
 
 
 _ISSUES = f"""iss as (
-  select site_id, rule_id, least(n, {_case("rule_id", CAPS, 1 << 40)}) as affected from (select site_id, rule_id, count(*) as n from fi group by 1, 2)),
+  select site_id, rule_id, count(*) as affected from fi group by 1, 2),
 ok_pages as (select site_id, count(distinct page_id) as pages from pages where status between 200 and 299 group by 1)"""
 
 
@@ -210,8 +210,40 @@ def _catalog() -> str:
     return f"cat as (select * from (values {rows}) v(rule_id, category, impact, effort, risk, confidence))"
 
 
-def _scored() -> str:
-    return f"with {PAGES}, fi as ({_page_findings()}), {_ISSUES}, {_catalog()}"
+def _scored(findings: str | None = None) -> str:
+    """Issues of the page rules, or of other findings."""
+    return f"with {PAGES}, fi as ({findings or _page_findings()}), {_ISSUES}, {_catalog()}"
+
+
+#: The queries whose findings a whole audit is made of.
+_AUDIT = (
+    "page_findings rule_meta_title_duplicate rule_meta_description_duplicate site_findings rule_indexing_robots_format rule_robots_blocks probe_findings rule_canonical_targets rule_noindex rule_sitemap "
+    "rule_hreflang rule_schema_website_missing link_findings content_findings duplicate_findings"
+).split()
+
+
+def _audited(out: dict[str, str]) -> dict[str, str]:
+    """Issues, scores and reports of the whole audit."""
+    scored = _scored(" union all ".join(f"select site_id, rule_id, cast(url as varchar) as url, cast(note as varchar) as note from ({out[q]}) q{i}" for i, q in enumerate(_AUDIT)))
+    return {
+        "full_audit": f"{scored} select site_id, rule_id, category, impact, effort, risk, cast(confidence as integer) as confidence, affected from iss join cat using (rule_id)",
+        "category_scores": f"{scored}, {_SCORES} select * from scores",
+        "overall_score": (
+            f"{scored}, {_SCORES} select site_id, overall, case when overall >= 90 then 'A' when overall >= 80 then 'B' when overall >= 70 then 'C' when overall >= 60 then 'D' when overall >= 50 then 'E' else 'F' end as grade from "
+            f"(select site_id, cast(floor(round(sum(score * {_case('category', CATEGORIES, 0)}) / sum({_case('category', CATEGORIES, 0)}), 9) + 0.5) as bigint) as overall from scores group by 1)"
+        ),
+        "issue_priorities": (
+            f"{scored} select site_id, rule_id, impact, cast(floor(round({_case('impact', IMPACT, 0)} * {_case('effort', EFFORT, 1)} * {_case('risk', RISK, 1)} * confidence / 100 / 12 * 100, 9) + 0.5) as bigint) as priority from iss join cat using (rule_id)"
+        ),
+        "report_markdown": (
+            f"{scored}, ri as (select site_id, '| ' || impact || ' | ' || rule_id || ' | ' || affected || ' |' as line, row_number() over (partition by site_id order by {_case('impact', IMPACT, 0)} desc, affected desc, rule_id) as k from iss join cat using (rule_id)) "
+            "select site_id, '| Impact | Rule | Pages |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) order by k) as body from ri where k <= 12 group by 1"
+        ),
+        "report_html": (
+            f"{scored}, ri as (select site_id, '<li>' || rule_id || ' (' || impact || '): ' || affected || '</li>' as item from iss join cat using (rule_id)) "
+            "select site_id, '<!doctype html><title>Site audit</title><ul>' || string_agg(item, '' order by item) || '</ul>' as body from ri group by 1"
+        ),
+    }
 
 
 _SCORES = f"""cats as (select unnest([{_texts(CATEGORIES)}]) as category),
@@ -274,6 +306,25 @@ tw as (
   join (select site_id, term, count(*) as df from tc group by 1, 2) using (site_id, term) join (select site_id, count(*) as pages from tk group by 1) using (site_id)),
 tr as (select *, row_number() over (partition by site_id, page_id order by round(weight, 9) desc, first) as rank from tw)"""
 
+_CLUSTERS = """rd as (
+  select site_id, page_id, path, row_number() over (partition by site_id order by coalesce(ord, 4611686018427387904), page_id) as k, runs from (
+    select site_id, page_id, path, ord, case when len(w) = 0 then [] when len(w) < 8 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' '))) end as runs from (
+      select site_id, page_id, path, ord, list_filter(string_split(regexp_replace(lower(coalesce(text_content, '')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') as w
+      from f where indexable and word_count > 0)) where len(runs) > 0),
+sh as (select site_id, k, len(runs) as n, unnest(runs) as run from rd),
+nb as (
+  select site_id, b as k, list(a) as before from (
+    select x.site_id, x.k as a, y.k as b from sh x join sh y on x.site_id = y.site_id and x.run = y.run and x.k < y.k
+    group by x.site_id, x.k, y.k, x.n, y.n having count(*) * 172 >= (x.n + y.n) * 72) group by 1, 2),
+st as (select rd.site_id, rd.k, coalesce(nb.before, []) as before from rd left join nb using (site_id, k)),
+ld(site_id, k, leads, leader) as (
+  select site_id, k, [k], k from st where k = 1
+  union all
+  select st.site_id, st.k, case when len(list_intersect(ld.leads, st.before)) > 0 then ld.leads else list_append(ld.leads, st.k) end,
+    case when len(list_intersect(ld.leads, st.before)) > 0 then list_min(list_intersect(ld.leads, st.before)) else st.k end
+  from ld join st on st.site_id = ld.site_id and st.k = ld.k + 1),
+cl as (select rd.site_id, rd.page_id, rd.path, lead.page_id as leader_id from ld join rd using (site_id, k) join rd lead on lead.site_id = ld.site_id and lead.k = ld.leader)"""
+
 P5 = """
 with snap as (
   select snapshot_id, arg_max(url, loaded_at) as url, arg_max(taken_at, loaded_at) as taken_at from site_snapshot group by snapshot_id),
@@ -450,16 +501,16 @@ def oracle() -> dict[str, str]:
         "extract_headings": (
             "select page_id, cast(row_number() over (partition by page_id order by i) - 1 as integer) as pos, level, text from (select page_id, i, cast(h[3:3] as integer) as level, " + _plain("h") + " as text from ("
             "select page_id, unnest(hs) as h, unnest(range(len(hs))) as i from (select page_id, regexp_extract_all(html, '(?is)<h1\\b[^>]*>.*?</h1>|<h2\\b[^>]*>.*?</h2>|<h3\\b[^>]*>.*?</h3>|<h4\\b[^>]*>.*?</h4>|<h5\\b[^>]*>.*?</h5>|<h6\\b[^>]*>.*?</h6>') as hs "
-            f"from {_ROWS}))) where text <> '' qualify pos < 60"
+            f"from {_ROWS}))) where text <> ''"
         ),
         "extract_images": (
             f"select page_id, cast(i as integer) as pos, {_attr('g', 'src')} as src, {_attr('g', 'alt')} as alt, try_cast({_attr('g', 'width')} as integer) as width, try_cast({_attr('g', 'height')} as integer) as height from "
-            f"(select page_id, unnest(gs) as g, unnest(range(len(gs))) as i from (select page_id, regexp_extract_all(html, '(?is)<img\\b[^>]*\\bsrc=[^>]*>') as gs from {_ROWS})) where i < 120"
+            f"(select page_id, unnest(gs) as g, unnest(range(len(gs))) as i from (select page_id, regexp_extract_all(html, '(?is)<img\\b[^>]*\\bsrc=[^>]*>') as gs from {_ROWS})) "
         ),
         "extract_links": (
-            f"select page_id, cast(row_number() over (partition by page_id order by i) - 1 as integer) as pos, href, href like '/%' or starts_with(href, {_origin('url')}) as internal, anchor[1:120] as anchor from ("
+            f"select page_id, cast(row_number() over (partition by page_id order by i) - 1 as integer) as pos, href, href like '/%' or starts_with(href, {_origin('url')}) as internal, anchor from ("
             f"select page_id, url, i, {_attr("regexp_extract(g, '(?is)^<a\\b[^>]*>')", 'href')} as href, {_plain('g')} as anchor from (select page_id, url, unnest(gs) as g, unnest(range(len(gs))) as i from "
-            f"(select page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>') as gs from {_ROWS}))) where href <> '' and not regexp_matches(href, '(?i)^(#|mailto:|tel:|javascript:)') qualify pos < 300"
+            f"(select page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>') as gs from {_ROWS}))) where href <> '' and not regexp_matches(href, '(?i)^(#|mailto:|tel:|javascript:)')"
         ),
         "rule_robots_blocks": (
             f"{pages}, {_GROUPS}, tg as (select site_id, page_id, path, ({_raw_path('url')}) || regexp_extract(url, '(\\?[^#]*)', 1) as target from f where ok and not noindex), "
@@ -483,14 +534,6 @@ def oracle() -> dict[str, str]:
             f"{_geo()} select site_id, cast(floor(sum(w * v) / sum(w) * 100 + 0.5) as bigint) as score from (select site_id, case check_id when 'geo-ai-search-bots' then 3 when 'geo-server-rendered' then 2 else 1 end as w, "
             "case status when 'pass' then 1.0 when 'warn' then 0.5 else 0 end as v from gc where check_id <> 'geo-ai-training-bots') group by 1"
         ),
-        "report_markdown": (
-            f"{_scored()}, ri as (select site_id, '| ' || impact || ' | ' || rule_id || ' | ' || affected || ' |' as line, row_number() over (partition by site_id order by {_case('impact', IMPACT, 0)} desc, affected desc, rule_id) as k from iss join cat using (rule_id)) "
-            "select site_id, '| Impact | Rule | Pages |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) order by k) as body from ri where k <= 12 group by 1"
-        ),
-        "report_html": (
-            f"{_scored()}, ri as (select site_id, '<li>' || rule_id || ' (' || impact || '): ' || affected || '</li>' as item from iss join cat using (rule_id)) "
-            "select site_id, '<!doctype html><title>Site audit</title><ul>' || string_agg(item, '' order by item) || '</ul>' as body from ri group by 1"
-        ),
         "url_parts": f"select distinct page_id, {_host('url')} as host, {_path('url')} as path, {_key('url')} as page_key, split_part(url, '#', 1) as no_fragment, {_utility(_path('url'))} as utility from pages",
         "reading_ease": f"{pages} select page_id, ease from ({_ease()})",
         "fnv_hash": "select distinct page_id, cast(list_reduce(list_prepend(2166136261, list_transform(string_split(regexp_replace(url, '[^ -~]', '', 'g'), ''), lambda c: ord(c))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) as bigint) as fnv from pages",
@@ -567,8 +610,9 @@ def oracle() -> dict[str, str]:
         "link_orphans": f"{pages}, {_EDGES} select site_id, path from nd where not exists (select 1 from ed where ed.site_id = nd.site_id and ed.dst = nd.path) and not exists (select 1 from site_files s where s.site_id = nd.site_id and {_path('s.start_url')} = nd.path)",
         "link_broken": f"{pages}, {_EDGES} select ed.site_id, src, dst, status from ed join nd on nd.site_id = ed.site_id and nd.path = ed.dst where status >= 400",
         "link_depth": (
-            f"with recursive {PAGES}, {_EDGES}, walk as (select site_id, {_path('start_url')} as path, 0 as depth from site_files union select ed.site_id, ed.dst, depth + 1 from walk join ed on ed.site_id = walk.site_id and ed.src = walk.path where depth < 50) "
-            "select site_id, path, cast(min(depth) as bigint) as depth from walk group by 1, 2"
+            f"with recursive {PAGES}, {_EDGES}, walk(site_id, path, depth) using key (site_id, path) as (select site_id, {_path('start_url')}, 0 from site_files union "
+            "select ed.site_id, ed.dst, min(walk.depth + 1) from walk join ed on ed.site_id = walk.site_id and ed.src = walk.path left join recurring.walk old on old.site_id = ed.site_id and old.path = ed.dst where old.path is null group by 1, 2) "
+            "select site_id, path, cast(depth as bigint) as depth from walk"
         ),
         "link_findings": (
             f"{pages}, {_EDGES} select site_id, 'link-orphan-pages' as rule_id, path as url, cast(null as varchar) as note from nd where not exists (select 1 from ed where ed.site_id = nd.site_id and ed.dst = nd.path) "
@@ -582,6 +626,15 @@ def oracle() -> dict[str, str]:
             f"{pages}, {_TOKENS} select site_id, page_id, term, floor(n / greatest(total, word_count) * 1000 + 0.5) / 10 as percent from (select tr.*, word_count, row_number() over (partition by site_id, page_id order by rank) as k "
             "from tr join tk using (site_id, page_id) where word_count >= 300 and n >= 6 and n / greatest(total, word_count) > 0.06) where k <= 5"
         ),
+        "content_findings": (
+            f"{pages}, {_TOKENS}, sf as (select tr.site_id, tr.page_id, term, row_number() over (partition by tr.site_id, tr.page_id order by rank) as k from tr join tk using (site_id, page_id) where word_count >= 300 and n >= 6 and n / greatest(total, word_count) > 0.06), "
+            "hv as (select site_id, page_id, list(term order by rank) as terms from tr where rank <= 5 group by 1, 2 having count(*) >= 3), "
+            "sm as (select site_id, page_id, path, list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(concat_ws(' ', title, array_to_string(h1s, ' '))), '[^a-z0-9]', ' ', 'g'), ' +'), lambda w: w <> ''), lambda w: regexp_replace(w, '(ing|ed|es|s)$', '')) as stems from tk where word_count >= 200) "
+            "select site_id, 'content-keyword-stuffing' as rule_id, path as url, note from (select site_id, page_id, string_agg(term, ', ' order by term) as note from sf where k <= 5 group by 1, 2) join tk using (site_id, page_id) union all "
+            "select site_id, 'content-keyword-alignment', path, array_to_string(terms[1:3], ', ') from hv join sm using (site_id, page_id) where len(list_intersect(list_transform(terms, lambda t: regexp_replace(t, '(ing|ed|es|s)$', '')), stems)) = 0"
+        ),
+        "duplicate_clusters": f"with recursive {PAGES}, {_CLUSTERS} select site_id, page_id, leader_id from cl",
+        "duplicate_findings": f"with recursive {PAGES}, {_CLUSTERS} select site_id, 'indexing-duplicate-content' as rule_id, path as url, cast(leader_id as varchar) as note from cl where (site_id, leader_id) in (select site_id, leader_id from cl group by 1, 2 having count(*) > 1)",
         "misaligned_titles": (
             f"{pages}, {_TOKENS}, hv as (select site_id, page_id, list(term order by rank) as terms from tr where rank <= 5 group by 1, 2 having count(*) >= 3), "
             "sm as (select site_id, page_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(concat_ws(' ', title, array_to_string(h1s, ' '))), '[^a-z0-9]', ' ', 'g'), ' +'), lambda w: w <> ''), lambda w: regexp_replace(w, '(ing|ed|es|s)$', '')) as stems from tk where word_count >= 200) "
@@ -592,14 +645,6 @@ def oracle() -> dict[str, str]:
             "row_number() over (partition by q.vec_id order by round(list_dot_product(cast(q.embedding as double[]), cast(r.embedding as double[])), 6) desc, r.vec_id) as k from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % 20 = 0) where k <= 10"
         ),
         "page_issues": f"{_scored()} select site_id, rule_id, category, impact, effort, risk, cast(confidence as integer) as confidence, affected from iss join cat using (rule_id)",
-        "category_scores": f"{_scored()}, {_SCORES} select * from scores",
-        "overall_score": (
-            f"{_scored()}, {_SCORES} select site_id, overall, case when overall >= 90 then 'A' when overall >= 80 then 'B' when overall >= 70 then 'C' when overall >= 60 then 'D' when overall >= 50 then 'E' else 'F' end as grade from "
-            f"(select site_id, cast(floor(round(sum(score * {_case('category', CATEGORIES, 0)}) / sum({_case('category', CATEGORIES, 0)}), 9) + 0.5) as bigint) as overall from scores group by 1)"
-        ),
-        "issue_priorities": (
-            f"{_scored()} select site_id, rule_id, impact, cast(floor(round({_case('impact', IMPACT, 0)} * {_case('effort', EFFORT, 1)} * {_case('risk', RISK, 1)} * confidence / 100 / 12 * 100, 9) + 0.5) as bigint) as priority from iss join cat using (rule_id)"
-        ),
         "page_regressions": f"with {_STATES} {_regressions()}",
         "site_regressions": f"with {_STATES} {_site_regressions()}",
         "regression_gate": f"with {_STATES} select snapshot_id, max(case level when 'critical' then 3 when 'warning' then 2 else 1 end) >= 3 as fails from (select snapshot_id, level from ({_regressions()}) union all select snapshot_id, level from ({_site_regressions()})) group by 1",
@@ -619,8 +664,8 @@ def oracle() -> dict[str, str]:
         ),
         "crawl_state": (
             f"{pages} select 'crawl' as snapshot_id, site_id, path, status, title, description, canonical, noindex_meta, header_noindex as noindex_header, h1, redirected_to from ("
-            f"select site_id, {_path('coalesce(requested_url, url)')} as path, ord, page_id, status, title[1:200] as title, meta_description[1:300] as description, canonical, "
-            "regexp_matches(coalesce(lower(meta_robots), ''), '\\b(noindex|none)\\b') as noindex_meta, header_noindex, h1s[1][1:200] as h1, "
+            f"select site_id, {_path('coalesce(requested_url, url)')} as path, ord, page_id, status, title, meta_description as description, canonical, "
+            "regexp_matches(coalesce(lower(meta_robots), ''), '\\b(noindex|none)\\b') as noindex_meta, header_noindex, h1s[1] as h1, "
             f"case when len(coalesce(redirected_from, [])) > 0 then {_path('url')} end as redirected_to from f where url is not null) "
             f"where path is not null qualify row_number() over (partition by site_id, path order by coalesce(ord, {1 << 62}), page_id) = 1"
         ),
@@ -636,4 +681,4 @@ def oracle() -> dict[str, str]:
     }
     for rule in rules:
         out[f"rule_{rule.replace('-', '_')}"] = f"{pages} {_page_findings([rule])}"
-    return out
+    return out | _audited(out)

@@ -22,12 +22,17 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is named (tests, a single machine)."""
+    """The shared folder of the cluster; a temporary one only where none is named on a single machine (tests).
+
+    Raises where a cluster names none: a folder of one machine cannot be read by the executors of others.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current:
         return current
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     folder = named or tempfile.mkdtemp(prefix="pagemill-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
