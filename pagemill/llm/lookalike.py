@@ -4,7 +4,11 @@ Per text: invisible characters are deleted and every space becomes U+0020, forms
 character (full-width, ligatures, styled letters) are replaced by it, accents are composed, and each word that holds
 letters with a Latin double is searched as a lattice: at every place the letter itself or its double.  Viterbi takes
 the path of the best character bigram score, where a bigram is scored inside one script only and leaving a script costs
-a penalty; the scripts of the other words of the text are the prior.  Bigrams are counted over all texts.
+a penalty; the scripts of the other words of the text are the prior.  A word of another script that holds a letter
+without a Latin double, and no Latin one, is truly of that script and stays.
+
+Bigrams are counted over all texts, over different words and only over such as prove their script: a word made of
+look-alikes alone is no evidence, however often it stands, so spoofed words cannot vouch for themselves.
 """
 
 from __future__ import annotations
@@ -25,10 +29,20 @@ _CYR_LATIN = "ABESIJKMHOPCTXYYGQWaesijopcxyyhdqwlkmthbrn"
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαβγεικνορτυχωη"
 _GRE_LATIN = "ABEZHIKMNOPTYXabyeikvoptuxwn"
 _ARMENIAN, _ARM_LATIN = "ՍՏՕօոսհցզ", "USOonuhgq"
+_RARE_CYRILLIC, _RARE_CYR_LATIN = "ѠѡѴѵӀҽҺԌ", "WwVvIehG"
+_CHEROKEE, _CHE_LATIN = "ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHiJKLMPRSTVWZ"
+_LISU, _LIS_LATIN = "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"
+_PHONETIC, _PHO_LATIN = "ɑɡɩᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "agiabcdeghijklmnoprstuvwyz"
+#: Letters that are only like their double: beside Latin letters they stand for it, but a word without any is of their script.
+_ONLY_LIKE = frozenset("кмтнвгпһβγεκητχωҽ")
+#: Letters that look the same even alone; other doubles standing alone are signs of their own (α, β).
+_SAME_ALONE = frozenset("АВЕЅІЈКМНОРСТХаеѕіјорсухΑΒΕΖΗΙΚΜΝΟΡΤΥΧο" + _CHEROKEE + _LISU + _PHONETIC)
 
 
 def _doubles() -> dict[str, str]:
-    rows = ((_CYRILLIC, _CYR_LATIN), (_GREEK, _GRE_LATIN), (_ARMENIAN, _ARM_LATIN))
+    rows = (
+        (_CYRILLIC, _CYR_LATIN), (_GREEK, _GRE_LATIN), (_ARMENIAN, _ARM_LATIN), (_RARE_CYRILLIC, _RARE_CYR_LATIN), (_CHEROKEE, _CHE_LATIN), (_LISU, _LIS_LATIN), (_PHONETIC, _PHO_LATIN),
+    )
     return {letter: latin for letters, doubles in rows for letter, latin in zip(letters, doubles, strict=True)}
 
 
@@ -36,7 +50,8 @@ DOUBLES = _doubles()
 #: Letters counted per script; their number bounds the bigram table (under 50,000 rows at any input size).
 SCRIPTS = {"latin": "a-zß-öø-ÿā-ſ", "cyrillic": "а-џ", "greek": "ά-ώ"}
 SWITCH = -9.0
-_FLOOR = 1e-4
+#: What the scripts of the words around, nearer ones more, weigh against the word's own pairs.
+CONTEXT = 3.0
 
 _SPACES = {c: " " for c in map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 0x2800))}
 _IGNORABLE = {
@@ -108,17 +123,19 @@ def _script(c: str) -> str:
 
 
 class Bigrams:
-    """Log scores of letter pairs inside one script, '^' being the start of a word."""
+    """Log scores of letter pairs inside one script, '^' being the start of a word.
+
+    A pair never seen scores by how often its first letter was: a script of which little is known is not ruled out.
+    """
 
     def __init__(self, counts: dict[tuple[str, str], int]):
-        rows: Counter = Counter()
+        self.rows: Counter = Counter()
         for (script, pair), n in counts.items():
-            rows[script, pair[0]] += n
-        self.logs = {(s, p): math.log((n + 0.5) / (rows[s, p[0]] + 20)) for (s, p), n in counts.items()}
-        self.floor = math.log(_FLOOR)
+            self.rows[script, pair[0]] += n
+        self.counts = counts
 
     def __call__(self, script: str, a: str, b: str) -> float:
-        return self.logs.get((script, a + b), self.floor)
+        return math.log((self.counts.get((script, a + b), 0) + 0.5) / (self.rows[script, a] + 20))
 
 
 def decode(word: str, score: Bigrams, prior: dict[str, float]) -> str:
@@ -149,19 +166,30 @@ def decode(word: str, score: Bigrams, prior: dict[str, float]) -> str:
 _WORD = re.compile(r"[^\W_][\w\u0300-\u036f]*")
 
 
+def _proves(c: str) -> bool:
+    """Whether a letter cannot be taken for a Latin one."""
+    return (c not in DOUBLES or c in _ONLY_LIKE) and _script(c) not in ("", "latin")
+
+
 def _lattice(text: str, score: Bigrams) -> str:
     if not any(c in DOUBLES for c in text):
         return text
     words = list(_WORD.finditer(text))
     votes = [Counter(filter(None, map(_script, m[0]))) for m in words]
-    pure = [next(iter(v)) if len(v) == 1 else "" for v in votes]
+    # The script a word proves: all of its letters, one of them without a Latin double if it isn't Latin.
+    pure = [next(iter(v)) if len(v) == 1 and ("latin" in v or any(_proves(c) for c in m[0])) else "" for m, v in zip(words, votes)]
     out, at = [], 0
     for i, m in enumerate(words):
         scripts = votes[i]
-        if any(c in DOUBLES for c in m[0]) and (len(scripts) > 1 or len(m[0]) > 1):
-            around = Counter(s for j, s in enumerate(pure) if j != i and s)
+        if "latin" not in scripts and any(map(_proves, m[0])):
+            continue  # truly of another script
+        if any(c in DOUBLES for c in m[0]) and (len(scripts) > 1 or len(m[0]) > 1 or m[0] in _SAME_ALONE):
+            around = Counter()
+            for j, s in enumerate(pure):
+                if j != i and s:
+                    around[s] += 1 / abs(j - i)
             n = sum(around.values())
-            prior = {s: math.log((around[s] + 0.3) / (n + 1)) for s in ("latin", "cyrillic", "greek", "other")}
+            prior = {s: CONTEXT * math.log((around[s] + 0.2) / (n + 0.8)) for s in ("latin", "cyrillic", "greek", "other")}
             out += [text[at : m.start()], decode(m[0], score, prior)]
             at = m.end()
     return "".join(out) + text[at:]
@@ -192,13 +220,15 @@ def fields(pages: DataFrame) -> DataFrame:
 
 
 def bigrams(texts: DataFrame) -> Bigrams:
-    """Counts of letter pairs over all words of one script in all texts.
+    """Counts of letter pairs over all different words of all texts that prove to be of one script.
 
-    Words are combined before the shuffle; what reaches the driver is bounded by the alphabets in SCRIPTS.
+    A word of another script than Latin proves it by a letter without a Latin double.  Words are combined before the
+    shuffle; what reaches the driver is bounded by the alphabets in SCRIPTS.
     """
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("w"))
-    words = words.groupBy("w").agg(F.count("*").alias("n"))
-    script = F.coalesce(*[F.when(F.col("w").rlike(f"^[{letters}]+$"), F.lit(s)) for s, letters in SCRIPTS.items()])
+    words = words.distinct().withColumn("n", F.lit(1))
+    low = "".join(sorted({c.lower() for c in DOUBLES} - _ONLY_LIKE))
+    script = F.coalesce(*[F.when(F.col("w").rlike(f"^[{letters}]+$") & F.col("w").rlike(f"[^{low}]"), F.lit(s)) for s, letters in SCRIPTS.items()])
     marked = F.concat(F.lit("^"), F.col("w"))
     pairs = (
         words.select(script.alias("script"), "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(marked, i, F.lit(2)))).alias("pair"))
