@@ -1,18 +1,26 @@
 """What changed between consecutive full snapshots of one series.
 
 Records of all snapshots are range-partitioned and sorted by (series, kind, key, place in the series).  One pass over
-each sorted range then plays both pointers of a merge at once: a record is compared with the one right before it, and
-a gap in the places is a removal followed by an addition.  No snapshot is joined with another, so a record is shuffled
-once, however many snapshots the series has, and a large series is split over ranges by its keys.
+each sorted range then plays both pointers of a merge at once: a record is compared, column by column, with the one right
+before it, and a gap in the places is a removal followed by an addition.  No snapshot is joined with another, so a record
+is shuffled once, however many snapshots the series has, and a large series is split over ranges by its keys.
+
+``keep`` stores records in that layout, a folder of sorted ranges for each snapshot, so that later runs need no history
+but the last snapshot of each series: ``changes_of_kept`` merges two kept snapshots range by range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE_FIELDS = ("status", "title", "description", "canonical", "noindex_meta", "noindex_header", "h1", "redirected_to")
 ISSUE_FIELDS = ("impact", "category", "title", "paths")
+#: The compared columns of both kinds, by the name they have in a record.
+_COLUMNS = {
+    **{f: ("bigint" if f == "status" else "boolean" if f.startswith("noindex") else "string") for f in PAGE_FIELDS},
+    **{f"issue_{f}": ("array<string>" if f == "paths" else "string") for f in ISSUE_FIELDS},
+}
 
 
 def series_of(snapshots: DataFrame) -> DataFrame:
@@ -33,18 +41,20 @@ def series_of(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def _signature(df: DataFrame, fields: tuple[str, ...]) -> Column:
-    """Compared columns in one struct; an empty string is null, an array is a set and null is the empty one."""
+def _compared(df: DataFrame, fields: tuple[str, ...], prefix: str) -> Column:
+    """The columns of both kinds in one struct; an empty string is null, an array is a set and null is the empty one."""
+    kinds = dict(df.dtypes)
     parts = []
-    for name in fields:
-        kind = dict(df.dtypes)[name]
-        if kind == "string":
-            parts.append(F.nullif(F.col(name), F.lit("")).alias(name))
-        elif kind.startswith("array"):
-            empty = F.array().cast(kind)
-            parts.append(F.array_sort(F.array_distinct(F.coalesce(F.col(name), empty))).alias(name))
+    for name, kind in _COLUMNS.items():
+        own = name.removeprefix(prefix)
+        if own not in fields or name.startswith("issue_") != (prefix == "issue_"):
+            parts.append(F.lit(None).cast(kind).alias(name))
+        elif kinds[own] == "string":
+            parts.append(F.nullif(F.col(own), F.lit("")).alias(name))
+        elif kinds[own].startswith("array"):
+            parts.append(F.array_sort(F.array_distinct(F.coalesce(F.col(own), F.array().cast(kind)))).alias(name))
         else:
-            parts.append(F.col(name).alias(name))
+            parts.append(F.col(own).cast(kind).alias(name))
     return F.struct(*parts)
 
 
@@ -56,12 +66,20 @@ def keyed_records(df: DataFrame, kind: str, key: str, fields: tuple[str, ...]) -
         F.lit(kind).alias("record_kind"),
         F.col(key).alias("record_key"),
         loaded.cast("timestamp_ntz").alias("loaded_at"),
-        F.to_json(_signature(df, fields)).alias("sig"),
+        _compared(df, fields, "issue_" if kind == "issue" else "").alias("sig"),
     )
 
 
+def _differing(a: str, b: str) -> Column:
+    """Names of the columns in which two records differ, null being equal to null."""
+    tests = [F.when(~F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), F.lit(c.removeprefix("issue_"))) for c in _COLUMNS]
+    return F.array_compact(F.array(*tests))
+
+
 def diff_series(series: DataFrame, records: DataFrame) -> DataFrame:
-    """(snapshot_id, record_kind, record_key, change) for every snapshot but the first of its series.
+    """(snapshot_id, record_kind, record_key, change, fields) for every snapshot but the first of its series.
+
+    ``fields`` names the columns that changed, null where a record was added or removed.
 
     If rows for one snapshot and key differ, the one loaded last holds (ties: the greater signature).  Records of
     snapshots that ``series`` does not name are left out.  Empty inputs give no rows.
@@ -75,29 +93,59 @@ def diff_series(series: DataFrame, records: DataFrame) -> DataFrame:
     merged = held.select(
         *key, "snapshot_id", "place", "next_id", "sig", "_after",
         before.alias("p0"), after.alias("sig0"), F.lead("place").over(by_load).alias("p2"),
-    )
+    ).withColumn("fields", F.when(F.col("p0") == F.col("place") - 1, _differing("sig0", "sig")))
     here = (
         F.when((F.col("place") > 1) & (F.col("p0").isNull() | (F.col("p0") < F.col("place") - 1)), F.lit("added"))
-        .when((F.col("p0") == F.col("place") - 1) & (F.col("sig0") != F.col("sig")), F.lit("changed"))
+        .when((F.col("p0") == F.col("place") - 1) & (F.size("fields") > 0), F.lit("changed"))
     )
     gone = F.when(
         F.col("next_id").isNotNull() & (F.col("p2").isNull() | (F.col("p2") > F.col("place") + 1)), F.lit("removed")
     )
     events = F.array(
-        F.struct(F.col("snapshot_id").alias("snapshot_id"), here.alias("change")),
-        F.struct(F.col("next_id").alias("snapshot_id"), gone.alias("change")),
+        F.struct(F.col("snapshot_id").alias("snapshot_id"), here.alias("change"), F.when(here == "changed", F.col("fields")).alias("fields")),
+        F.struct(F.col("next_id").alias("snapshot_id"), gone.alias("change"), F.lit(None).cast("array<string>").alias("fields")),
     )
     return (
         merged.select("record_kind", "record_key", F.explode(events).alias("e"))
         .where("e.change is not null")
-        .select("e.snapshot_id", "record_kind", "record_key", "e.change")
+        .select("e.snapshot_id", "record_kind", "record_key", "e.change", "e.fields")
     )
 
 
+def _records(page_state: DataFrame, issues: DataFrame) -> DataFrame:
+    return keyed_records(page_state, "page", "path", PAGE_FIELDS).unionByName(keyed_records(issues, "issue", "rule_id", ISSUE_FIELDS))
+
+
 def snapshot_changes(snapshots: DataFrame, page_state: DataFrame, issues: DataFrame) -> DataFrame:
-    pages = keyed_records(page_state, "page", "path", PAGE_FIELDS)
-    rules = keyed_records(issues, "issue", "rule_id", ISSUE_FIELDS)
-    return diff_series(series_of(snapshots), pages.unionByName(rules))
+    """(snapshot_id, record_kind, record_key, change) of pages and issues."""
+    return diff_series(series_of(snapshots), _records(page_state, issues)).drop("fields")
+
+
+def snapshot_fields(snapshots: DataFrame, page_state: DataFrame, issues: DataFrame) -> DataFrame:
+    """(snapshot_id, record_kind, record_key, field): a row a column that changed."""
+    found = diff_series(series_of(snapshots), _records(page_state, issues)).where("change = 'changed'")
+    return found.select("snapshot_id", "record_kind", "record_key", F.explode("fields").alias("field"))
+
+
+def keep(page_state: DataFrame, issues: DataFrame, folder: str, ranges: int = 64) -> None:
+    """Adds the records of snapshots to a folder, range-partitioned and sorted by key inside each snapshot's part.
+
+    Of several rows for one snapshot and key the last loaded is kept.
+    """
+    held = _records(page_state, issues).groupBy("snapshot_id", "record_kind", "record_key").agg(F.max(F.struct("loaded_at", "sig")).alias("h")).select("snapshot_id", "record_kind", "record_key", "h.sig")
+    order = ["snapshot_id", "record_kind", "record_key"]
+    held.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.mode("append").partitionBy("snapshot_id").parquet(folder)
+
+
+def changes_of_kept(spark: SparkSession, folder: str, earlier: str, later: str) -> DataFrame:
+    """(record_kind, record_key, change, fields) between two snapshots that ``keep`` stored; reads these two only."""
+    kept = spark.read.parquet(folder)
+    key = ["record_kind", "record_key"]
+    a, b = (kept.where(F.col("snapshot_id") == x).select(*key, F.col("sig").alias(n)) for x, n in ((earlier, "a"), (later, "b")))
+    met = a.join(b.hint("merge"), key, "full")
+    fields = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), _differing("a", "b"))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size(fields) > 0, "changed")
+    return met.select(*key, change.alias("change"), F.when(change == "changed", fields).alias("fields")).where("change is not null")
 
 
 #: Rules whose result depends on the host, not the code.

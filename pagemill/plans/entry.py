@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import robots, text, urls
-from pagemill.operators import content, extract, fixes, geo, graph, retrieval, rules, scoring, sinks, site_rules, snapshot_diff, vitals
+from pagemill.operators import content, diff_report, extract, fixes, geo, graph, retrieval, rules, scoring, sinks, site_rules, snapshot_diff, vitals
 from pagemill.session import cut, tune
 from pagemill.sources import site_texts
 from pagemill.sources.tables import table
@@ -165,6 +165,8 @@ def _host_rules(site_files: DataFrame) -> DataFrame:
 
 #: The tables of a whole audit.
 _TABLES = ("pages", "site_files", "sitemap_urls", "probes")
+#: The tables of snapshots.
+_HISTORY = ("site_snapshot", "page_state", "snapshot_issue")
 
 
 def queries() -> dict[str, Query]:
@@ -237,6 +239,13 @@ def queries() -> dict[str, Query]:
         "site_regressions": on("site_snapshot", call=snapshot_diff.site_regressions),
         "issue_deltas": on("site_snapshot", "snapshot_issue", call=snapshot_diff.issue_deltas),
         "regression_gate": on("site_snapshot", "page_state", call=lambda s, p: snapshot_diff.gate(snapshot_diff.page_regressions(s, p), snapshot_diff.site_regressions(s))),
+        "snapshot_fields": on(*_HISTORY, call=snapshot_diff.snapshot_fields),
+        "issue_levels": on("site_snapshot", "snapshot_issue", call=diff_report.issue_levels),
+        "pages_added": on("site_snapshot", "page_state", call=diff_report.pages_added),
+        "category_deltas": on("site_snapshot", call=diff_report.category_deltas),
+        "snapshot_summary": on(*_HISTORY, call=diff_report.summary),
+        "gate_new": on(*_HISTORY, call=diff_report.fails),
+        "diff_markdown": on(*_HISTORY, call=diff_report.markdown),
         "rule_link_opportunities": on("pages", call=_opportunities),
         "rule_host_variants": on("site_files", call=_host_rules),
         "crawl_state": on("pages", call=lambda p: snapshot_diff.state_of(p, "crawl", whole=True)),

@@ -481,6 +481,26 @@ def _geo() -> str:
     return f"with {PAGES}, {_GROUPS}, {page}, {site}, {access}, {files}, gc as ({union})"
 
 
+_PAIRS = (
+    "oneof as (select snapshot_id, arg_max({'url': url, 'origin': origin, 'overall': overall, 'geo': geo_score, 'cat': category_scores}, loaded_at) as s from site_snapshot where snapshot_id is not null group by 1), "
+    "pq as (select o.snapshot_id, o.s, pr.prev_id, b.s as p, b.s.origin is distinct from o.s.origin as crossed from oneof o join pr using (snapshot_id) join oneof b on b.snapshot_id = pr.prev_id)"
+)
+
+
+def _levels() -> str:
+    """Rows of issue deltas with kind, impact and level."""
+    from pagemill.operators.snapshot_diff import HOST_RULES
+
+    return (
+        "ii as (select snapshot_id, rule_id, max(impact) as impact, list_distinct(flatten(list(coalesce(paths, [])))) as paths from snapshot_issue where snapshot_id is not null and rule_id is not null group by 1, 2), "
+        "b as (select ii.* from ii join pr using (snapshot_id) where prev_id is not null), a as (select pr.snapshot_id, ii.rule_id, ii.impact, ii.paths from ii join pr on pr.prev_id = ii.snapshot_id), "
+        "m as (select coalesce(a.snapshot_id, b.snapshot_id) as snapshot_id, coalesce(a.rule_id, b.rule_id) as rule_id, a.paths as pa, b.paths as pb, a.impact as was, b.impact as now from a full join b on a.snapshot_id = b.snapshot_id and a.rule_id = b.rule_id), "
+        "lv as (select m.snapshot_id, m.rule_id, case when pa is null then 'new-issue' when pb is null then 'resolved' else 'worsened-issue' end as kind, case when pb is null then was else now end as impact, "
+        "case when pb is null then 'info' when now = 'critical' then case when pa is null then 'critical' else 'warning' end when now = 'high' then 'warning' else 'info' end as level "
+        f"from m join pq using (snapshot_id) where (pa is null or pb is null or len(list_filter(pb, lambda x: not list_contains(pa, x))) > 0) and not (crossed and rule_id in ({_texts(HOST_RULES)})))"
+    )
+
+
 def oracle() -> dict[str, str]:
     pages = f"with {PAGES}"
     rules = _page_rules()
@@ -655,6 +675,18 @@ def oracle() -> dict[str, str]:
             "d as (select *, len(list_filter(pb, lambda x: not list_contains(pa, x))) as fresh from m) "
             "select snapshot_id, rule_id, case when pa is null then 'new' when pb is null then 'resolved' else 'worsened' end as delta, cast(case when pa is null then len(pb) when pb is null then 0 else fresh end as integer) as fresh from d where pa is null or pb is null or fresh > 0"
         ),
+        "issue_levels": f"with {_STATES}, {_PAIRS}, {_levels()} select * from lv",
+        "category_deltas": f"with {_STATES}, {_PAIRS} select snapshot_id, category, score - coalesce(was[category], score) as delta from (select snapshot_id, p.cat as was, unnest(map_keys(s.cat)) as category, unnest(map_values(s.cat)) as score from pq)",
+        "pages_added": (
+            f"with {_STATES}, st1 as (select snapshot_id, path, arg_max(status, loaded_at) as status from page_state where snapshot_id is not null and path is not null group by 1, 2) "
+            "select b.snapshot_id, b.path from st1 b join pr using (snapshot_id) left join st1 a on a.snapshot_id = pr.prev_id and a.path = b.path where prev_id is not null and a.path is null and b.status between 200 and 299"
+        ),
+        "snapshot_fields": P5.split("select coalesce(a.snapshot_id")[0].replace(
+            "cast(sig as varchar) as sig from page", "cast(sig as varchar) as sig, [cast(x as varchar) for x in [sig[1]::varchar, sig[2]::varchar, sig[3]::varchar, sig[4]::varchar, sig[5]::varchar, sig[6]::varchar, sig[7]::varchar, sig[8]::varchar]] as v from page"
+        ).replace("cast(sig as varchar) from issue", "cast(sig as varchar), [sig[1]::varchar, sig[2]::varchar, sig[3]::varchar, sig[4]::varchar] as v from issue").replace("kind, k, sig from rec", "kind, k, v from rec")
+        + "select a.snapshot_id, a.kind as record_kind, a.k as record_key, n as field from (select a.*, b.v as w, unnest(case when a.kind = 'page' then "
+        "['status', 'title', 'description', 'canonical', 'noindex_meta', 'noindex_header', 'h1', 'redirected_to'] else ['impact', 'category', 'title', 'paths'] end) as n, unnest(range(1, len(a.v) + 1)) as i "
+        "from a join b on a.snapshot_id = b.snapshot_id and a.kind = b.kind and a.k = b.k) a where v[i] is distinct from w[i]",
         "rule_catalog": f"with {_catalog()} select rule_id, category, impact, effort, risk, cast(confidence as integer) as confidence from cat",
         "rule_host_variants": (
             "with v as (select site_id, start_url, 'twin' as kind, case when coalesce(crawl_complete, false) then start_url when regexp_matches(start_url, '://www\\.') then regexp_replace(start_url, '://www\\.', '://') else regexp_replace(start_url, '://', '://www.') end as final_url from site_files "
