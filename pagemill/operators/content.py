@@ -36,7 +36,7 @@ def term_weights(pages: DataFrame) -> DataFrame:
     df = counts.groupBy("site_id", "term").agg(F.count("*").alias("df"))
     size = readable(pages).groupBy("site_id").agg(F.count("*").alias("pages"))
     idf = F.log((F.col("pages") + 1) / (F.col("df") + 1)) + 1
-    return counts.join(df, ["site_id", "term"]).join(size, "site_id").select("site_id", "page_id", "term", "n", "first", (F.col("n") / F.col("total") * idf).alias("weight"))
+    return counts.join(df, ["site_id", "term"]).join(size, "site_id").select("site_id", "page_id", "term", "n", "first", "total", (F.col("n") / F.col("total") * idf).alias("weight"))
 
 
 def _ranked(pages: DataFrame) -> DataFrame:
@@ -54,8 +54,7 @@ def stuffed_terms(pages: DataFrame) -> DataFrame:
     """(site_id, page_id, term, percent): up to 5 terms of six or more uses and over 6 % of a page of 300 words or more."""
     long = readable(pages).where("word_count >= 300").select("site_id", "page_id", "word_count")
     share = F.col("n") / F.greatest("total", "word_count")
-    totals = term_counts(pages).select("site_id", "page_id", "term", "total")
-    dense = _ranked(pages).join(totals, ["site_id", "page_id", "term"]).join(long, ["site_id", "page_id"]).where((F.col("n") >= 6) & (share > 0.06))
+    dense = _ranked(pages).join(long, ["site_id", "page_id"]).where((F.col("n") >= 6) & (share > 0.06))
     w = Window.partitionBy("site_id", "page_id").orderBy("rank")
     kept = dense.withColumn("k", F.row_number().over(w)).where("k <= 5")
     return kept.select("site_id", "page_id", "term", (F.floor(share * 1000 + 0.5) / 10).alias("percent"))

@@ -95,23 +95,36 @@ def embedded(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, vector array<float>")
 
 
+def _blocks(queries: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """The queries in ranges of their keys, written once; each holds at most BLOCK rows, which is checked."""
+    parts = max(1, -(-queries.count() // (BLOCK // 2)))
+    placed = cut(queries.repartitionByRange(parts, *keys).withColumn("_block", F.spark_partition_id()))
+    for row in placed.groupBy("_block").agg(F.count("*").alias("n")).orderBy("_block").collect():
+        own = placed.where(F.col("_block") == row["_block"]).drop("_block")
+        if row["n"] <= BLOCK:
+            yield own
+        else:
+            for at in range(0, row["n"], BLOCK):
+                yield own.orderBy(*keys).offset(at).limit(BLOCK)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float = -2.0) -> DataFrame:
     """(query_id, key, score, rank): the k rows of the largest dot product for each query, itself left out.
 
-    Queries go out in blocks of BLOCK, which bounds what a task holds; every row is met, so recall is 1.  Ties go to the
+    Queries go out in blocks of at most BLOCK, which bounds what a task holds; every row is met, so recall is 1.  Ties go to the
     lower key.  Null vectors are left out.
     """
     spark = rows.sparkSession
-    wanted = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector).orderBy(key)
-    source = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.col(vector).cast("array<float>").alias(vector))
+    wanted = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector)
+    # Vectors may come from Python; they are made once, not for each block.
+    source = cut(rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.col(vector).cast("array<float>").alias(vector)))
     kind = dict(rows.dtypes)[key]
     schema = f"query_id {kind}, {key} {kind}, score double"
     found = spark.createDataFrame([], schema)
-    total = wanted.count()
-    for at in range(0, total, BLOCK):
-        block = wanted.offset(at).limit(BLOCK).collect()
-        ids = np.array([r[0] for r in block])
-        matrix = np.array([r[1] for r in block], np.float32)
+    for asked in _blocks(wanted, key):
+        block = asked.toArrow()
+        ids = block.column(0).to_numpy()
+        matrix = np.array(block.column(1).to_pylist(), np.float32)
         sent = spark.sparkContext.broadcast((ids, matrix))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -149,15 +162,15 @@ def _similar(rows: DataFrame, linked: DataFrame, k: int, least: float) -> DataFr
 
     ``rows`` are (site_id, page_id, node, leader_id, words), ``linked`` (site_id, query_id, nodes).  A page of the query's
     node, of one of its linked nodes or of its leader is left out before the k are taken; a null leader is no cluster.
-    Queries go out in blocks of BLOCK, in order of site, and a block embeds the pages of its sites only.
+    Queries go out in blocks, in order of site, and a block embeds the pages of its sites only.
     """
     spark = rows.sparkSession
-    asked = rows.where("page_id % 20 = 0").join(linked.withColumnRenamed("query_id", "page_id"), ["site_id", "page_id"], "left").orderBy("site_id", "page_id")
+    rows = cut(rows)
+    asked = rows.where("page_id % 20 = 0").join(linked.withColumnRenamed("query_id", "page_id"), ["site_id", "page_id"], "left")
     schema = "site_id string, query_id bigint, page_id bigint, score double"
     found = spark.createDataFrame([], schema)
-    total = asked.count()
-    for at in range(0, total, BLOCK):
-        block = asked.offset(at).limit(BLOCK).select("site_id", "page_id", "node", "leader_id", "words", "nodes").toArrow()
+    for part in _blocks(asked, "site_id", "page_id"):
+        block = part.select("site_id", "page_id", "node", "leader_id", "words", "nodes").toArrow()
         site, words = np.array(block.column("site_id").to_pylist(), object), block.column("words").to_pylist()
         ids, nodes, leads = (np.array([-1 if v is None else v for v in block.column(c).to_pylist()], np.int64) for c in ("page_id", "node", "leader_id"))
         alone = np.array([v is None for v in block.column("leader_id").to_pylist()])
@@ -241,5 +254,8 @@ def link_opportunities(pages: DataFrame, edges: DataFrame, clusters: DataFrame,
     best = _similar(rows, linked, k, least=0.55)
     a, b = (place.select("site_id", F.col("page_id").alias(c), F.col("path").alias(p)) for c, p in (("query_id", "pa"), ("page_id", "pb")))
     top = Window.partitionBy("site_id").orderBy(F.desc("score"), "query_id", "page_id")
+    # The best of each salt first, so that no site is ranked in one task.
+    salted = Window.partitionBy("site_id", F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy(F.desc("score"), "query_id", "page_id")
+    best = best.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= most)
     kept = best.withColumn("n", F.row_number().over(top)).where(F.col("n") <= most).join(a, ["site_id", "query_id"]).join(b, ["site_id", "page_id"])
     return kept.select("site_id", F.lit("link-missing-internal-opportunities").alias("rule_id"), F.col("pa").alias("url"), F.concat(F.col("pb"), F.lit(" "), F.round("score", 2)).alias("note"))

@@ -6,6 +6,7 @@ serves all of them and Catalyst prunes what a chosen subset does not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -288,6 +289,26 @@ def page_rules() -> dict[str, tuple[Column, Column]]:
     }
 
 
+#: Rules that users add: id, its row of the catalogue, and what makes its test and note from the columns of ``flagged``.
+_ADDED: dict[str, tuple[Rule, Callable[[], tuple[Column, Column]]]] = {}
+
+
+def register(rule: Rule, test: Callable[[], tuple[Column, Column]]) -> None:
+    """Adds a page rule: ``test`` gives when it fires and its note.  An id of the catalogue cannot be taken."""
+    if rule.id in BY_ID:
+        raise ValueError(f"{rule.id} is a rule already")
+    _ADDED[rule.id] = (rule, test)
+
+
+def unregister(rule_id: str) -> None:
+    _ADDED.pop(rule_id, None)
+
+
+def catalogue() -> list[Rule]:
+    """All rules, those that users added last."""
+    return [*CATALOG, *(rule for rule, _ in _ADDED.values())]
+
+
 FINDING = "site_id string, rule_id string, url string, note string, ord bigint"
 
 
@@ -296,7 +317,8 @@ def page_findings(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
 
     Rows that repeat a page count once.  Null statuses are neither ok nor errors.
     """
-    chosen = {rule: test for rule, test in page_rules().items() if only is None or rule in only}
+    tests = page_rules() | {rule: make() for rule, (_, make) in _ADDED.items()}
+    chosen = {rule: test for rule, test in tests.items() if only is None or rule in only}
     fired = [F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(rule).alias("rule_id"), note.alias("note"))) for rule, (when, note) in chosen.items()]
     rows = flagged(pages)
     if len(chosen) == 1:

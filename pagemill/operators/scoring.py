@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.operators.rules import CATALOG
+from pagemill.operators.rules import catalogue
 
 #: Penalties, category weights, and what impact, effort and risk count for a priority.
 PENALTY = {"critical": 26, "high": 15, "medium": 8, "low": 3}
@@ -28,7 +28,7 @@ CAPS = {
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in CATALOG], "rule_id string, category string, impact string, effort string, risk string, confidence int")
+    return spark.createDataFrame([tuple(r) for r in catalogue()], "rule_id string, category string, impact string, effort string, risk string, confidence int")
 
 
 def _lookup(column: str, table: dict, default: object = None) -> Column:

@@ -25,6 +25,18 @@ def issue_markdown(issues: DataFrame, most: int = 12) -> DataFrame:
     return kept.select("site_id", F.array_join(F.concat(head, line), "\n").alias("body"))
 
 
+def issue_text(issues: DataFrame, scores: DataFrame) -> DataFrame:
+    """(site_id, body): a plain report: the overall score of (site_id, overall, grade), then a line an issue, the gravest first."""
+    rank = F.lit(0)
+    for name, points in IMPACT.items():
+        rank = F.when(F.col("impact") == name, points).otherwise(rank)
+    rows = issues.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct((-rank).alias("r"), (-F.col("affected")).alias("n"), "rule_id", "impact", "affected"))).alias("rows"))
+    line = F.transform("rows", lambda x: F.concat(F.lit("  ["), x["impact"], F.lit("] "), x["rule_id"], F.lit(": "), x["affected"]))
+    head = F.concat(F.lit("Score "), F.col("overall"), F.lit(" ("), F.col("grade"), F.lit(")"))
+    none = F.array().cast("array<string>")
+    return scores.join(rows, "site_id", "left").select("site_id", F.array_join(F.concat(F.array(head), F.coalesce(line, none)), "\n").alias("body"))
+
+
 def escaped(text):
     """&, <, > and double quotes as entities."""
     out = text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import robots, urls
@@ -220,6 +220,18 @@ def hreflang_findings(pages: DataFrame) -> DataFrame:
     return faults.groupBy(*who).agg(F.array_sort(F.collect_set("why")).alias("w")).select(*_finding("indexing-hreflang-invalid", F.col("path"), F.array_join("w", "; ")))
 
 
+def observed_variants(probes: DataFrame, site_files: DataFrame) -> DataFrame:
+    """(site_id, kind, url, status, final_url, canonical): requests to a site's own host under plain http or its www twin.
+
+    Of several probes of a url the latest holds.  kind is 'http' for plain requests, else 'twin'.
+    """
+    last = F.max_by(F.struct("status", "final_url"), F.struct("probed_at", "status", "final_url"))
+    one = probes.where("kind = 'link' and url is not null").groupBy("site_id", "url").agg(last.alias("p")).select("site_id", "url", "p.*")
+    met = one.join(site_files.select("site_id", "start_url"), "site_id").where(urls.bare_host(F.col("url")) == urls.bare_host(F.col("start_url")))
+    kind = F.when(urls.scheme(F.col("url")) == "http", "http").when(urls.host(F.col("url")) != urls.host(F.col("start_url")), "twin")
+    return met.select("site_id", kind.alias("kind"), "url", "status", "final_url", F.lit(None).cast("string").alias("canonical")).where("kind is not null")
+
+
 def host_findings(variants: DataFrame, site_files: DataFrame) -> DataFrame:
     """indexing-host-duplicate and indexing-http-not-redirected from (site_id, kind, url, status, final_url, canonical)."""
     met = variants.join(site_files.select("site_id", "start_url"), "site_id").where("status between 200 and 299")
@@ -230,9 +242,8 @@ def host_findings(variants: DataFrame, site_files: DataFrame) -> DataFrame:
 
 
 def sitemap_file_findings(sitemap_files: DataFrame, site_files: DataFrame) -> DataFrame:
-    """indexing-sitemap-format from (site_id, file, error), for sites that have or declare a sitemap; 20 files a site at most."""
-    w = Window.partitionBy("site_id").orderBy("file")
-    bad = sitemap_files.where("error is not null").withColumn("rn", F.row_number().over(w)).where("rn <= 20")
+    """indexing-sitemap-format from (site_id, file, error), for sites that have or declare a sitemap."""
+    bad = sitemap_files.where("error is not null")
     sites = site_files.where("coalesce(has_sitemap, false) or coalesce(robots_declares_sitemap, false)").select("site_id")
     return bad.join(sites, "site_id", "left_semi").select(*_finding("indexing-sitemap-format", F.col("file"), F.col("error")))
 

@@ -52,8 +52,15 @@ def _page_rank(pages: DataFrame) -> DataFrame:
     return graph.page_rank(nodes, graph.edges(pages)).select("site_id", F.col("node").alias("path"), F.round("rank", 6).alias("page_rank"))
 
 
-def all_findings(pages: DataFrame, site_files: DataFrame, sitemap: DataFrame, probes: DataFrame, clusters: bool = True) -> DataFrame:
-    """(site_id, rule_id, url, note) of every rule that the tables can decide."""
+def all_findings(
+    pages: DataFrame, site_files: DataFrame, sitemap: DataFrame, probes: DataFrame, clusters: bool = True,
+    sitemap_files: DataFrame | None = None, field: DataFrame | None = None, opportunities: bool = False,
+) -> DataFrame:
+    """(site_id, rule_id, url, note) of every rule that the tables can decide.
+
+    ``sitemap_files`` (site_id, file, error) and ``field`` (site_id, metric, p75, rating) add the rules that read them;
+    ``opportunities`` adds suggestions of links, whose queries are the pages with page_id divisible by 20.
+    """
     cols = ["site_id", "rule_id", "url", "note"]
     # Rules over several pages share one narrow table, written once.
     slim = cut(pages.select(*_SLIM))
@@ -61,8 +68,14 @@ def all_findings(pages: DataFrame, site_files: DataFrame, sitemap: DataFrame, pr
         rules.page_findings(pages), rules.shared_values(slim, "title", "meta-title-duplicate"), rules.shared_values(slim, "meta_description", "meta-description-duplicate"),
         site_rules.site_findings(site_files), site_rules.robots_format(site_files), site_rules.robots_blocks(site_files, slim), site_rules.probe_findings(probes, site_files),
         site_rules.canonical_findings(slim, site_files), site_rules.noindex_findings(slim, site_files, sitemap), site_rules.sitemap_findings(slim, site_files, sitemap),
-        site_rules.hreflang_findings(slim), site_rules.home_schema(slim, site_files), graph.link_findings(slim, site_files), content.content_findings(pages),
+        site_rules.hreflang_findings(slim), site_rules.home_schema(slim, site_files), graph.link_findings(slim, site_files), content.content_findings(pages), _host_rules(probes, site_files),
     ]
+    if sitemap_files is not None:
+        parts.append(site_rules.sitemap_file_findings(sitemap_files, site_files))
+    if field is not None:
+        parts.append(vitals.findings(field))
+    if opportunities:
+        parts.append(_opportunities(pages))
     if clusters:
         parts.append(content.duplicate_findings(pages))
     out = parts[0].select(*cols)
@@ -86,6 +99,11 @@ def _scores(pages: DataFrame, site_files: DataFrame, sitemap: DataFrame, probes:
     return scoring.category_scores(_audit(pages, site_files, sitemap, probes), _ok_pages(pages))
 
 
+def _text(pages: DataFrame, *others: DataFrame) -> DataFrame:
+    found = _audit(pages, *others)
+    return sinks.issue_text(found, scoring.overall(scoring.category_scores(found, _ok_pages(pages))))
+
+
 def _ok_pages(pages: DataFrame) -> DataFrame:
     return pages.where("status between 200 and 299").groupBy("site_id").agg(F.count_distinct("page_id").alias("pages"))
 
@@ -147,20 +165,8 @@ def _opportunities(pages: DataFrame) -> DataFrame:
     return retrieval.link_opportunities(pages, graph.edges(pages), content.duplicate_clusters(pages))
 
 
-def _variants(site_files: DataFrame) -> DataFrame:
-    """Host variants as a probe would report them: every site's bare or www twin and its plain http address."""
-    u, home = F.col("start_url"), urls.host(F.col("start_url"))
-    twin = F.when(home.startswith("www."), F.regexp_replace(u, "://www\\.", "://")).otherwise(F.regexp_replace(u, "://", "://www."))
-    plain = F.regexp_replace(u, "^https:", "http:")
-    both = F.array(F.struct(F.lit("twin").alias("kind"), twin.alias("url")), F.struct(F.lit("http").alias("kind"), plain.alias("url")))
-    rows = site_files.where("start_url is not null").select("site_id", F.explode(both).alias("v"), "start_url", "crawl_complete")
-    # A site whose crawl was complete is taken to redirect its variants.
-    final = F.when(F.coalesce("crawl_complete", F.lit(False)), F.col("start_url")).otherwise(F.col("v.url"))
-    return rows.select("site_id", "v.kind", "v.url", F.lit(200).alias("status"), final.alias("final_url"), F.lit(None).cast("string").alias("canonical"))
-
-
-def _host_rules(site_files: DataFrame) -> DataFrame:
-    return site_rules.host_findings(_variants(site_files), site_files)
+def _host_rules(probes: DataFrame, site_files: DataFrame) -> DataFrame:
+    return site_rules.host_findings(site_rules.observed_variants(probes, site_files), site_files)
 
 
 #: The tables of a whole audit.
@@ -234,6 +240,7 @@ def queries() -> dict[str, Query]:
         "overall_score": on(*_TABLES, call=lambda *t: scoring.overall(_scores(*t))),
         "issue_priorities": on(*_TABLES, call=lambda *t: scoring.priorities(_audit(*t))),
         "report_markdown": on(*_TABLES, call=lambda *t: sinks.issue_markdown(_audit(*t))),
+        "report_text": on(*_TABLES, call=_text),
         "report_html": on(*_TABLES, call=lambda *t: sinks.issue_html(_audit(*t))),
         "page_regressions": on("site_snapshot", "page_state", call=snapshot_diff.page_regressions),
         "site_regressions": on("site_snapshot", call=snapshot_diff.site_regressions),
@@ -247,7 +254,7 @@ def queries() -> dict[str, Query]:
         "gate_new": on(*_HISTORY, call=diff_report.fails),
         "diff_markdown": on(*_HISTORY, call=diff_report.markdown),
         "rule_link_opportunities": on("pages", call=_opportunities),
-        "rule_host_variants": on("site_files", call=_host_rules),
+        "rule_host_variants": on("probes", "site_files", call=_host_rules),
         "crawl_state": on("pages", call=lambda p: snapshot_diff.state_of(p, "crawl", whole=True)),
         "fix_templates": lambda s, d: fixes.templates(tune(s)),
         "rule_catalog": lambda s, d: scoring.catalog(tune(s)),

@@ -218,7 +218,7 @@ def _scored(findings: str | None = None) -> str:
 #: The queries whose findings a whole audit is made of.
 _AUDIT = (
     "page_findings rule_meta_title_duplicate rule_meta_description_duplicate site_findings rule_indexing_robots_format rule_robots_blocks probe_findings rule_canonical_targets rule_noindex rule_sitemap "
-    "rule_hreflang rule_schema_website_missing link_findings content_findings duplicate_findings"
+    "rule_hreflang rule_schema_website_missing link_findings content_findings rule_host_variants duplicate_findings"
 ).split()
 
 
@@ -239,6 +239,11 @@ def _audited(out: dict[str, str]) -> dict[str, str]:
             f"{scored}, ri as (select site_id, '| ' || impact || ' | ' || rule_id || ' | ' || affected || ' |' as line, row_number() over (partition by site_id order by {_case('impact', IMPACT, 0)} desc, affected desc, rule_id) as k from iss join cat using (rule_id)) "
             "select site_id, '| Impact | Rule | Pages |' || chr(10) || '|---|---|---|' || chr(10) || string_agg(line, chr(10) order by k) as body from ri where k <= 12 group by 1"
         ),
+        "report_text": (
+            f"{scored}, {_SCORES}, ov as (select site_id, cast(floor(round(sum(score * {_case('category', CATEGORIES, 0)}) / sum({_case('category', CATEGORIES, 0)}), 9) + 0.5) as bigint) as overall from scores group by 1), "
+            f"ri as (select site_id, string_agg('  [' || impact || '] ' || rule_id || ': ' || affected, chr(10) order by {_case('impact', IMPACT, 0)} desc, affected desc, rule_id) as lines from iss join cat using (rule_id) group by 1) "
+            "select site_id, 'Score ' || overall || ' (' || case when overall >= 90 then 'A' when overall >= 80 then 'B' when overall >= 70 then 'C' when overall >= 60 then 'D' when overall >= 50 then 'E' else 'F' end || ')' || coalesce(chr(10) || lines, '') as body from ov left join ri using (site_id)"
+        ),
         "report_html": (
             f"{scored}, ri as (select site_id, '<li>' || rule_id || ' (' || impact || '): ' || affected || '</li>' as item from iss join cat using (rule_id)) "
             "select site_id, '<!doctype html><title>Site audit</title><ul>' || string_agg(item, '' order by item) || '</ul>' as body from ri group by 1"
@@ -689,8 +694,8 @@ def oracle() -> dict[str, str]:
         "from a join b on a.snapshot_id = b.snapshot_id and a.kind = b.kind and a.k = b.k) a where v[i] is distinct from w[i]",
         "rule_catalog": f"with {_catalog()} select rule_id, category, impact, effort, risk, cast(confidence as integer) as confidence from cat",
         "rule_host_variants": (
-            "with v as (select site_id, start_url, 'twin' as kind, case when coalesce(crawl_complete, false) then start_url when regexp_matches(start_url, '://www\\.') then regexp_replace(start_url, '://www\\.', '://') else regexp_replace(start_url, '://', '://www.') end as final_url from site_files "
-            "union all select site_id, start_url, 'http', case when coalesce(crawl_complete, false) then start_url else regexp_replace(start_url, '^https:', 'http:') end from site_files) "
+            "with o as (select p.*, s.start_url from (select * from probes where kind = 'link' and url is not null qualify row_number() over (partition by site_id, url order by probed_at desc, status desc, final_url desc) = 1) p join site_files s using (site_id)), "
+            f"v as (select site_id, start_url, final_url, case when url like 'http:%' then 'http' when {_host('url')} <> {_host('start_url')} then 'twin' end as kind from o where status between 200 and 299 and {_bare('url')} = {_bare('start_url')}) "
             f"select site_id, 'indexing-host-duplicate' as rule_id, final_url as url, cast(null as varchar) as note from v where kind = 'twin' and {_host('final_url')} <> {_host('start_url')} "
             "union all select site_id, 'indexing-http-not-redirected', final_url, null from v where kind = 'http' and final_url like 'http:%'"
         ),
