@@ -127,3 +127,23 @@ def test_schedule_sums_to_one():
     for x in (0, 0.3, 1):
         assert abs(sum(s.share * (1 + s.slope * (2 * x - 1)) for s in plan) - 1) < 1e-9
     assert all(abs(s.slope) <= mixing.DRIFT + 1e-9 for s in plan)
+
+
+def test_packing_at_a_long_context_capacity():
+    """All sizes up to 32,768, which took longer than anyone waits when every sum was built for each filling."""
+    import time
+
+    from pagemill.llm.packing import pack
+
+    histogram = {s: 1 + s * 7919 % 50 for s in range(1, 32_769)}
+    began = time.time()
+    patterns = pack(histogram, 32_768)
+    assert time.time() - began < 60
+    placed: dict[int, int] = {}
+    for filling, times in patterns:
+        assert sum(s * n for s, n in filling.items()) <= 32_768
+        for s, n in filling.items():
+            placed[s] = placed.get(s, 0) + n * times
+    assert placed == histogram
+    least = -(-sum(s * n for s, n in histogram.items()) // 32_768)
+    assert sum(p.times for p in patterns) <= 1.005 * least

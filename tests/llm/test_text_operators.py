@@ -174,12 +174,24 @@ def test_many_copies_stay_a_star(spark, monkeypatch):
 
 def test_popcount_distance_is_a_lower_bound(spark):
     rng = random.Random(4)
-    sets = [sorted({rng.randrange(-(2**63), 2**63) for _ in range(rng.randrange(1, 60))}) for _ in range(8)]
-    sets += [s[:-3] for s in sets]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id int, runs array<bigint>").select("id", *near_copies._popcounts(F.col("runs")))
-    met = df.alias("l").join(df.alias("r"), F.col("l.id") < F.col("r.id")).select("l.id", F.col("r.id").alias("other"), near_copies._manhattan("l", "r").alias("d"))
-    for r in met.collect():
-        assert r.d <= len(set(sets[r.id]) ^ set(sets[r.other]))
+    texts = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(5, 90))] for _ in range(10)]
+    texts += [[w if rng.random() > 0.05 else "edit" for w in t] for t in texts]
+    prints = [near_copies.fingerprint(t) for t in texts]
+    rows = [(i, len(r), r.tolist(), s.tolist(), c.tolist()) for i, (r, s, c) in enumerate(prints)]
+    df = spark.createDataFrame(rows, "page_id bigint, n int, runs array<bigint>, segments array<bigint>, counts array<int>")
+    assert all(sum(c) == n for _, n, _, _, c in rows)
+    # The whole vectors.
+    for i, (r, s, c) in enumerate(prints):
+        for q, t, d in prints[:i]:
+            one, two = dict(zip(s.tolist(), c.tolist())), dict(zip(t.tolist(), d.tolist()))
+            assert sum(abs(one.get(k, 0) - two.get(k, 0)) for k in one | two) <= len(set(r.tolist()) ^ set(q.tolist()))
+    # What is tested inside a cell, for every pair that enters the grid at some low threshold.
+    met = near_copies.posts(near_copies.vectors(df), 1).alias("l").join(near_copies.posts(near_copies.vectors(df), 1).alias("r"), F.col("l.page_id") < F.col("r.page_id"))
+    alone = lambda x: F.col(f"{x}.size").bitwiseAND(F.lit((1 << 32) - 1))
+    found = met.select(F.col("l.page_id").alias("a"), F.col("r.page_id").alias("b"), (alone("l") + alone("r") + near_copies._manhattan("l", "r")).alias("d")).collect()
+    assert len(found) > 40
+    for r in found:
+        assert r.d <= len(set(prints[r.a][0].tolist()) ^ set(prints[r.b][0].tolist()))
 
 
 @pytest.mark.parametrize(
