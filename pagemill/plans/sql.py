@@ -506,6 +506,19 @@ def _levels() -> str:
     )
 
 
+def _changes() -> str:
+    """Levels of every change of a snapshot, but resolved issues."""
+    from pagemill.operators.diff_report import _HOST_KINDS
+
+    return (
+        f"{_levels()}, ch as (select r.snapshot_id, r.level from ({_regressions()}) r join pq using (snapshot_id) left join st b on b.snapshot_id = r.snapshot_id and b.path = r.path left join st a on a.snapshot_id = pq.prev_id and a.path = r.path "
+        "where not (crossed and kind in ('noindex-added', 'noindex-removed') and not coalesce(a.noindex_meta, false) and not coalesce(b.noindex_meta, false)) "
+        f"union all select r.snapshot_id, level from ({_site_regressions()}) r join pq using (snapshot_id) where not (crossed and kind in ({_texts(_HOST_KINDS)})) union all select snapshot_id, level from lv where kind <> 'resolved' "
+        "union all select b.snapshot_id, 'info' from st b join pr using (snapshot_id) left join st a on a.snapshot_id = pr.prev_id and a.path = b.path where prev_id is not null and a.path is null and b.status between 200 and 299), "
+        "ct as (select snapshot_id, max(case level when 'critical' then 3 when 'warning' then 2 else 1 end) as worst, count(*) filter (level = 'critical') as critical, count(*) filter (level = 'warning') as warnings from ch group by 1)"
+    )
+
+
 def oracle() -> dict[str, str]:
     pages = f"with {PAGES}"
     rules = _page_rules()
@@ -680,6 +693,13 @@ def oracle() -> dict[str, str]:
             "d as (select *, len(list_filter(pb, lambda x: not list_contains(pa, x))) as fresh from m) "
             "select snapshot_id, rule_id, case when pa is null then 'new' when pb is null then 'resolved' else 'worsened' end as delta, cast(case when pa is null then len(pb) when pb is null then 0 else fresh end as integer) as fresh from d where pa is null or pb is null or fresh > 0"
         ),
+        "snapshot_summary": (
+            f"with {_STATES}, {_PAIRS}, {_changes()} select snapshot_id, case worst when 3 then 'critical' when 2 then 'warning' when 1 then 'info' else 'none' end as level, coalesce(critical, 0) as critical, coalesce(warnings, 0) as warnings, "
+            "pq.s.overall - pq.p.overall as overall_delta, pq.s.geo - pq.p.geo as geo_delta, crossed from pq left join ct using (snapshot_id)"
+        ),
+        "gate_new": (
+            f"with {_STATES}, {_PAIRS}, {_changes()} select snapshot_id, coalesce(critical, 0) > 0 or snapshot_id in (select snapshot_id from lv where kind <> 'resolved' and coalesce(impact, '') <> 'low') as fails from pq left join ct using (snapshot_id)"
+        ),
         "issue_levels": f"with {_STATES}, {_PAIRS}, {_levels()} select * from lv",
         "category_deltas": f"with {_STATES}, {_PAIRS} select snapshot_id, category, score - coalesce(was[category], score) as delta from (select snapshot_id, p.cat as was, unnest(map_keys(s.cat)) as category, unnest(map_values(s.cat)) as score from pq)",
         "pages_added": (
