@@ -50,11 +50,11 @@ def top_terms(pages: DataFrame, most: int = 8) -> DataFrame:
     return _ranked(pages).where(F.col("rank") <= most).select("site_id", "page_id", "rank", "term", (F.floor(F.round(F.col("weight") * 1000, 6) + 0.5) / 1000).alias("weight"))
 
 
-def stuffed_terms(pages: DataFrame) -> DataFrame:
+def stuffed_terms(pages: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """(site_id, page_id, term, percent): up to 5 terms of six or more uses and over 6 % of a page of 300 words or more."""
     long = readable(pages).where("word_count >= 300").select("site_id", "page_id", "word_count")
     share = F.col("n") / F.greatest("total", "word_count")
-    dense = _ranked(pages).join(long, ["site_id", "page_id"]).where((F.col("n") >= 6) & (share > 0.06))
+    dense = (_ranked(pages) if ranked is None else ranked).join(long, ["site_id", "page_id"]).where((F.col("n") >= 6) & (share > 0.06))
     w = Window.partitionBy("site_id", "page_id").orderBy("rank")
     kept = dense.withColumn("k", F.row_number().over(w)).where("k <= 5")
     return kept.select("site_id", "page_id", "term", (F.floor(share * 1000 + 0.5) / 10).alias("percent"))
@@ -64,9 +64,9 @@ def _stem(term: Column) -> Column:
     return F.regexp_replace(term, "(ing|ed|es|s)$", "")
 
 
-def misaligned(pages: DataFrame) -> DataFrame:
+def misaligned(pages: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """(site_id, page_id, topic): pages of 200 words or more whose title and h1s share no stem with their five heaviest terms."""
-    heavy = _ranked(pages).where("rank <= 5").groupBy("site_id", "page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    heavy = (_ranked(pages) if ranked is None else ranked).where("rank <= 5").groupBy("site_id", "page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
     heavy = heavy.where("size(t) >= 3").select("site_id", "page_id", F.col("t.term").alias("terms"))
     shown = F.concat_ws(" ", "title", F.array_join("h1s", " "))
     stems = F.transform(F.filter(F.split(F.regexp_replace(F.lower(shown), "[^a-z0-9]", " "), " +"), lambda w: w != ""), _stem)
@@ -78,9 +78,11 @@ def misaligned(pages: DataFrame) -> DataFrame:
 def content_findings(pages: DataFrame) -> DataFrame:
     """content-keyword-stuffing and content-keyword-alignment."""
     path = readable(pages).select("site_id", "page_id", "path")
-    stuffed = stuffed_terms(pages).groupBy("site_id", "page_id").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ").alias("note"))
+    # Both read heavy or frequent terms only; texts are split once.
+    ranked = cut(_ranked(pages).where("rank <= 5 or n >= 6"))
+    stuffed = stuffed_terms(pages, ranked).groupBy("site_id", "page_id").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ").alias("note"))
     one = stuffed.join(path, ["site_id", "page_id"]).select("site_id", F.lit("content-keyword-stuffing").alias("rule_id"), F.col("path").alias("url"), "note")
-    two = misaligned(pages).join(path, ["site_id", "page_id"]).select("site_id", F.lit("content-keyword-alignment").alias("rule_id"), F.col("path").alias("url"), F.col("topic").alias("note"))
+    two = misaligned(pages, ranked).join(path, ["site_id", "page_id"]).select("site_id", F.lit("content-keyword-alignment").alias("rule_id"), F.col("path").alias("url"), F.col("topic").alias("note"))
     return one.unionByName(two)
 
 
