@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.main_content import labelled
-from pagemill.session import cut
+from pagemill.session import cut, shuffled
 
 RUN = 5
 #: Words of the stretch that names a run's segment.
@@ -149,7 +149,7 @@ def vectors(reps: DataFrame) -> DataFrame:
     """
     cells = reps.select("page_id", "n", F.explode(F.arrays_zip("segments", "counts")).alias("c")).select("page_id", "n", F.col("c.segments").alias("segment"), F.col("c.counts").cast("smallint").alias("count"))
     rarity = cells.groupBy("segment").agg(F.count("*").alias("pages")).where("pages > 1").select("segment", F.least("pages", F.lit(32767)).cast("smallint").alias("pages"))
-    return cells.join(rarity, "segment").groupBy("page_id", "n").agg(F.array_sort(F.collect_list(F.struct("pages", "segment", "count"))).alias("vector"))
+    return cells.join(shuffled(rarity), "segment").groupBy("page_id", "n").agg(F.array_sort(F.collect_list(F.struct("pages", "segment", "count"))).alias("vector"))
 
 
 def posts(vector: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +206,7 @@ def candidates(entered: DataFrame, percent: int) -> DataFrame:
     most = (n("l") + n("r")) * (100 - percent)
     least = (alone("l") + alone("r") + _manhattan("l", "r")) * (100 + percent)
     ordered = (n("l") < n("r")) | ((n("l") == n("r")) & (F.col("l.page_id") < F.col("r.page_id")))
-    met = left.alias("l").join(right.alias("r"), (F.col("l.cell") == F.col("r.cell")) & ordered & (least <= most))
+    met = left.alias("l").join(shuffled(right).alias("r"), (F.col("l.cell") == F.col("r.cell")) & ordered & (least <= most))
     return met.select(F.col("l.page_id").alias("a"), F.col("r.page_id").alias("b")).distinct()
 
 
@@ -215,7 +215,7 @@ def similar_classes(reps: DataFrame, entered: DataFrame, percent: int) -> DataFr
     pairs = candidates(entered, percent)
     one, two = (reps.select(F.col("page_id").alias(x), F.col("n").alias(f"n{x}"), F.col("runs").alias(f"r{x}")) for x in "ab")
     common = F.size(F.array_intersect("ra", "rb"))
-    return pairs.join(one, "a").join(two, "b").where(common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    return pairs.join(shuffled(one), "a").join(shuffled(two), "b").where(common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
 def near_copies(pages: DataFrame, percent: int = 60, run: int = RUN) -> tuple[DataFrame, DataFrame]:

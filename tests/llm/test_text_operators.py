@@ -172,6 +172,14 @@ def test_many_copies_stay_a_star(spark, monkeypatch):
     assert sorted(tuple(r) for r in near_copies.near_pairs(pages(spark, rows)).collect()) == [(0, i) for i in range(1, 20)]
 
 
+def test_no_join_of_runs_or_segments_is_broadcast(spark):
+    reps = spark.range(4).selectExpr("id as page_id", "3 as n", "array(1L, 2L, 3L) as runs", "array(7L, 8L) as segments", "array(1, 2) as counts")
+    vector = near_copies.vectors(reps)
+    entered = spark.range(4).selectExpr("id as page_id", "3L << 32 as size", "0L as sum0", "0L as sum1", "array(id) as cells", "array(id + 1) as above")
+    for df in (vector, near_copies.candidates(entered, 60), near_copies.similar_classes(reps, entered, 60)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_popcount_distance_is_a_lower_bound(spark):
     rng = random.Random(4)
     texts = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(5, 90))] for _ in range(10)]
