@@ -17,3 +17,10 @@ def stored(spark, page_table, folder):
 
 def test_terms_are_not_broadcast(spark, page_table, tmp_path):
     assert not re.search(r"BroadcastHashJoin \[site_id#\d+, term#", plan(content.top_terms(stored(spark, page_table, tmp_path))))
+
+
+def test_runs_are_not_broadcast(spark):
+    sets = spark.range(4).selectExpr("'s' as site_id", "id", "array(1L, 2L, 3L, id + 9) as runs")
+    found = content.similar_pairs(sets, 40)
+    assert "BroadcastHashJoin" not in plan(found)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
