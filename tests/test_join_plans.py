@@ -19,6 +19,12 @@ def test_terms_are_not_broadcast(spark, page_table, tmp_path):
     assert not re.search(r"BroadcastHashJoin \[site_id#\d+, term#", plan(content.top_terms(stored(spark, page_table, tmp_path))))
 
 
+def test_titles_and_stems_are_not_broadcast(spark, page_table, tmp_path):
+    pages = stored(spark, page_table, tmp_path)
+    ranked = spark.range(4).selectExpr("cast(id as string) as site_id", "id as page_id", "'words' as term", "1 as rank", "1L as n", "1 as total")
+    assert not re.search(r"BroadcastHashJoin \[site_id#\d+, page_id#", plan(content.misaligned(pages, ranked)))
+
+
 def test_runs_are_not_broadcast(spark):
     sets = spark.range(4).selectExpr("'s' as site_id", "id", "array(1L, 2L, 3L, id + 9) as runs")
     found = content.similar_pairs(sets, 40)
